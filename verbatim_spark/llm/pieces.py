@@ -169,7 +169,8 @@ def decode(encoded: DataFrame, model: str, keep: list[str] | None = None) -> Dat
     """Adds ``decoded`` to a table with ``ids``; null ids decode to null."""
     name = _sent(encoded, model)
     source = encoded.select(*(keep or [c for c in encoded.columns if c != "decoded"]))
-    at = source.columns.index("ids")
+    names = source.columns
+    at = names.index("ids")
 
     def run(batches):
         for batch in slices(batches, at, most=8 << 20):
@@ -179,7 +180,7 @@ def decode(encoded: DataFrame, model: str, keep: list[str] | None = None) -> Dat
                 table.decode(flat[a:b]) if ok else None
                 for a, b, ok in zip(offsets[:-1], offsets[1:], column.is_valid().to_pylist(), strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*source.columns, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
     return source.mapInArrow(run, f"{fields}, decoded string")
