@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, simhash
+from . import decontaminate, licenses, pieces, simhash
 from .common import table
 
 
@@ -32,13 +32,26 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base, own = F.col("places.label"), F.col("stretches.label")
+    joined = lambda labels: F.concat_ws(",", F.array_sort(F.array_distinct(labels)))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, own)).alias("labels"),
+        licenses.score("places", "stretches").alias("score"),
+        F.concat_ws(",", F.transform("stretches", lambda x: F.concat_ws(":", x["label"], x["start"], x["end"]))).alias("stretches"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op3_sentencepiece": op3_sentencepiece, "op6_simhash": op6_simhash}
+    return {"op2_decontamination": op2_decontamination, "op3_sentencepiece": op3_sentencepiece, "op5_licenses": op5_licenses, "op6_simhash": op6_simhash}
 
 
 OP2_SQL = r"""
