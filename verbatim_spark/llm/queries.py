@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pieces, simhash
+from . import decontaminate, licenses, pieces, secrets, simhash
 from .common import table
 
 
@@ -50,8 +50,20 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda x: x["rank"] < len(secrets.BASE))
+    number = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"),
+        F.size(F.filter("secrets", lambda x: x["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("secrets", lambda x: ~x["live"])).cast("long").alias("n_shared"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op3_sentencepiece": op3_sentencepiece, "op5_licenses": op5_licenses, "op6_simhash": op6_simhash}
+    return {"op2_decontamination": op2_decontamination, "op3_sentencepiece": op3_sentencepiece, "op5_licenses": op5_licenses, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets}
 
 
 OP2_SQL = r"""
