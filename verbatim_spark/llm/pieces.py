@@ -25,8 +25,8 @@ from .common import slices
 
 MARK = "▁"
 #: Chunks and characters of them that a worker holds at most.
-MOST_CHUNKS = 1_000_000
-MOST_CHARS = 20_000_000
+MOST_CHUNKS = 600_000
+MOST_CHARS = 12_000_000
 #: Chunks given to the library in one call.
 _GROUP = 128
 _CHUNK = re.compile(" +[^ ]*")

@@ -7,9 +7,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pieces, secrets, simhash
+from . import decontaminate, licenses, pieces, secrets, simhash, winnow
 from .common import table
 
 
@@ -62,8 +63,27 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnow.with_next(table(spark, sf_dir, "documents")).repartition("part")
+    own = rows.withColumn("fp", winnow.packed(winnow.word_array(F.col("text"))))
+    order = Window.partitionBy("part").orderBy("ghost", F.col("key").desc(), "h")
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    next_text, next_fp = F.lead("text").over(order), F.lead("fp").over(order)
+    met = own.select(
+        "doc_id", "ghost", "fp", F.char_length("text").cast("long").alias("n_chars"), next_fp.alias("next_fp"),
+        F.concat(F.expr("left(text, char_length(text) - floor(char_length(text) / 2))"), F.substring(next_text, F.lit(1), half)).alias("edited"),
+    ).where("NOT ghost")
+    met = met.withColumn("edited_fp", winnow.packed(winnow.word_array(F.col("edited"))))
+    likeness = lambda other: winnow.likeness(winnow.hashes(F.col("fp")), winnow.hashes(F.col(other)))
+    return met.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnow.shown(F.col("fp")).alias("fingerprint"),
+        winnow.shown(F.col("edited_fp")).alias("edited_fingerprint"), likeness("edited_fp").alias("near_edited"),
+        likeness("next_fp").alias("near_next"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op3_sentencepiece": op3_sentencepiece, "op5_licenses": op5_licenses, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets}
+    return {"op2_decontamination": op2_decontamination, "op3_sentencepiece": op3_sentencepiece, "op5_licenses": op5_licenses, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op9_winnowing": op9_winnowing}
 
 
 OP2_SQL = r"""
