@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pieces, secrets, simhash, winnow
+from . import decontaminate, langid, licenses, pieces, secrets, simhash, winnow
 from .common import table
 
 
@@ -82,8 +82,19 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang",
+        # A row without a doc_id is never learned from.
+        F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True)).alias("held_out"),
+    )
+    model = langid.learn(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, keep_cols=["held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op3_sentencepiece": op3_sentencepiece, "op5_licenses": op5_licenses, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op9_winnowing": op9_winnowing}
+    return {"op2_decontamination": op2_decontamination, "op3_sentencepiece": op3_sentencepiece, "op5_licenses": op5_licenses, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op9_winnowing": op9_winnowing,
+            "op10_language": op10_language}
 
 
 OP2_SQL = r"""
