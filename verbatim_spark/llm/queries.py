@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, pieces, secrets, simhash, winnow
+from . import decontaminate, langid, licenses, pieces, quality, secrets, simhash, tokens, winnow
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(table(spark, sf_dir, "documents"), pieces.public_model())
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -33,6 +37,17 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    # Grades: 0 toxic, 1 neither toxic nor good, 2 good.
+    graded = labels.select("doc_id", F.when(F.col("toxic") == 1, 0).otherwise(1 + F.col("quality")).alias("grade"))
+    scored = quality.score(docs, quality.learn(docs, graded, grades=3))
+    return scored.select(
+        "doc_id", "expected_grade", F.col("tails")[0].alias("p_not_toxic"), F.col("tails")[1].alias("p_good"),
+        (F.col("tails")[0] < 0.5).alias("toxic"), (F.col("tails")[0] >= 0.5).alias("keep"),
+    )
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     base, own = F.col("places.label"), F.col("stretches.label")
@@ -93,8 +108,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op3_sentencepiece": op3_sentencepiece, "op5_licenses": op5_licenses, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op9_winnowing": op9_winnowing,
-            "op10_language": op10_language}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op2_decontamination": op2_decontamination,
+        "op3_sentencepiece": op3_sentencepiece,
+        "op4_quality": op4_quality,
+        "op5_licenses": op5_licenses,
+        "op6_simhash": op6_simhash,
+        "op7_secrets": op7_secrets,
+        "op9_winnowing": op9_winnowing,
+        "op10_language": op10_language,
+    }
 
 
 OP2_SQL = r"""
@@ -134,4 +158,4 @@ FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op1_token_counts": op1_token_counts, "op4_quality": op4_quality, "op2_decontamination": OP2_SQL}
