@@ -277,7 +277,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             )
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), letter.alias("letter"), *[F.col(c).alias(c) for c in kept])
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), letter.alias("_letter"), *[F.col(c).alias(c) for c in kept])
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return source.mapInArrow(
         run,

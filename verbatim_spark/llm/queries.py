@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, pieces, quality, secrets, simhash, tokens, winnow
+import corpus_pipeline
+
+from . import decontaminate, langid, licenses, pieces, pseudo, quality, secrets, simhash, tokens, winnow
 from .common import table
 
 
@@ -78,6 +80,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo.score(table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = winnow.with_next(table(spark, sf_dir, "documents")).repartition("part")
     own = rows.withColumn("fp", winnow.packed(winnow.word_array(F.col("text"))))
@@ -116,8 +122,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_licenses": op5_licenses,
         "op6_simhash": op6_simhash,
         "op7_secrets": op7_secrets,
+        "op8_pseudo_likelihood": op8_pseudo_likelihood,
         "op9_winnowing": op9_winnowing,
         "op10_language": op10_language,
+        "pipeline": corpus_pipeline.run,
     }
 
 
