@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import workbench
+from .plans import reviews, workbench
 
-MODULES = [workbench]
+MODULES = [workbench, reviews]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
