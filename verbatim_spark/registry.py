@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import reviews, workbench
+from .plans import corpus, reviews, workbench
 
-MODULES = [workbench, reviews]
+MODULES = [workbench, reviews, corpus]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
