@@ -29,7 +29,7 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders, F.col("quotation_id") == F.col("o_orderkey"))
-        .select("quotation_id", "line", "code_id", "theme_id", "document_id", "created_by", "v", "tax", "quantity", "l_suppkey",
+        .select("quotation_id", "line", "code_id", "theme_id", "document_id", "created_by", "v", "tax", "quantity", "l_suppkey", "l_partkey",
                 (F.col("v") / 5.0).alias("valence"), (1 - F.col("tax") / 100.0).alias("confidence"))
     )
 
@@ -38,7 +38,7 @@ APPS = """apps AS (
   SELECT l_orderkey AS quotation_id, l_linenumber AS line, p_brand AS code_id, p_type AS theme_id, o_custkey AS document_id,
     CASE o_orderstatus WHEN 'O' THEN 'user' WHEN 'F' THEN 'auto' ELSE 'search' END AS created_by,
     CAST(round(l_discount * 100) AS INTEGER) - 5 AS v, CAST(round(l_tax * 100) AS INTEGER) AS tax,
-    CAST(l_quantity AS INTEGER) AS quantity, l_suppkey,
+    CAST(l_quantity AS INTEGER) AS quantity, l_suppkey, l_partkey,
     (CAST(round(l_discount * 100) AS INTEGER) - 5) / 5.0::DOUBLE AS valence,
     1 - CAST(round(l_tax * 100) AS INTEGER) / 100.0::DOUBLE AS confidence
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus, reviews, workbench
+from .plans import corpus, readings, reviews, workbench
 
-MODULES = [workbench, reviews, corpus]
+MODULES = [workbench, reviews, corpus, readings]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
