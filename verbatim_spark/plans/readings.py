@@ -22,12 +22,12 @@ def query(sql: str | None):
 
 
 #: A supplier is a participant; its codes are ordered by quotation and line.
-_C = f"""{APPS}, c AS (SELECT *, l_suppkey AS participant, (quotation_id * 10 + line) * 100000 + l_partkey AS ord, (quotation_id * 10 + line) * 100000 + l_partkey AS example, quantity AS score,
+_C = f"""{APPS}, c AS (SELECT *, l_suppkey AS participant, ((quotation_id * 10 + line) * 100000 + l_partkey) * 1000 + (v + 5) * 10 + tax AS ord, ((quotation_id * 10 + line) * 100000 + l_partkey) * 1000 + (v + 5) * 10 + tax AS example, quantity AS score,
 CASE WHEN v > 1 THEN 'glad' WHEN v < -1 THEN 'sad' ELSE 'neutral' END AS mood, 1 + line % 3 AS alternatives, 0.3::DOUBLE AS cohesion FROM apps)"""
 
 
 def _codes(spark, sf):
-    mark = (F.col("quotation_id") * 10 + F.col("line")) * 100000 + F.col("l_partkey")
+    mark = ((F.col("quotation_id") * 10 + F.col("line")) * 100000 + F.col("l_partkey")) * 1000 + (F.col("v") + 5) * 10 + F.col("tax")
     mood = F.when(F.col("v") > 1, "glad").when(F.col("v") < -1, "sad").otherwise("neutral")
     return applications(spark, sf).withColumns({
         "participant": F.col("l_suppkey"), "ord": mark, "example": mark, "score": F.col("quantity"), "mood": mood, "alternatives": 1 + F.col("line") % 3, "cohesion": F.lit(0.3),
@@ -65,13 +65,13 @@ def valence_slope(spark, sf):
 _PARTS = ["orientation", "complication", "evaluation", "resolution", "coda"]
 
 
-@query(f"""WITH {_C}, p AS (SELECT ord, valence, quantity % 5 AS q, (row_number() OVER (PARTITION BY participant ORDER BY ord) - 1) / greatest(count(*) OVER (PARTITION BY participant) - 1, 1)::DOUBLE AS pos FROM c),
-s AS (SELECT ord, unnest([{{'n': 'orientation', 'o': 0, 's': (q = 0)::INT + CASE WHEN pos < 0.25 THEN 0.6 ELSE 0 END::DOUBLE}},
+@query(f"""WITH {_C}, p AS (SELECT row_number() OVER () AS rid, valence, quantity % 5 AS q, (row_number() OVER (PARTITION BY participant ORDER BY ord) - 1) / greatest(count(*) OVER (PARTITION BY participant) - 1, 1)::DOUBLE AS pos FROM c),
+s AS (SELECT rid, unnest([{{'n': 'orientation', 'o': 0, 's': (q = 0)::INT + CASE WHEN pos < 0.25 THEN 0.6 ELSE 0 END::DOUBLE}},
 {{'n': 'complication', 'o': -1, 's': (q = 1)::INT + CASE WHEN pos >= 0.2 AND pos < 0.6 THEN 0.5 ELSE 0 END::DOUBLE + CASE WHEN valence < -0.3 THEN 0.5 ELSE 0 END::DOUBLE}},
 {{'n': 'evaluation', 'o': -2, 's': (q = 2)::INT + CASE WHEN pos >= 0.4 AND pos < 0.8 THEN 0.4 ELSE 0 END::DOUBLE}},
 {{'n': 'resolution', 'o': -3, 's': (q = 3)::INT + CASE WHEN pos >= 0.6 THEN 0.5 ELSE 0 END::DOUBLE + CASE WHEN valence > 0.3 THEN 0.4 ELSE 0 END::DOUBLE}},
 {{'n': 'coda', 'o': -4, 's': (q = 4)::INT + CASE WHEN pos >= 0.88 THEN 0.6 ELSE 0 END::DOUBLE}}]) AS x FROM p),
-e AS (SELECT ord, arg_max(x.n, (x.s, x.o)) AS element FROM s GROUP BY 1) SELECT element, count(*) AS n FROM e GROUP BY 1""")
+e AS (SELECT rid, arg_max(x.n, (x.s, x.o)) AS element FROM s GROUP BY 1) SELECT element, count(*) AS n FROM e GROUP BY 1""")
 def labov_elements(spark, sf):
     hits = {n: (F.col("quantity") % 5 == i).cast("int") for i, n in enumerate(_PARTS)}
     told = readings.labov_elements(readings.relative_position(_codes(spark, sf)), hits)

@@ -34,13 +34,13 @@ def _reviews(spark, sf):
 
 
 #: Codes of reviews: applications with the order's rating; valence in fifths.
-_C = f"""{APPS}, {_R}, codes AS (SELECT a.quotation_id AS review_id, (a.quotation_id * 10 + line) * 100000 + l_partkey AS example, theme_id, code_id, a.v, a.valence, a.confidence,
+_C = f"""{APPS}, {_R}, codes AS (SELECT a.quotation_id AS review_id, ((a.quotation_id * 10 + line) * 100000 + l_partkey) * 1000 + (a.v + 5) * 10 + tax AS example, theme_id, code_id, a.v, a.valence, a.confidence,
 reviewer, business, rating, quantity > 40 AS friction, bucket FROM apps a JOIN r ON a.quotation_id = r.review_id)"""
 
 
 def _codes(spark, sf):
     apps = applications(spark, sf).select(
-        F.col("quotation_id").alias("review_id"), ((F.col("quotation_id") * 10 + F.col("line")) * 100000 + F.col("l_partkey")).alias("example"), "theme_id", "code_id", "v", "valence", "confidence",
+        F.col("quotation_id").alias("review_id"), (((F.col("quotation_id") * 10 + F.col("line")) * 100000 + F.col("l_partkey")) * 1000 + (F.col("v") + 5) * 10 + F.col("tax")).alias("example"), "theme_id", "code_id", "v", "valence", "confidence",
         (F.col("quantity") > 40).alias("friction"),
     )
     return apps.join(_reviews(spark, sf).select("review_id", "reviewer", "business", "rating", "bucket"), "review_id")
