@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus, readings, reviews, workbench
+from .plans import corpus, readings, reviews, streaming, workbench
 
-MODULES = [workbench, reviews, corpus, readings]
+MODULES = [workbench, reviews, corpus, readings, streaming]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
