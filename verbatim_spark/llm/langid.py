@@ -180,7 +180,7 @@ class _Lookup:
 
     def __init__(self, rows: dict[bytes, tuple[float, ...]], width: int):
         self.bits = max(4, (4 * len(rows) + 1).bit_length())
-        self.values = np.array(list(rows.values()), np.float32).reshape(-1, width)
+        self.values = np.array(list(rows.values()), np.float32).reshape(len(rows), width)
         keys = np.array([int.from_bytes(k, "big") + (len(k) << 56) for k in rows], np.uint64)
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.row = np.full(1 << self.bits, -1, np.int64)

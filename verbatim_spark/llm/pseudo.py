@@ -77,7 +77,8 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     """From whole-corpus counts; the driver gets ``size`` words and a row a class."""
     counts = keep(counts, "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+    # Each of at most 64 tasks sends its first ``size`` words to the driver.
+    top = counts.coalesce(64).orderBy(F.desc("n"), "word").limit(size).collect()
     # The class of an ending, as ending_class has it.
     tail = F.substring("word", -2, 2)
     totals = counts.groupBy((F.crc32(tail) % ENDINGS + SINGLES).cast("int").alias("c")).agg(F.sum("n").alias("n"))

@@ -22,9 +22,10 @@ from .common import slices, text_bytes, words
 BITS = 18
 #: Bounds of what is learned from: about so many rated rows, chosen by a hash of
 #: their ids, and the longest text that is taken, in characters.
-SAMPLE = 8000
+SAMPLE = 6000
 LONGEST = 50_000
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
+_BEGINNINGS = [(n, bytes([1, n])) for n in (4, 5, 6)]
 #: Distinct words whose weights a worker remembers.
 _MOST_KNOWN = 500_000
 
@@ -40,14 +41,14 @@ def place_of(feature: bytes, bits: int = BITS) -> int:
 
 
 def features(text: bytes | None) -> dict[bytes, float]:
-    """Presence of each word and of each beginning of the longer ones (of 5 and 7
-    bytes), and the root of each shape's share of the tokens."""
+    """Presence of each word and of each beginning of words (of 4, 5 and 6 bytes),
+    and the root of each shape's share of the tokens."""
     if not text:
         return {}
     out = dict.fromkeys(words(text), 1.0)
-    long = [w for w in out if len(w) > 5]
-    out.update(dict.fromkeys([b"\x015" + w[:5] for w in long], 1.0))
-    out.update(dict.fromkeys([b"\x017" + w[:7] for w in long if len(w) > 7], 1.0))
+    whole = list(out)
+    for n, mark in _BEGINNINGS:
+        out.update(dict.fromkeys({mark + w[:n] for w in whole if len(w) > n}, 1.0))
     tokens = text.split()
     for kind, n in Counter(map(shape, tokens)).items():
         out[b"\x00" + kind] = 3.0 * (n / len(tokens)) ** 0.5
@@ -64,24 +65,22 @@ class Model(NamedTuple):
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, bits: int = BITS, epochs: int = 40,
-        rate: float = 0.05, decay: float = 2e-4, batch: int = 64, least_share: float = 0.008, seed: int = 0) -> Model:
-    """Adam on the mean negative log-likelihood of (grade, places, values) rows;
+        rate: float = 0.05, decay: float = 2e-4, batch: int = 64, least_share: float = 0.004, least_z: float = 6.0, seed: int = 0) -> Model:
+    """Adam, slowing down, on the mean negative log-likelihood of (grade, places, values) rows;
     rarer grades weigh more, by the root of their share. Features of under
-    ``least_share`` of the rows are left out, since they would be learned by heart."""
+    ``least_share`` of the rows are left out, since they would be learned by heart,
+    and so are those whose rows' grades aren't off the mean by ``least_z``
+    standard errors: else what every text has would add up with its length."""
     rng = np.random.default_rng(seed)
     size = 1 << bits
-    held = np.zeros(size, np.int64)
-    for _, where, _ in rows:
-        held[np.unique(where)] += 1
-    common = held >= max(3, least_share * len(rows))
-    rows = [(g, where[mine], value[mine]) for g, where, value in rows for mine in [common[where]]]
+    rows = _telling(rows, size, least_share, least_z)
     w, m, v = (np.zeros(size, np.float32) for _ in range(3))
     first, gaps = 0.0, np.zeros(max(grades - 2, 0))  # threshold k + 1 = threshold k + exp(gap)
     tm, tv = np.zeros(grades - 1), np.zeros(grades - 1)
     grade = np.array([r[0] for r in rows], np.int64)
     share = np.bincount(grade, minlength=grades) / max(len(rows), 1)
     weigh = np.where(share > 0, 1 / np.sqrt(np.maximum(share, 1e-9)), 0)
-    step = 0
+    step, steps = 0, max(1, epochs * -(-len(rows) // batch))
     for _ in range(epochs if rows else 0):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), batch):
@@ -105,17 +104,34 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, bits: int =
             t_grad = np.concatenate([[tail[0]], tail[1:] * np.exp(gaps)])
             grad = np.bincount(where, weights=value * push[owner], minlength=size).astype(np.float32) + decay * w
             step += 1
+            slow = rate * (1 - (step - 1) / steps)
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
-            w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+            w -= slow * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
             tm += 0.1 * (t_grad - tm)
             tv += 0.01 * (t_grad * t_grad - tv)
-            move = rate * (tm / (1 - 0.9**step)) / (np.sqrt(tv / (1 - 0.99**step)) + 1e-6)
+            move = slow * (tm / (1 - 0.9**step)) / (np.sqrt(tv / (1 - 0.99**step)) + 1e-6)
             first -= move[0]
             gaps = np.clip(gaps - move[1:], -6, 3)
     return Model(w, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
 
 
+def _telling(rows, size: int, least_share: float, least_z: float):
+    """The rows with only those features that tell something of the grade."""
+    if not rows:
+        return rows
+    grade = np.array([g for g, _, _ in rows], float)
+    held, total = np.zeros(size), np.zeros(size)
+    for g, where, _ in rows:
+        each = np.unique(where)
+        held[each] += 1
+        total[each] += g
+    n = np.maximum(held, 1)
+    z = np.abs(total / n - grade.mean()) * np.sqrt(n) / max(float(grade.std()), 1e-9)
+    good = (held >= max(3, least_share * len(rows))) & (z >= least_z)
+    return [(g, where[mine], value[mine]) for g, where, value in rows for mine in [good[where]]]
+
+
 def learn(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text",
           grade_col: str = "grade", sample: int = SAMPLE, longest: int = LONGEST, bits: int = BITS) -> Model:
     """A model from about ``sample`` rated rows. Rows without id, text or grade,
@@ -142,8 +158,12 @@ def learn(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
             )
 
     got = source.mapInArrow(run, "id string, grade int, places array<int>, vals array<float>").toArrow().sort_by("id")
-    columns = [got.column(c).to_pylist() for c in ("grade", "places", "vals")]
-    rows = [(g, np.array(p, np.int64), np.array(v, np.float32)) for g, p, v in zip(*columns, strict=True)]
+    if not got.num_rows:
+        return fit([], grades, bits)
+    places, values = (got.column(c).combine_chunks() for c in ("places", "vals"))
+    ends = places.offsets.to_numpy()
+    flat, weight = places.values.to_numpy(), values.values.to_numpy()  # views, not lists
+    rows = [(g, flat[a:b], weight[a:b]) for g, a, b in zip(got.column("grade").to_pylist(), ends[:-1], ends[1:], strict=True)]
     return fit(rows, grades, bits)
 
 
