@@ -38,7 +38,7 @@ def months_ago(when: Column, now: str) -> Column:
     stamp = F.when(low.rlike(r"^\d{9,11}$"), F.timestamp_seconds(low.try_cast("bigint")))
     dated = F.coalesce(stamp, *[F.try_to_timestamp(F.trim(when), F.lit(f)) for f in _DATES])
     since = (F.unix_timestamp(anchor) - F.unix_timestamp(dated)) / 86400.0
-    return F.coalesce(simple, relative, F.greatest(since, F.lit(0.0))) / 30.44
+    return F.coalesce(simple, relative, F.when(since < 0, 0.0).otherwise(since)) / 30.44
 
 
 def rating_of(raw: Column) -> Column:
@@ -57,7 +57,7 @@ def sniff(raw: Column) -> Column:
 
 def parse_lines(raw: DataFrame, text_col: str = "raw") -> DataFrame:
     """(rating, text, when) of lines such as ``5 | Lovely place (2 weeks ago)``."""
-    line = F.trim(F.explode(F.split(text_col, "\r?\n")))
+    line = F.explode(F.transform(F.split(text_col, "\r?\n"), F.trim))
     lines = raw.select(*[c for c in raw.columns if c != text_col], line.alias("_line")).where("_line <> ''")
     stars = F.regexp_extract("_line", r"^([0-5](?:\.\d)?)(?:/5)?\s*(?:\||stars?\b|★)\s*", 1)
     when = F.regexp_extract("_line", r"\(([^()]*(?:ago|yesterday|today))\)\s*$", 1)
