@@ -74,3 +74,10 @@ def test_sheet_names_and_sinks(spark, tmp_path):
     sinks.replace_partitions(spark.createDataFrame([("q", 3)], "k string, v int"), str(tmp_path / "t"), ["k"])
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [("p", 1), ("q", 3)]
     assert sinks.insert_ignore(df, df.limit(1), ["k"]).count() == 1
+
+
+def test_payloads(spark):
+    review = '{"author_title": "Ann", "review_rating": 4, "review_text": "Good<br/>food", "review_photos": ["a"]}'
+    for data in (f'{{"data": [{{"name": "Mill", "reviews_data": [{review}, {{"review_text": ""}}]}}]}}', f'{{"data": [[{{"name": "Mill", "reviews_data": [{review}]}}]]}}'):
+        rows = reviews.unwrap_payload(spark.createDataFrame([(data,)], "raw string")).collect()
+        assert [(r["business"], r["reviewer"], r["rating"], r["text"], r["photo_count"]) for r in rows] == [("Mill", "Ann", 4.0, "Good\nfood", 1)]

@@ -67,3 +67,23 @@ def test_engines(spark):
 
 def test_controls_are_bounded():
     assert Controls(similarity=3).similarity == 0.95 and Controls(min_quotes=0).min_quotes == 1
+
+
+def test_refinement_moves_to_the_nearest_centroid(spark):
+    rows = [(0, "a", 1.0), (1, "a", 1.0), (2, "b", 1.0), (3, "b", 1.0)]
+    v = spark.createDataFrame(rows, "doc long, term string, weight double")
+    start = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 0)], "doc long, cluster long")
+    assert {r["doc"]: r["cluster"] for r in vectors.refine(v, start, 0.28).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_recoder_keeps_local_coding_on_bad_answers(spark):
+    from verbatim_spark.operators.recoder import recode
+
+    def coder(texts):
+        if "boom" in texts:
+            raise OSError("no network")
+        return [{"label": "New", "emotion": "hope", "valence": 0.5, "confidence": 0.9} if t == "ok" else {"label": "x", "emotion": "none", "valence": 9, "confidence": 1} for t in texts]
+
+    codes = spark.createDataFrame([("ok", "old", "neutral", 0.0, 0.5), ("bad", "old", "neutral", 0.0, 0.5), ("boom", "old", "neutral", 0.0, 0.5)], "text string, label string, emotion string, valence double, confidence double")
+    got = {r["text"]: (r["label"], r["recoded"]) for r in recode(codes.coalesce(1), coder, batch=1).collect()}
+    assert got == {"ok": ("New", True), "bad": ("old", False), "boom": ("old", False)}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
+from .functions.shipping import ship
 from .operators import coding, corpus, readings, vectors
 from .operators import reviews as rv
 
@@ -44,6 +45,7 @@ class Engine:
     """Analysis of documents (document_id, text, optionally participant)."""
 
     def __init__(self, spark: SparkSession, controls: Controls = Controls()):
+        ship(spark)
         self.spark, self.controls = spark, controls
 
     def analyse(self, documents: DataFrame) -> dict[str, DataFrame]:

@@ -197,3 +197,17 @@ def concept_space(related: DataFrame, strength: DataFrame, least: float = 0.18)
     edges = sparse_edges(profiles, least)
     nodes = strength.select(F.col("term").alias("id"), F.struct((-F.col("strength")).alias("s"), "term").alias("ord"))
     return leader_clusters(nodes, edges).select(F.col("id").alias("term"), F.col("leader").alias("concept"))
+
+
+def refine(vectors: DataFrame, members: DataFrame, threshold: float, passes: int = 2) -> DataFrame:
+    """Reassigns long unit vectors (doc, term, weight) to the cluster with the
+    most similar centroid if that is at 0.75 of the threshold or more, the
+    smallest cluster id of equals; others stay. (doc, cluster) in and out."""
+    for _ in range(passes):
+        centers = normalise(vectors.join(members, "doc").select(F.col("cluster").alias("doc"), "term", "weight")).withColumnsRenamed({"doc": "cluster", "weight": "c"})
+        sims = vectors.join(centers, "term").groupBy("doc", "cluster").agg(F.sum(F.col("weight") * F.col("c")).alias("sim"))
+        best = sims.groupBy("doc").agg(F.max_by(F.struct("cluster", "sim"), F.struct(F.round("sim", 9), (-F.col("cluster")).alias("o"))).alias("b"))
+        met = members.join(best, "doc", "left")
+        moved = F.when(F.col("b.sim") >= 0.75 * threshold, F.col("b.cluster")).otherwise(F.col("cluster"))
+        members = keep(met.select("doc", moved.alias("cluster")), "refined")
+    return members

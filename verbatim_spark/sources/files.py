@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.shipping import ship
 
 # Encodings in the order in which they are tried.
 CODECS = ["utf-8-sig", "utf-8", "cp1252", "latin-1"]
@@ -50,6 +51,7 @@ def read_transcripts(spark: SparkSession, path: str, least_words: int = 20) -> D
             texts = [docx_text(bytes(c)) if p.lower().endswith(".docx") else decode_text(bytes(c)) for p, c in zip(batch["path"], batch["content"], strict=True)]
             yield pd.DataFrame({"path": batch["path"], "raw_text": texts})
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "path string, raw_text string")
     kept = files.where(tx.word_count(F.col("raw_text")) >= least_words)
     order = Window.orderBy("path")  # a row a file
@@ -104,6 +106,7 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
                 rows = sheet_rows(bytes(content))
                 yield pd.DataFrame({"path": p, "sheet": [r[0] for r in rows], "row": [r[1] for r in rows], "cells": [r[2] for r in rows]})
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(unpack, "path string, sheet string, row int, cells array<string>")
 

@@ -116,3 +116,18 @@ def place_ids(url: Column) -> dict[str, Column]:
         "query": part(r"[?&]q=([^&#]+)"), "feature_id": feature, "name": F.translate(part(r"/place/([^/@?]+)"), "+", " "),
         "lat": part(r"@(-?\d+\.\d+),").try_cast("double"), "lng": part(r"@-?\d+\.\d+,(-?\d+\.\d+)").try_cast("double"),
     }
+
+
+def unwrap_payload(raw: DataFrame, text_col: str = "raw") -> DataFrame:
+    """Reviews of a provider's payload, ``{"data": [place]}`` or ``{"data":
+    [[place]]}``, each place with ``reviews_data``; reviews without text go."""
+    keep = [c for c in raw.columns if c != text_col]
+    first = F.coalesce(F.get_json_object(text_col, "$.data[0][0]"), F.get_json_object(text_col, "$.data[0]"))
+    places = raw.select(*keep, F.get_json_object(first, "$.name").alias("business"), F.get_json_object(first, "$.reviews_data").alias("_r"))
+    each = places.select(*keep, "business", F.explode(F.from_json("_r", "array<string>")).alias("_x"))
+    pick = lambda name: F.coalesce(*[F.get_json_object("_x", f"$.{a}") for a in ALIASES[name]])
+    photos = F.size(F.from_json(F.get_json_object("_x", "$.review_photos"), "array<string>"))
+    return each.select(
+        *keep, "business", pick("reviewer").alias("reviewer"), rating_of(pick("rating")).alias("rating"), F.trim(strip_html(pick("text"))).alias("text"),
+        pick("when").alias("when"), pick("response").alias("owner_response"), F.greatest(F.coalesce(photos, F.lit(0)), F.lit(0)).alias("photo_count"),
+    ).where("text <> ''")
