@@ -3,11 +3,13 @@ stage before it kept. Part of the training-data operators."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatim_spark.functions.shipping import ship
 from verbatim_spark.llm import decontaminate, langid, pieces, secrets, simhash
 from verbatim_spark.llm.common import keep, table
 
@@ -15,6 +17,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def stage(f: Stage) -> Stage:
+    """A stage that may be called on its own: workers get the library first."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which no language is found: null texts, texts
     without a letter. The model learns from the stage's labelled documents."""
@@ -23,6 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one with the
     least doc_id; of repeated rows one. Documents without an id are kept."""
@@ -32,6 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return with_id.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more is benchmark wording."""
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
@@ -39,6 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
 
 
+@stage
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets that look live; widely copied examples stay. n_chars follows."""
     found = secrets.scan(docs).withColumn("secrets", F.filter("secrets", lambda x: x["live"]))
@@ -49,6 +66,7 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return masked.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
+@stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each kept text, with the check that they decode to it."""
     model = pieces.public_model()
@@ -71,6 +89,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES:
+        docs = keep(step(spark, docs, sf_dir), name)
     return docs

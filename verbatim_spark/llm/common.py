@@ -8,10 +8,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 #: Words of most contracts: runs of ASCII letters, digits and non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -24,6 +25,7 @@ _TO_WORDS = bytes(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,13 +59,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_numbers(n: int, state: dict) -> list[int]:
-    """n ids that no other task of this job gives; fixed once they are kept."""
-    first = state.setdefault("next", TaskContext.get().partitionId() << 36)
-    state["next"] = first + n
-    return list(range(first, first + n))
-
-
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding them."""
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
