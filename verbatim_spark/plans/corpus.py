@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import coding, corpus
-from .views import read
+from .views import read, typed
 
 QUERIES, ORACLE = {}, {}
 
@@ -197,3 +197,9 @@ def coded_units(spark, sf):
     units = corpus.units(turns.drop("question_context"), "sentence")
     coded = coding.code_units(units)
     return coded.select("document_id", "turn_idx", "idx", "emotion", "intent", "valence", coding.confidence(F.lit(2)).alias("confidence"))
+
+
+typed(ORACLE, {
+    "token_counts": {"tokens": "INTEGER", "content": "INTEGER"}, "kwic": {"line": "INTEGER"}, "sentence_count": {"sentences": "INTEGER"},
+    "html_strip": {"n": "INTEGER"}, "search_autocode": {"start": "INTEGER", "end": "INTEGER"},
+})

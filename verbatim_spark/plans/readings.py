@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import corpus, readings, vectors
-from .views import APPS, applications, read
+from .views import APPS, applications, read, typed
 
 QUERIES, ORACLE = {}, {}
 
@@ -331,3 +331,6 @@ def located_units(spark, sf):
     docs = read(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("document_id"), tx.normalise(F.col("text")).alias("body"))
     turns = docs.select("document_id", F.lit(0).alias("turn_idx"), "body", F.col("body").alias("text"))
     return corpus.locate(corpus.units(turns)).select("document_id", "turn_idx", "idx", "char_start", "char_end")
+
+
+typed(ORACLE, {name: {"rank": "INTEGER"} for name in ("turning_points", "exemplars", "top_terms", "term_cooccurrence")})

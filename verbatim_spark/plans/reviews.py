@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import reviews as rv
 from .views import APPS, REVIEWS, applications
 from .views import reviews as review_rows
+from .views import typed
 
 QUERIES, ORACLE = {}, {}
 
@@ -203,3 +204,6 @@ def rating_vs_text(spark, sf):
 def blended_sentiment(spark, sf):
     rating = F.when(F.col("review_id") % 7 != 0, F.col("rating"))
     return _reviews(spark, sf).select("review_id", F.round(rv.blended_sentiment(F.col("valence"), rating), 6).alias("blended"))
+
+
+typed(ORACLE, {"competitor_ranking": {"place": "INTEGER"}})

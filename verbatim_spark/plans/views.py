@@ -72,3 +72,11 @@ REVIEWS = """reviews AS (
     datediff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') AS days,
     CAST(CAST(floor(o_totalprice) AS BIGINT) % 41 - 20 AS INTEGER) AS v, o_orderstatus = 'P' AS responded
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def typed(oracle: dict[str, str], kinds: dict[str, dict[str, str]]) -> None:
+    """Gives columns of some oracles the types that Spark's have: window ranks and
+    sizes are 64-bit in DuckDB, sums of big integers 128-bit."""
+    for name, columns in kinds.items():
+        casts = ", ".join(f'CAST("{c}" AS {kind}) AS "{c}"' for c, kind in columns.items())
+        oracle[name] = f"SELECT * REPLACE ({casts}) FROM ({oracle[name]})"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import workbench as wb
-from .views import APPS, applications, read
+from .views import APPS, applications, read, typed
 
 QUERIES, ORACLE = {}, {}
 
@@ -302,3 +302,6 @@ def link_targets(spark, sf):
         kind(read(spark, sf, "part").select("p_brand").distinct(), "code", "p_brand")
         .unionByName(kind(read(spark, sf, "customer"), "document", "c_custkey")).unionByName(kind(latest, "quotation", "o_orderkey"))
     )
+
+
+typed(ORACLE, {"code_document_matrix": {"n_documents": "INTEGER"}, "usage_ledger": {"tokens": "BIGINT"}, "code_colours": {"colour": "BIGINT"}})
