@@ -374,3 +374,11 @@ def test_vocabulary_shares_add_up(spark):
 
 def test_hash_of_held_out_documents():
     assert zlib.crc32(b"1") % 4 == 3 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_oracles_are_sql():
+    from verbatim_spark.llm import queries
+
+    assert set(queries.oracle_sql()) <= set(queries.queries())
+    assert all(isinstance(sql, str) for sql in queries.oracle_sql().values())
+    assert all(callable(f) for f in queries.queries().values()) and len(queries.queries()) == 11
