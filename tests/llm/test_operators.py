@@ -361,6 +361,15 @@ def test_pseudo_likelihood_prefers_the_order_it_saw(spark):
     assert got[0] > got[99] + 0.3
 
 
+def test_pseudo_likelihood_counts_words_outside_the_vocabulary(spark):
+    """Alike in ending and length, beyond the words that every worker holds."""
+    common = " ".join(f"w{i}" for i in range(pseudo.VOCABULARY))
+    texts = [common] * 6 + ["xxqab"] * 4 + ["yyqab"]
+    got = pseudo.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    score = {texts[r["doc_id"]]: r["per_word"] for r in got}
+    assert score["xxqab"] == pytest.approx(score["yyqab"] + math.log(4))
+
+
 def test_vocabulary_shares_add_up(spark):
     counted = spark.createDataFrame([(f"w{i}".encode(), 1000 - i) for i in range(900)], "word binary, n long")
     v = pseudo.vocabulary(counted, size=500)

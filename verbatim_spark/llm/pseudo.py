@@ -3,9 +3,10 @@
 Each word is predicted from the two words before and the two after it. The
 probability of a word is that of its class, from a small network in numpy, times
 its share of the class, from counts of the whole corpus: the most frequent words
-are classes of their own, others share a class by their ending; words outside
-the vocabulary share their class's remaining mass by length. A document's score
-is the sum of its words' conditional log-probabilities.
+are classes of their own, others share a class by their ending. The counts of words
+outside the vocabulary stay in a table and are joined in by key. Each class has
+one more count, for words that the corpus lacks. A document's score is the sum
+of its words' conditional log-probabilities.
 
 Three passes: word counts; training, data-parallel, in which every worker trains
 the same initial network on its own documents and the networks are averaged by
@@ -21,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +31,13 @@ from .common import keep, slices, text_bytes, words
 SINGLES = 32
 ENDINGS = 16
 CLASSES = SINGLES + ENDINGS
-#: Words with counts of their own.
+#: Words whose counts every worker holds; those of the others are joined in.
 VOCABULARY = 16_384
 SIDE = 2
 WIDTH = 8
 HIDDEN = 24
 BATCH = 4096
 RATE = 0.01
-#: The alphabet that words outside the vocabulary are spelled in, as a uniform code.
-SPELLING = math.log(1 / 32)
 #: Distinct words that a worker counts or remembers before it hands them on.
 _MOST_KNOWN = 500_000
 
@@ -46,6 +46,7 @@ class Vocabulary(NamedTuple):
     classes: dict[bytes, int]  # of the most frequent words
     logs: dict[bytes, float]  # log of a known word's share of its class
     unknown: np.ndarray  # log of the share of each class that unknown words have
+    whole: np.ndarray  # log of the count of each class and one more, for words never seen
 
 
 def ending_class(word: bytes) -> int:
@@ -76,7 +77,6 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     """From whole-corpus counts; the driver gets ``size`` words and a row a class."""
-    counts = keep(counts, "words")
     # Each of at most 64 tasks sends its first ``size`` words to the driver.
     top = counts.coalesce(64).orderBy(F.desc("n"), "word").limit(size).collect()
     # The class of an ending, as ending_class has it.
@@ -95,11 +95,13 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     # One more, so that a class always leaves mass for words never seen.
     logs = {bytes(r["word"]): math.log(r["n"] / (whole[classes[bytes(r["word"])]] + 1)) for r in top}
     unknown = np.log((whole - own + 1) / (whole + 1))
-    return Vocabulary(classes, logs, unknown)
+    return Vocabulary(classes, logs, unknown, np.log(whole + 1))
 
 
 class Coder:
-    """Words to (class, log of the word's share of its class)."""
+    """Words to (class, log of the word's share of its class). For words outside
+    the vocabulary the share is that of one occurrence, and they are told by
+    ``rare``: the log of their count is added where the counts are."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.known = vocabulary, {}
@@ -112,12 +114,15 @@ class Coder:
             c = self.v.classes.get(word)
             if c is None:
                 c = ending_class(word)
-                found = c, float(self.v.unknown[c]) + (len(word) + 1) * SPELLING
+                found = c, -float(self.v.whole[c])
             else:
                 found = c, self.v.logs[word]
             self.known[word] = found
         return found
 
+    def rare(self, word: bytes) -> bool:
+        return word not in self.v.classes
+
     def lay_out(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Classes of all words with SIDE paddings around each text; the words'
         places in that; the logs of their shares; and each text's word count."""
@@ -223,18 +228,41 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     side), in nats; per_word its mean, null without words. Null and empty texts
     have no words and a sum of 0. Counts and training cover all of docs."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(vocabulary(count_words(docs, text_col)))  # VOCABULARY words
+    counts = keep(count_words(docs, text_col), "words")
+    sent = spark.sparkContext.broadcast(vocabulary(counts))  # VOCABULARY words
     net = spark.sparkContext.broadcast(train(docs, sent, text_col))  # PARAMETERS numbers
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        """A row a document, and a row an occurrence of a word whose count is to
+        be joined in. Rows of documents have keys that are no words, each its own."""
         coder, network = Coder(sent.value), Network(net.value)
+        row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, most=8 << 20):
-            flat, at, logs, sizes = coder.lay_out(text_bytes(batch.column(1)))
+            texts = text_bytes(batch.column(1))
+            flat, at, logs, sizes = coder.lay_out(texts)
             total = np.concatenate([[0.0], np.cumsum(network.logs(flat, at) + logs)])
             ends = np.cumsum(sizes)
-            sums = total[ends] - total[ends - sizes]
-            mean = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sums), mean], ["doc_id", "n_words", "log_likelihood", "per_word"])
+            rows = np.arange(row, row + len(sizes))
+            row += len(sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows), batch.column(0), pa.array(sizes), pa.array(total[ends] - total[ends - sizes]), pa.array([b" %d" % r for r in rows.tolist()], pa.binary())],
+                ["row", "doc_id", "n_words", "log_likelihood", "word"],
+            )
+            rare = [list(filter(coder.rare, words(t))) if t else [] for t in texts]
+            at = np.repeat(rows, [len(x) for x in rare])
+            if len(at):
+                none = lambda k: pa.nulls(len(at), k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at), none(batch.column(0).type), none(pa.int64()), none(pa.float64()), pa.array([w for x in rare for w in x], pa.binary())],
+                    ["row", "doc_id", "n_words", "log_likelihood", "word"],
+                )
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words bigint, log_likelihood double, per_word double")
+    rows = source.mapInArrow(run, f"row bigint, doc_id {kind}, n_words bigint, log_likelihood double, word binary")
+    known = rows.join(counts, "word", "left").withColumn("log_likelihood", F.coalesce("log_likelihood", F.log("n")))
+    whole = known.groupBy("row").agg(
+        F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("log_likelihood").alias("log_likelihood")
+    )
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return whole.select("doc_id", "n_words", "log_likelihood", mean.alias("per_word"))
