@@ -370,6 +370,26 @@ def test_pseudo_likelihood_counts_words_outside_the_vocabulary(spark):
     assert score["xxqab"] == pytest.approx(score["yyqab"] + math.log(4))
 
 
+def test_pseudo_likelihood_tells_words_of_one_ending_by_context(spark):
+    """All past the most frequent words, of one ending and equally frequent."""
+    common = " ".join(f"w{i}" for i in range(pseudo.SINGLES)) + " "
+    texts = [common * 100 + "kaqab kaqab laqab kaqab kaqab " * 40 + common + "maqab maqab naqab maqab maqab " * 40] * 40
+    texts += ["kaqab kaqab laqab kaqab kaqab", "kaqab kaqab naqab kaqab kaqab"]
+    seen = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["log_likelihood"] for r in pseudo.score(seen).collect()}
+    assert got[40] > got[41] + 1
+
+
+def test_tree_probabilities_add_up(spark):
+    counted = spark.createDataFrame([(f"w{i}".encode(), 1000 - i) for i in range(900)], "word binary, n long")
+    t = pseudo.tree(pseudo.vocabulary(counted, size=500))
+    net = pseudo.Network(t)
+    net.flat = np.random.default_rng(1).normal(0, 1, len(net.flat)).astype(np.float32)
+    around = [3, 510]
+    total = sum(math.exp(net.logs(np.array([*around, leaf, *around]), np.array([2]))[0]) for leaf in range(len(t.shares)))
+    assert total == pytest.approx(1, abs=1e-4)
+
+
 def test_vocabulary_shares_add_up(spark):
     counted = spark.createDataFrame([(f"w{i}".encode(), 1000 - i) for i in range(900)], "word binary, n long")
     v = pseudo.vocabulary(counted, size=500)

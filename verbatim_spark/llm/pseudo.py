@@ -1,20 +1,23 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
-Each word is predicted from the two words before and the two after it. The
-probability of a word is that of its class, from a small network in numpy, times
-its share of the class, from counts of the whole corpus: the most frequent words
-are classes of their own, others share a class by their ending. The counts of words
-outside the vocabulary stay in a table and are joined in by key. Each class has
-one more count, for words that the corpus lacks. A document's score is the sum
-of its words' conditional log-probabilities.
+Each word is predicted from the two words before and the two after it, by a small
+network in numpy with a hierarchical softmax. The leaves of its tree are the most
+frequent words, each with an embedding of its own, and one leaf for the rest of
+each class of endings; every inner node has a vector that meets the context, and
+starts from the counts below it. A word of such a rest has the leaf's probability
+times its share of the rest, from its count in the whole corpus: those counts stay
+in a table and are joined in by key. Each rest has one more count, for words that
+the corpus lacks. A document's score is the sum of its words' conditional
+log-probabilities.
 
 Three passes: word counts; training, data-parallel, in which every worker trains
-the same initial network on its own documents and the networks are averaged by
-the number of words that each has seen; scoring.
+the same initial network on its own documents and the networks are averaged,
+each row of parameters by how often each worker has used it; scoring.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -31,13 +34,15 @@ from .common import keep, slices, text_bytes, words
 SINGLES = 32
 ENDINGS = 16
 CLASSES = SINGLES + ENDINGS
-#: Words whose counts every worker holds; those of the others are joined in.
+#: Words with leaves of their own, which every worker holds; the counts of the others are joined in.
 VOCABULARY = 16_384
 SIDE = 2
 WIDTH = 8
 HIDDEN = 24
 BATCH = 4096
 RATE = 0.01
+#: Parameters of a network that are averaged together.
+CHUNK = 4096
 #: Distinct words that a worker counts or remembers before it hands them on.
 _MOST_KNOWN = 500_000
 
@@ -98,82 +103,108 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     return Vocabulary(classes, logs, unknown, np.log(whole + 1))
 
 
+class Tree(NamedTuple):
+    """A Huffman tree; leaves are words, then the rests of the classes of endings."""
+
+    leaves: dict[bytes, int]
+    shares: np.ndarray  # log of the share that one occurrence has of each leaf
+    starts: np.ndarray  # where each leaf's path begins in nodes and signs
+    sizes: np.ndarray  # the length of each leaf's path
+    nodes: np.ndarray
+    signs: np.ndarray  # 1 to the right, -1 to the left
+    base: np.ndarray  # log of the counts to the right over those to the left, of each node
+
+
+def tree(v: Vocabulary) -> Tree:
+    leaves = {w: i for i, w in enumerate(v.classes)}
+    rests = (v.unknown + v.whole)[SINGLES:]
+    weights = [math.exp(v.logs[w] + v.whole[c]) for w, c in v.classes.items()] + np.exp(rests).tolist()
+    n = len(weights)
+    heap = [(x, i) for i, x in enumerate(weights)]
+    heapq.heapify(heap)
+    parent, side, base = np.full(2 * n - 1, -1), np.zeros(2 * n - 1, np.float32), np.zeros(n - 1, np.float32)
+    for k in range(n - 1):
+        (x, a), (y, b) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[[a, b]], side[[a, b]], base[k] = n + k, (-1, 1), math.log(y / x)
+        heapq.heappush(heap, (x + y, n + k))
+    at, steps = np.arange(n), []
+    while (parent[at] >= 0).any():
+        steps.append((parent[at] - n, side[at]))
+        at = np.where(parent[at] >= 0, parent[at], at)
+    nodes, signs = (np.stack(x, axis=1) for x in zip(*steps, strict=True))
+    on = nodes >= 0
+    sizes = on.sum(axis=1)
+    shares = np.concatenate([np.zeros(len(leaves)), -rests])
+    return Tree(leaves, shares, np.cumsum(sizes) - sizes, sizes, nodes[on], signs[on], base)
+
+
+class Leaves(dict):
+    """Words to their leaves."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self) + ending_class(word) - SINGLES
+
+
 class Coder:
-    """Words to (class, log of the word's share of its class). For words outside
-    the vocabulary the share is that of one occurrence, and they are told by
-    ``rare``: the log of their count is added where the counts are."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known = vocabulary, {}
-
-    def __call__(self, word: bytes) -> tuple[int, float]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > _MOST_KNOWN:
-                self.known.clear()
-            c = self.v.classes.get(word)
-            if c is None:
-                c = ending_class(word)
-                found = c, -float(self.v.whole[c])
-            else:
-                found = c, self.v.logs[word]
-            self.known[word] = found
-        return found
-
-    def rare(self, word: bytes) -> bool:
-        return word not in self.v.classes
-
-    def lay_out(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Classes of all words with SIDE paddings around each text; the words'
-        places in that; the logs of their shares; and each text's word count."""
-        flat, logs, sizes = [CLASSES] * SIDE, [], []
+    def __init__(self, tree: Tree):
+        self.tree, self.leaves = tree, Leaves(tree.leaves)
+        self.padding = len(tree.shares)
+
+    def lay_out(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Leaves of all words with SIDE paddings around each text; the words'
+        places in that; each text's word count, and its words without a leaf of
+        their own."""
+        flat, sizes, rare = [self.padding] * SIDE, [], []
+        own, leaf = len(self.leaves), self.leaves.__getitem__
         for text in texts:
-            found = list(map(self, words(text))) if text else []
+            found = words(text) if text else []
+            mine = list(map(leaf, found))
             sizes.append(len(found))
-            flat += [c for c, _ in found]
-            logs += [x for _, x in found]
-            flat += [CLASSES] * SIDE
+            rare.append([w for w, x in zip(found, mine, strict=True) if x >= own])
+            flat += mine
+            flat += [self.padding] * SIDE
         flat = np.array(flat, np.int64)
-        return flat, np.flatnonzero(flat != CLASSES), np.array(logs), np.array(sizes, np.int64)
+        return flat, np.flatnonzero(flat != self.padding), np.array(sizes, np.int64), rare
 
 
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
-_SHAPES = [(CLASSES + 1, WIDTH), (len(_OFFSETS) * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
-PARAMETERS = sum(math.prod(s) for s in _SHAPES)
 
 
 class Network:
-    """Embeddings of the words around, one hidden layer, a softmax over classes."""
+    """Embeddings of the words around, one hidden layer, a vector for each node."""
 
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 0):
+    def __init__(self, tree: Tree, flat: np.ndarray | None = None, seed: int = 0):
+        self.tree, n = tree, len(tree.shares)
+        self.shapes = [(n + 1, WIDTH), (len(_OFFSETS) * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, WIDTH), (n - 1, WIDTH)]
+        self.cuts = np.cumsum([math.prod(x) for x in self.shapes])[:-1]
         if flat is None:
             rng = np.random.default_rng(seed)
-            flat = np.concatenate([rng.normal(0, 1 / math.sqrt(s[0]) if len(s) > 1 else 0, math.prod(s)) for s in _SHAPES])
+            spread = [1 / math.sqrt(WIDTH), 1 / math.sqrt(self.shapes[1][0]), 0, 1 / math.sqrt(HIDDEN), 0]
+            flat = np.concatenate([rng.normal(0, x, math.prod(shape)) for x, shape in zip(spread, self.shapes, strict=True)])
         self.flat = flat.astype(np.float32)
         self.m, self.v, self.step = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
 
-    @property
-    def parts(self) -> list[np.ndarray]:
-        return np.split(self.flat, np.cumsum([math.prod(s) for s in _SHAPES])[:-1])
-
     def forward(self, flat: np.ndarray, at: np.ndarray):
-        e, w1, b1, w2, b2 = (p.reshape(s) for p, s in zip(self.parts, _SHAPES, strict=True))
+        """With a row for each node on the way to each word: its logit, sign and more."""
+        e, w1, b1, w2, v = parts = [p.reshape(s) for p, s in zip(np.split(self.flat, self.cuts), self.shapes, strict=True)]
         around = np.stack([flat[at + o] for o in _OFFSETS], axis=1)
         x = e[around].reshape(len(at), -1)
         h = np.tanh(x @ w1 + b1)
-        z = h @ w2 + b2
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return around, x, h, z, w1, w2
+        t, leaf = self.tree, flat[at]
+        sizes = t.sizes[leaf]
+        starts = np.cumsum(sizes) - sizes
+        step = np.repeat(t.starts[leaf] - starts, sizes) + np.arange(sizes.sum())
+        node, sign = t.nodes[step], t.signs[step]
+        g, u = np.repeat(h @ w2, sizes, axis=0), v[node]
+        z = sign * (t.base[node] + np.einsum("ij,ij->i", g, u))
+        return parts, around, x, h, g, u, node, sign, starts, z
 
     def logs(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log-probability of each word's class, given the words around it."""
+        """Log-probability of each word's leaf, given the words around it."""
         out = np.empty(len(at))
         for lo in range(0, len(at), BATCH):
-            mine = at[lo : lo + BATCH]
-            p = self.forward(flat, mine)[3]
-            out[lo : lo + BATCH] = np.log(np.maximum(p[np.arange(len(mine)), flat[mine]], 1e-12))
+            *_, starts, z = self.forward(flat, at[lo : lo + BATCH])
+            out[lo : lo + BATCH] = -np.add.reduceat(np.logaddexp(0, -z), starts)
         return out
 
     def train(self, flat: np.ndarray, at: np.ndarray) -> None:
@@ -183,42 +214,59 @@ class Network:
             self._update(flat, at[order[lo : lo + BATCH]])
 
     def _update(self, flat: np.ndarray, at: np.ndarray) -> None:
-        around, x, h, p, w1, w2 = self.forward(flat, at)
-        p[np.arange(len(at)), flat[at]] -= 1
-        p /= len(at)
-        dh = (p @ w2.T) * (1 - h * h)
+        (_, w1, _, w2, _), around, x, h, g, u, node, sign, starts, z = self.forward(flat, at)
+        r = -sign / ((1 + np.exp(np.minimum(z, 60))) * len(at))
+        g *= r[:, None]
+        u *= r[:, None]
+        dg = np.add.reduceat(u, starts, axis=0)
+        dh = (dg @ w2.T) * (1 - h * h)
         dx = (dh @ w1.T).reshape(-1, WIDTH)
-        rows = around.reshape(-1)
-        de = np.stack([np.bincount(rows, weights=dx[:, k], minlength=CLASSES + 1) for k in range(WIDTH)], axis=1)
-        grad = np.concatenate([g.reshape(-1) for g in (de, x.T @ dh, dh.sum(0), h.T @ p, p.sum(0))]).astype(np.float32)
+        total = lambda rows, d, n: np.stack([np.bincount(rows, weights=d[:, k], minlength=n) for k in range(WIDTH)], axis=1)
+        de, dv = total(around.reshape(-1), dx, self.shapes[0][0]), total(node, g, self.shapes[4][0])
+        grad = np.concatenate([d.reshape(-1) for d in (de, x.T @ dh, dh.sum(0), h.T @ dg, dv)]).astype(np.float32)
         self.step += 1
         self.m += 0.1 * (grad - self.m)
         self.v += 0.01 * (grad * grad - self.v)
-        self.flat -= RATE * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-8)
+        self.flat -= RATE / (1 - 0.9**self.step) * self.m / (np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-8)
+
+    def used(self, seen: np.ndarray) -> np.ndarray:
+        """How often each parameter was used, from how often each leaf was met."""
+        t = self.tree
+        passed = np.bincount(t.nodes, weights=np.repeat(seen, t.sizes), minlength=len(t.base))
+        dense = self.cuts[3] - self.cuts[0]
+        return np.concatenate([np.repeat(np.append(seen, seen.sum()), WIDTH), np.full(dense, seen.sum()), np.repeat(passed, WIDTH)])
 
 
 def train(docs: DataFrame, sent, text_col: str = "text") -> np.ndarray:
     """The averaged parameters of networks trained on each partition's texts.
-    They are added up parameter by parameter in the cluster; the driver gets one
-    network. A lost task is run again on the same rows."""
+    They are added up by chunks in the cluster; the driver gets one network. A
+    lost task is run again on the same rows."""
 
     def run(batches):
-        coder, net, n = Coder(sent.value), Network(), 0
+        coder, net = Coder(sent.value), Network(sent.value)
+        seen = np.zeros(coder.padding)
         for batch in slices(batches, 0, most=8 << 20):
             flat, at, _, _ = coder.lay_out(text_bytes(batch.column(0)))
             net.train(flat, at)
-            n += len(at)
-        if n:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([n], pa.int64()), pa.array([net.flat.astype(float).tolist()], pa.list_(pa.float64()))], ["n", "net"]
-            )
-
-    nets = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "n bigint, net array<double>")
+            seen += np.bincount(flat[at], minlength=len(seen))
+        if seen.any():
+            # A parameter that no worker used stays as it began.
+            n = net.used(seen) + 1e-3
+            at = range(0, len(n), CHUNK)
+            cut = lambda x: pa.array([x[k : k + CHUNK].astype(np.float32).tobytes() for k in at], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int64()), cut(n), cut(net.flat)], ["k", "n", "x"])
+
+    def mean(rows: pa.Table) -> pa.Table:
+        total = weight = 0
+        for n, x in zip(rows["n"], rows["x"], strict=True):
+            n = np.frombuffer(n.as_py(), np.float32).astype(float)
+            total, weight = total + n * np.frombuffer(x.as_py(), np.float32), weight + n
+        return pa.table({"k": rows["k"][:1], "x": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
+
+    nets = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "k bigint, n binary, x binary")
     nets = keep(nets, "networks")  # training runs once, whatever is lost later
-    each = nets.select("n", F.posexplode("net").alias("k", "x"))
-    mean = each.groupBy("k").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x"))
-    got = mean.orderBy("k").collect()
-    return np.array([r["x"] for r in got]) if got else Network().flat
+    got = sorted(nets.groupBy("k").applyInArrow(mean, "k bigint, x binary").collect(), key=lambda r: r["k"])
+    return np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32) if got else Network(sent.value).flat
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,19 +277,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     have no words and a sum of 0. Counts and training cover all of docs."""
     spark = docs.sparkSession
     counts = keep(count_words(docs, text_col), "words")
-    sent = spark.sparkContext.broadcast(vocabulary(counts))  # VOCABULARY words
-    net = spark.sparkContext.broadcast(train(docs, sent, text_col))  # PARAMETERS numbers
+    sent = spark.sparkContext.broadcast(tree(vocabulary(counts)))  # VOCABULARY words
+    net = spark.sparkContext.broadcast(train(docs, sent, text_col))  # a few numbers a word of it
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         """A row a document, and a row an occurrence of a word whose count is to
         be joined in. Rows of documents have keys that are no words, each its own."""
-        coder, network = Coder(sent.value), Network(net.value)
+        coder, network = Coder(sent.value), Network(sent.value, net.value)
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, most=8 << 20):
-            texts = text_bytes(batch.column(1))
-            flat, at, logs, sizes = coder.lay_out(texts)
-            total = np.concatenate([[0.0], np.cumsum(network.logs(flat, at) + logs)])
+            flat, at, sizes, rare = coder.lay_out(text_bytes(batch.column(1)))
+            total = np.concatenate([[0.0], np.cumsum(network.logs(flat, at) + sent.value.shares[flat[at]])])
             ends = np.cumsum(sizes)
             rows = np.arange(row, row + len(sizes))
             row += len(sizes)
@@ -249,7 +296,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 [pa.array(rows), batch.column(0), pa.array(sizes), pa.array(total[ends] - total[ends - sizes]), pa.array([b" %d" % r for r in rows.tolist()], pa.binary())],
                 ["row", "doc_id", "n_words", "log_likelihood", "word"],
             )
-            rare = [list(filter(coder.rare, words(t))) if t else [] for t in texts]
             at = np.repeat(rows, [len(x) for x in rare])
             if len(at):
                 none = lambda k: pa.nulls(len(at), k)
