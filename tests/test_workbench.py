@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from verbatim_spark.context import Controls, Engine, ReviewEngine
 from verbatim_spark.operators import readings, vectors
 from verbatim_spark.operators import workbench as wb
@@ -87,3 +89,27 @@ def test_recoder_keeps_local_coding_on_bad_answers(spark):
     codes = spark.createDataFrame([("ok", "old", "neutral", 0.0, 0.5), ("bad", "old", "neutral", 0.0, 0.5), ("boom", "old", "neutral", 0.0, 0.5)], "text string, label string, emotion string, valence double, confidence double")
     got = {r["text"]: (r["label"], r["recoded"]) for r in recode(codes.coalesce(1), coder, batch=1).collect()}
     assert got == {"ok": ("New", True), "bad": ("old", False), "boom": ("old", False)}
+
+
+def test_clusters_that_hold_too_much_are_cut(spark):
+    """Two kinds of seven that share a third term: one cluster at 0.3, two at 0.48."""
+    a, b = 0.8, 0.6
+    rows = [(f"{k}{i}", t, w) for k in "xy" for i in range(7) for t, w in ((k, a), ("shared", b))]
+    v = spark.createDataFrame(rows, "doc string, term string, weight double")
+    nodes = v.select(F.col("doc").alias("id"), F.lit("all").alias("within")).distinct()
+    got = vectors.cluster(v, nodes, vectors.sparse_edges(v, 0.3), 0.3)
+    sets = sorted(sorted(r["docs"]) for r in got.groupBy("cluster").agg(F.collect_list("doc").alias("docs")).collect())
+    assert sets == [[f"{k}{i}" for i in range(7)] for k in "xy"]
+    loose = spark.createDataFrame([(f"{k}{i}", "one") for k in "xy" for i in range(7)] + [("z", "alone")], "doc string, cluster string")
+    mean = (42 * 1 + 49 * b * b) / 91
+    assert {r["cluster"]: r["cohesion"] for r in vectors.sparse_cohesion(v, loose).collect()} == {"one": round(mean, 6), "alone": 0.5}
+
+
+def test_engine_confidence_follows_cohesion(spark):
+    """Both themes have the same codes but for how alike their units are."""
+    said = ["The garden fence needs paint.", "The garden fence needs paint.", "The garden gate wants oil.", "The garden gate wants oil."]
+    docs = spark.createDataFrame([("d", "\n".join(f"P{i}: {x}" for i, x in enumerate(said)))], "document_id string, text string")
+    out = Engine(spark, Controls(similarity=0.05, min_quotes=2)).analyse(docs)
+    mean = {r["theme_id"]: r["c"] for r in out["codes"].join(out["members"], "unit_id").groupBy("theme_id").agg(F.avg("confidence").alias("c")).collect()}
+    got = {r["theme_id"]: r["confidence"] for r in out["themes"].collect()}
+    assert len(got) == 1 and all(c < round(min(mean[t], 0.99), 6) for t, c in got.items())

@@ -50,7 +50,8 @@ class Engine:
 
     def analyse(self, documents: DataFrame) -> dict[str, DataFrame]:
         """Turns, units, codes, vectors, themes and readings. Everything is lazy
-        but the clustering, which keeps its rounds in the shared folder."""
+        but the clustering, which keeps its rounds in the shared folder. Themes are
+        refined and cut where they hold too much; cohesion is that of their vectors."""
         turns = corpus.question_context(corpus.split_turns(documents))
         units = corpus.units(turns, self.controls.granularity).withColumn("unit_id", F.sha2(F.concat_ws(":", "document_id", "turn_idx", "idx"), 256))
         coded = coding.code_units(units)
@@ -64,12 +65,10 @@ class Engine:
         })
         weights = vectors.tfidf(terms, idf)
         edges = vectors.sparse_edges(weights, self.controls.similarity)
-        central = edges.select(F.col("i").alias("id"), "sim").unionByName(edges.select(F.col("j").alias("id"), "sim")).groupBy("id").agg(F.sum("sim").alias("c"))
-        nodes = codes.select(F.col("unit_id").alias("id")).join(central, "id", "left").select("id", F.struct((-F.coalesce("c", F.lit(0.0))).alias("c"), "id").alias("ord"))
-        members = vectors.leader_clusters(nodes, edges)
-        sizes = members.groupBy("leader").agg(F.count("*").alias("size")).where(F.col("size") >= self.controls.min_quotes)
-        themed = codes.join(members.select(F.col("id").alias("unit_id"), F.col("leader").alias("theme_id")), "unit_id").join(sizes.select(F.col("leader").alias("theme_id")), "theme_id", "left_semi")
-        themed = themed.withColumn("cohesion", F.lit(0.5))
+        nodes = codes.select(F.col("unit_id").alias("id"), F.lit("all").alias("within"))
+        members = vectors.cluster(weights, nodes, edges, self.controls.similarity).select("doc", "cluster")
+        facts = vectors.sparse_cohesion(weights, members).where(F.col("members") >= self.controls.min_quotes).select(F.col("cluster").alias("theme_id"), "cohesion")
+        themed = codes.join(members.select(F.col("doc").alias("unit_id"), F.col("cluster").alias("theme_id")), "unit_id").join(facts, "theme_id")
         id_pairs = themed.select(F.col("unit_id").alias("id"), "theme_id", "participant", "valence")
         return {
             "turns": turns, "units": units, "codes": codes, "idf": idf, "themes": readings.theme_summary(themed), "members": themed.select("unit_id", "theme_id"),

@@ -202,12 +202,55 @@ def concept_space(related: DataFrame, strength: DataFrame, least: float = 0.18)
 def refine(vectors: DataFrame, members: DataFrame, threshold: float, passes: int = 2) -> DataFrame:
     """Reassigns long unit vectors (doc, term, weight) to the cluster with the
     most similar centroid if that is at 0.75 of the threshold or more, the
-    smallest cluster id of equals; others stay. (doc, cluster) in and out."""
+    smallest cluster id of equals; others stay. (doc, cluster) in and out; with a
+    column ``within``, only among the clusters of the same value."""
+    other = [c for c in members.columns if c == "within"]
     for _ in range(passes):
-        centers = normalise(vectors.join(members, "doc").select(F.col("cluster").alias("doc"), "term", "weight")).withColumnsRenamed({"doc": "cluster", "weight": "c"})
-        sims = vectors.join(centers, "term").groupBy("doc", "cluster").agg(F.sum(F.col("weight") * F.col("c")).alias("sim"))
-        best = sims.groupBy("doc").agg(F.max_by(F.struct("cluster", "sim"), F.struct(F.round("sim", 9), (-F.col("cluster")).alias("o"))).alias("b"))
+        laid = vectors.join(members, "doc")
+        centers = normalise(laid.select(F.col("cluster").alias("doc"), "term", "weight")).withColumnsRenamed({"doc": "cluster", "weight": "c"})
+        centers = centers.join(members.select("cluster", *other).distinct(), "cluster") if other else centers
+        sims = laid.drop("cluster").join(centers, ["term", *other]).groupBy("doc", "cluster").agg(F.sum(F.col("weight") * F.col("c")).alias("sim"))
+        best = sims.groupBy("doc").agg(F.min_by(F.struct("cluster", "sim"), F.struct((-F.round("sim", 9)).alias("s"), "cluster")).alias("b"))
         met = members.join(best, "doc", "left")
         moved = F.when(F.col("b.sim") >= 0.75 * threshold, F.col("b.cluster")).otherwise(F.col("cluster"))
-        members = keep(met.select("doc", moved.alias("cluster")), "refined")
+        members = keep(met.select("doc", moved.alias("cluster"), *other), "refined")
     return members
+
+
+def cluster(vectors: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: float, passes: int = 2) -> DataFrame:
+    """Leader clusters of nodes (id, within), most central first, refined, and those
+    of more than a fifth of their ``within`` (0.18, and 12) cut again at a tighter
+    threshold where that leaves two parts of three or more. Edges join nodes of one
+    ``within``. All clusters of a level are cut at once; the threshold grows to
+    0.8, so levels are few. (doc, within, cluster) with ids of type string."""
+    ends = edges.select(F.col("i").alias("id"), "sim").unionByName(edges.select(F.col("j").alias("id"), "sim"))
+    central = ends.groupBy("id").agg(F.sum("sim").alias("c"))
+    ordered = nodes.join(central, "id", "left").select("id", F.struct((-F.coalesce("c", F.lit(0.0))).alias("c"), "id").alias("ord"))
+    members = leader_clusters(ordered, edges).join(nodes, "id").select(F.col("id").alias("doc"), F.col("leader").alias("cluster"), "within")
+    members = refine(vectors, members, threshold, passes)
+    if threshold >= 0.8:
+        return members
+    sizes = members.groupBy("within", "cluster").agg(F.count("*").alias("size"))
+    whole = sizes.groupBy("within").agg(F.sum("size").alias("n"))
+    large = sizes.join(whole, "within").where(F.col("size") > F.greatest(F.lit(12), F.floor(0.18 * F.col("n")))).select("cluster")
+    cut = keep(members.join(large, "cluster", "left_semi").select(F.col("doc").alias("id"), F.col("cluster").alias("within")), "oversize")
+    if not cut.limit(1).count():
+        return members
+    tighter = min(0.8, 1.6 * threshold)
+    i, j = (cut.select(F.col("id").alias(c), F.col("within").alias(f"w{c}")) for c in "ij")
+    inside = edges.where(F.col("sim") >= tighter).join(i, "i").join(j, "j").where("wi = wj").select("i", "j", "sim")
+    parts = cluster(vectors, cut, keep(inside, "edges"), tighter, 1)
+    clean = parts.groupBy("within", "cluster").agg(F.count("*").alias("size")).where("size >= 3").groupBy("within").agg(F.count("*").alias("k")).where("k >= 2")
+    parts = parts.join(clean, "within", "left_semi").select("doc", F.col("cluster").alias("part"))
+    return keep(members.join(parts, "doc", "left").select("doc", F.coalesce("part", "cluster").alias("cluster"), "within"), "clusters")
+
+
+def sparse_cohesion(vectors: DataFrame, members: DataFrame) -> DataFrame:
+    """``cohesion`` of long unit vectors (doc, term, weight) by (doc, cluster); a
+    member without terms is like no other."""
+    x = F.col("weight")
+    sums = vectors.join(members, "doc").groupBy("cluster", "term").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    whole = sums.groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.sum("q").alias("q"))
+    n = members.groupBy("cluster").agg(F.count("*").alias("members"))
+    value = F.coalesce(F.col("s2") - F.col("q"), F.lit(0.0)) / (F.col("members") * (F.col("members") - 1))
+    return n.join(whole, "cluster", "left").select("cluster", "members", F.round(F.when(F.col("members") < 2, 0.5).otherwise(value), 6).alias("cohesion"))
