@@ -138,6 +138,13 @@ def test_proximity_matches(spark):
     assert got[0] == ([], ["7"]) and got[1] == ([], [])
 
 
+def test_proximity_matches_with_a_word_that_the_corpus_lacks(spark):
+    docs = spark.createDataFrame([(0, "so the zebra meets a small giraffe here"), (1, "zebra alone")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "zebra meets a tall giraffe"), (8, "zebra unheard")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"], r["near_items"]) for r in decontaminate.find(docs, bench).collect()}
+    assert got == {0: (0, [], ["7"]), 1: (0, [], [])}
+
+
 def test_sentencepiece(docs, empty):
     model = pieces.public_model()
     library = sentencepiece.SentencePieceProcessor(model_file=model)

@@ -101,7 +101,7 @@ def _block(source: DataFrame, rows: list, window: int, slop: int, first: bool):
     for r in term_counts(source, known).collect():
         counts[r["term"]] = r["n"]
     windows = rarest(items, counts, window)
-    pairs = sorted({(items[i].terms[a], items[i].terms[b]) for i, _, _, a, b in windows})
+    pairs = sorted({(items[i].terms[a], items[i].terms[b]) for i, _, _, a, b, _ in windows})
     index = keep(build_index(source, known, pairs), "postings")
     postings = index.where("term >= 0").select("doc_id", "h", "term", "positions")
     heads = index.where("term = -1").select("doc_id", "h", "n_words") if first else None
@@ -124,17 +124,21 @@ def term_counts(source: DataFrame, known) -> DataFrame:
     return found.groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def rarest(items: list[Item], counts: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
-    """(item's place, start, end, place of the rarest word, of the second rarest)
-    of each window whose words all occur in the corpus; places are in the item."""
+def rarest(items: list[Item], counts: np.ndarray, window: int) -> list[tuple[int, int, int, int, int, bool]]:
+    """(item's place, start, end, place of the rarest word, of the second rarest,
+    whether all words occur) of each window; places are in the item. The two are
+    the rarest that the corpus has: a copy of the window may lack the others, but
+    then is near only. Windows of several words need two that occur."""
     out = []
     for i, (_, terms) in enumerate(items):
         seen = counts[terms]
         for start in range(max(1, len(terms) - window + 1)):
             part = seen[start : start + window]
-            if part.all():
-                order = np.lexsort((np.arange(len(part)), part))
-                out.append((i, start, start + len(part) - 1, start + int(order[0]), start + int(order[min(1, len(order) - 1)])))
+            there = np.flatnonzero(part)
+            if len(there) >= min(2, len(part)):
+                order = there[np.argsort(part[there], kind="stable")]
+                second = order[min(1, len(order) - 1)]
+                out.append((i, start, start + len(part) - 1, start + int(order[0]), start + int(second), len(there) == len(part)))
     return out
 
 
@@ -192,12 +196,12 @@ def search(postings: DataFrame, items: list[Item], windows: list, slop: int) ->
     matches (doc_id, h, item)."""
     spark = postings.sparkSession
     frame = lambda rows, kind: F.broadcast(spark.createDataFrame(rows, kind))  # noqa: E731  bounded by BLOCK_WORDS
-    anchors = sorted({(items[i].terms[k], i, k) for i, _, _, *ks in windows for k in ks})
+    anchors = sorted({(items[i].terms[k], i, k) for i, _, _, *ks, _ in windows for k in ks})
     by_item = defaultdict(list)
-    for i, start, end, a, b in windows:
-        by_item[i].append((start, end, a, b))
+    for i, start, end, a, b, complete in windows:
+        by_item[i].append((start, end, a, b, complete))
     places = frame(anchors, "term int, i int, k int")
-    plans = frame(list(by_item.items()), "i int, wins array<struct<s:int,e:int,a:int,b:int>>")
+    plans = frame(list(by_item.items()), "i int, wins array<struct<s:int,e:int,a:int,b:int,whole:boolean>>")
     names = frame([(i, x.item) for i, x in enumerate(items)], "i int, item string")
     terms = frame([(i, k, t) for i, x in enumerate(items) if i in by_item for k, t in enumerate(x.terms)], "i int, k int, term int")
 
@@ -210,7 +214,7 @@ def search(postings: DataFrame, items: list[Item], windows: list, slop: int) ->
     both = lambda w: F.array_contains("ks", w["a"]) & F.array_contains("ks", w["b"])
     met = (
         shifted.groupBy(*on).agg(F.collect_set("k").alias("ks")).join(plans, "i")
-        .select(*on, F.filter("wins", both).alias("wins")).where(F.size("wins") > 0)
+        .select(*on, F.filter("wins", lambda w: w["whole"] & both(w)).alias("wins")).where(F.size("wins") > 0)
     )
     met = keep(met, "candidates")
     spans = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda w: F.sequence(w["s"], w["e"]))))
