@@ -363,49 +363,127 @@ def test_pseudo_likelihood(spark, docs, empty):
 def test_pseudo_likelihood_prefers_the_order_it_saw(spark):
     text = "red blue green " * 400
     shuffled = " ".join(np.random.default_rng(0).permutation(text.split()))
-    seen = spark.createDataFrame([(i, text) for i in range(40)] + [(99, shuffled)], "doc_id long, text string").coalesce(1)
+    seen = spark.createDataFrame([(i, text + str(i)) for i in range(40)] + [(99, shuffled)], "doc_id long, text string")
     got = {r["doc_id"]: r["per_word"] for r in pseudo.score(seen).collect()}
     assert got[0] > got[99] + 0.3
 
 
 def test_pseudo_likelihood_counts_words_outside_the_vocabulary(spark):
-    """Alike in ending and length, beyond the words that every worker holds."""
-    common = " ".join(f"w{i}" for i in range(pseudo.VOCABULARY))
+    """Alike in ending, beyond the words with leaves, and beyond those whose counts are held."""
+    common = " ".join(f"w{i}" for i in range(50))
     texts = [common] * 6 + ["xxqab"] * 4 + ["yyqab"]
-    got = pseudo.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    score = {texts[r["doc_id"]]: r["per_word"] for r in got}
-    assert score["xxqab"] == pytest.approx(score["yyqab"] + math.log(4))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for held in (0, 1000):
+        score = {texts[r["doc_id"]]: r["per_word"] for r in pseudo.score(docs, size=50, held=held).collect()}
+        assert score["xxqab"] == pytest.approx(score["yyqab"] + math.log(4))
 
 
 def test_pseudo_likelihood_tells_words_of_one_ending_by_context(spark):
-    """All past the most frequent words, of one ending and equally frequent."""
-    common = " ".join(f"w{i}" for i in range(pseudo.SINGLES)) + " "
-    texts = [common * 100 + "kaqab kaqab laqab kaqab kaqab " * 40 + common + "maqab maqab naqab maqab maqab " * 40] * 40
+    """All beyond the most frequent words, of one ending and equally frequent."""
+    common = " ".join(f"w{i}" for i in range(32)) + " "
+    texts = [common * 100 + "kaqab kaqab laqab kaqab kaqab " * 40 + common + "maqab maqab naqab maqab maqab " * 40 + str(i) for i in range(40)]
     texts += ["kaqab kaqab laqab kaqab kaqab", "kaqab kaqab naqab kaqab kaqab"]
-    seen = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    got = {r["doc_id"]: r["log_likelihood"] for r in pseudo.score(seen).collect()}
+    got = {r["doc_id"]: r["log_likelihood"] for r in pseudo.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[40] > got[41] + 1
 
 
+def test_pseudo_likelihood_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    few, many = ({r["doc_id"]: r["log_likelihood"] for r in pseudo.score(docs.repartition(k), shard_words=20_000).collect()} for k in (2, 16))
+    assert few.keys() == many.keys() and all(few[i] == pytest.approx(many[i], abs=1e-6, rel=1e-9) for i in few)
+
+
+def small_vocabulary(spark, size=500):
+    counted = spark.createDataFrame([(f"w{i}".encode(), 3000 - i) for i in range(900)], "word binary, n long")
+    return pseudo.vocabulary(counted, size=size, held=100)
+
+
 def test_tree_probabilities_add_up(spark):
-    counted = spark.createDataFrame([(f"w{i}".encode(), 1000 - i) for i in range(900)], "word binary, n long")
-    t = pseudo.tree(pseudo.vocabulary(counted, size=500))
-    net = pseudo.Network(t)
-    net.flat = np.random.default_rng(1).normal(0, 1, len(net.flat)).astype(np.float32)
-    around = [3, 510]
-    total = sum(math.exp(net.logs(np.array([*around, leaf, *around]), np.array([2]))[0]) for leaf in range(len(t.shares)))
+    v = small_vocabulary(spark)
+    net = pseudo.Network(pseudo.tree(v))
+    net.flat[:] = np.random.default_rng(1).normal(0, 1, len(net.flat)).astype(np.float32)
+    around = [3, 410]
+    leaves = len(net.tree.sizes)
+    total = sum(math.exp(net.logs(np.array([*around, leaf, *around]), np.array([2]))[0]) for leaf in range(leaves))
     assert total == pytest.approx(1, abs=1e-4)
 
 
-def test_vocabulary_shares_add_up(spark):
-    counted = spark.createDataFrame([(f"w{i}".encode(), 1000 - i) for i in range(900)], "word binary, n long")
-    v = pseudo.vocabulary(counted, size=500)
+def test_words_and_one_unseen_word_share_all_probability(spark):
+    v = small_vocabulary(spark)
+    assert 0 < v.leaves <= 500 < len(v.words) + 1 and v.counts[: v.leaves].min() > v.counts[v.leaves :].max()
+    coder = pseudo.Coder(v)
     mass = Counter()
-    for w, c in v.classes.items():
-        mass[c] += math.exp(v.logs[w])
-    for c, m in mass.items():
-        assert m + math.exp(v.unknown[c]) == pytest.approx(1 if c >= pseudo.SINGLES else m + math.exp(v.unknown[c]))
-    assert all(mass[c] <= 1 for c in mass)
+    for i in range(900):
+        leaf, share, rare = coder.code(f"w{i}".encode())
+        mass[int(leaf[0])] += math.exp(share) * ((3000 - i) if rare else 1)
+    for leaf, m in mass.items():
+        assert m == pytest.approx(1) if leaf < v.leaves else m == pytest.approx(v.rests[leaf - v.leaves] / (v.rests[leaf - v.leaves] + 1))
+
+
+def test_scores_are_the_sum_over_a_plain_network(spark):
+    """A plain version: one word, one node at a time, with counts from a dict."""
+    docs = [(i, t) for i, t in TEXTS if t != LONG]
+    got = Counter((r["doc_id"], round(r["log_likelihood"], 3)) for r in pseudo.score(spark.createDataFrame(docs, "doc_id long, text string"), size=10, held=3).collect())
+    counts = Counter(w for _, t in docs for w in words(t))
+    table = spark.createDataFrame([(w.encode(), n) for w, n in counts.items()], "word binary, n long")
+    v = pseudo.vocabulary(table, size=10, held=3)
+    plan = pseudo.tree(v)
+    coder = pseudo.Coder(v)
+    coded = spark.createDataFrame([(coder.code((t or "").encode())[0].tobytes(),) for _, t in docs], "codes binary")
+    flat = pseudo.train(coded, spark.sparkContext.broadcast(plan), sum(counts.values()))
+    e, w1, b1, w2, node_vectors = pseudo.Network(plan, flat).parts
+    leaf_of = {w.decode(): i for i, w in enumerate(v.words[: v.leaves])}
+
+    def leaf(word):
+        return leaf_of.get(word, v.leaves + pseudo.ending_class(word.encode()))
+
+    def brute(text):
+        line, total = words(text), 0.0
+        for i, word in enumerate(line):
+            around = [leaf(line[j]) if 0 <= j < len(line) else len(plan.sizes) for j in (i - 2, i - 1, i + 1, i + 2)]
+            g = np.tanh(np.concatenate([e[a] for a in around]) @ w1 + b1) @ w2
+            own = leaf(word)
+            for s in range(plan.starts[own], plan.starts[own] + plan.sizes[own]):
+                z = plan.signs[s] * (plan.base[plan.nodes[s]] + g @ node_vectors[plan.nodes[s]])
+                total -= math.log1p(math.exp(-z))
+            if own >= v.leaves:
+                total += math.log(counts[word] / (v.rests[own - v.leaves] + 1))
+        return total
+
+    for (i, score), n in got.items():
+        assert any(abs(score - brute(t)) < 0.02 for j, t in docs if i == j), i
+    assert sum(got.values()) == len(docs)
+
+
+def test_gradient_is_that_of_the_likelihood(spark):
+    net = pseudo.Network(pseudo.tree(small_vocabulary(spark, 40)))
+    rng = np.random.default_rng(3)
+    net.flat[:] = rng.normal(0, 0.3, len(net.flat))
+    flat, at = pseudo.padded([rng.integers(0, len(net.tree.sizes), 60).astype(np.uint16)], net.padding)
+    weight = np.full(len(at), 1 / len(at))
+    before = net.flat.copy()
+    loss = lambda x: -(pseudo.Network(net.tree, x).logs(flat, at) * weight).sum()
+    net._update(flat, at, weight)  # the first step of Adam goes against the gradient's sign
+    moved = np.flatnonzero(np.abs(net.m) > 2e-5)
+    for k in rng.permutation(moved)[:60]:
+        up, down = before.copy(), before.copy()
+        up[k] += 0.05
+        down[k] -= 0.05
+        assert net.m[k] / 0.1 == pytest.approx((loss(up) - loss(down)) / 0.1, rel=0.15, abs=2e-4)
+
+
+def test_context_says_more_than_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").distinct().orderBy(F.xxhash64("text"))
+    texts = [r["text"].encode() for r in docs.collect() if r["text"]]
+    counts = Counter(w for t in texts for w in pseudo.words(t))
+    v = pseudo.vocabulary(spark.createDataFrame([(w, n) for w, n in counts.items()], "word binary, n long"))
+    coder, net = pseudo.Coder(v), pseudo.Network(pseudo.tree(v))
+    coded = [coder.code(t)[0] for t in texts]
+    held = pseudo.padded(coded[:80], net.padding)
+    before = net.logs(*held).mean()
+    flat, at = pseudo.padded(coded[80:], net.padding)
+    net.train(flat, at, np.ones(len(at)))
+    assert net.logs(*held).mean() > before + 0.3
 
 
 def test_hash_of_held_out_documents():

@@ -1,18 +1,20 @@
-"""Shared pieces of the training-data operators: words, row ids, tables kept
-between jobs."""
+"""Shared pieces of the training-data operators: words, texts in batches, tables
+kept between jobs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.kept import drop, keep, shared_folder
 from ..functions.shipping import ship
 
+__all__ = ["WORD", "drop", "keep", "lower_ascii", "shared_folder", "shipped", "slices", "table", "text_bytes", "words"]
+
 #: Words of most contracts: runs of ASCII letters, digits and non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -29,6 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped(f: Callable) -> Callable:
+    """An operator on a DataFrame that first sends the library to the executors,
+    so that it works on any session's tables."""
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *args, **kwargs):
+        ship(df.sparkSession)
+        return f(df, *args, **kwargs)
+
+    return run
+
+
 def words(text: bytes) -> list[bytes]:
     """The words of a UTF-8 text, with A-Z lower-cased first."""
     return text.translate(_TO_WORDS).split()
@@ -40,25 +54,6 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, upper, upper.lower())
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where
-    ``spark.checkpoint.dir`` is unset, as in tests on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="verbatim-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back. Later jobs read
-    files that outlive any executor, and the plan behind them is cut off."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding them."""
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
