@@ -34,6 +34,30 @@ def test_stages(spark):
     assert len(final) == 3 and all(r["n_tokens"] == len(r["ids"]) > 0 for r in final)
 
 
+def test_rows_are_judged_by_id_and_text(spark):
+    item = spark.read.parquet(f"{TABLES}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = "Nothing of the kind happened in the old town that day, so people went home early and slept well."
+    rows = [
+        (1, "A text that shares its id with another one, which says something else entirely.", "en", "s", 1), (1, clean, "en", "s", 2), (1, clean, "en", "s", 2),
+        (None, item, "en", "s", 3), (7, item, "en", "s", 4), (7, "A clean text under the id of a contaminated one, which has to stay.", "en", "s", 5), (2, clean, "en", "t", 2),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    deduped = sorted((str(r["doc_id"]), r["n_chars"]) for r in stages["near_duplicates"](spark, docs, TABLES).collect())
+    assert deduped == [("1", 1), ("1", 2), ("7", 4), ("7", 5)]
+    kept = sorted((str(r["doc_id"]), r["n_chars"]) for r in stages["decontamination"](spark, docs, TABLES).collect())
+    assert kept == [("1", 1), ("1", 2), ("1", 2), ("2", 2), ("7", 5)]
+
+
+def test_language_fills_in_and_rejects(spark):
+    english = ["the cat sat on the mat and the dog ran to the house", "this is what they said about the weather", "there is nothing more to think about"]
+    finnish = ["kissa istui matolla ja koira juoksi taloon", "he sanoivat sen mitä sää teki eilen", "ei ole enää mitään mitä ajatella"]
+    rows = [(4 * i + k, t, lang, "s", 1) for i in range(30) for k, (t, lang) in enumerate([*((t, "en") for t in english), (finnish[i % 3], "fi")])] + [(1000, "the house and the dog sat there", None, "s", 1), (1001, "12 34", "en", "s", 1), (1002, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["lang"] for r in dict(corpus_pipeline.STAGES)["language"](spark, docs, TABLES).collect()}
+    assert kept[1000] == "en" and 1001 not in kept and 1002 not in kept and set(kept.values()) == {"en"} and len(kept) == 91
+
+
 def test_empty(spark):
     docs = small(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:

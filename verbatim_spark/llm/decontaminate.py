@@ -9,7 +9,8 @@ Two passes over the corpus, each with a small result:
 
 The search runs on the postings alone. The lists of each window's two rarest
 words are shifted by the words' offsets in the item; where they meet, the lists
-of the window's other words are intersected as well, on the candidates' keys.
+of the window's other words are intersected as well, on the candidates' keys. Runs
+of agreeing words that are as long as a window are the exact matches.
 """
 
 from __future__ import annotations
@@ -19,16 +20,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, slices, text_bytes, words
+from .common import keep, shipped, slices, text_bytes, words
 
 WINDOW = 13
 SLOP = 4
 #: Words of benchmark text handled at once. A larger benchmark goes in blocks of
 #: items, each searched in the whole corpus, so what is broadcast stays bounded.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
+#: Windows of an item that are looked at together, so that no step meets all windows
+#: of a long item at once.
+STRIDE = 64
 
 
 class Item(NamedTuple):
@@ -36,10 +40,11 @@ class Item(NamedTuple):
     terms: list[int]
 
 
+@shipped
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", window: int = WINDOW, slop: int = SLOP, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of docs: (doc_id, n_words, n_hit, items array<string>,
-    near_items array<string>).
+    """One row per row of docs: (doc_id, h, n_words, n_hit, items array<string>,
+    near_items array<string>); h is a hash of the text.
 
     A window is ``window`` consecutive words of an item; a shorter item that has
     words is one window. n_hit counts the document's words inside any occurrence
@@ -51,7 +56,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     A null text has no words and no hits. Items whose id or text is null, or
     that have no words, are never found. Repeated documents each get their row;
-    items with equal ids count once.
+    items with equal ids count once. Long texts, and words that fill them, cost in
+    proportion: positions meet in joins and in hashed intersections. Columns of docs
+    other than the two are not looked at; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     source = docs.select(
@@ -68,9 +75,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     for _, more, other in parts[1:]:
         found, near = found.unionByName(more), near.unionByName(other)
     on = ["doc_id", "h"]
-    hits = (
-        found.select(*on, F.explode("at").alias("pos")).distinct().groupBy(*on).agg(F.count("*").alias("n_hit"))
-    )
+    found = found.distinct()
+    hits = covered(found.select(*on, "start", "end").distinct(), on)
     items = found.select(*on, "item").distinct().groupBy(*on).agg(F.array_sort(F.collect_list("item")).alias("items"))
     nears = near.distinct().groupBy(*on).agg(F.array_sort(F.collect_list("item")).alias("near_items"))
     out = heads
@@ -78,11 +84,20 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         out = _null_safe_left(out, side, on)
     none = F.array().cast("array<string>")
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        "doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"),
     )
 
 
+def covered(spans: DataFrame, on: list[str]) -> DataFrame:
+    """(on, n_hit): how many places the spans (start, end; end included) of each
+    document cover together, from one pass over them in order."""
+    order = Window.partitionBy(*on).orderBy("start", "end")
+    before = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    fresh = F.greatest(F.col("end") - F.greatest(F.col("start") - 1, before), F.lit(0))
+    return spans.withColumn("fresh", fresh).groupBy(*on).agg(F.sum("fresh").alias("n_hit"))
+
+
 def _null_safe_left(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     right = right.select(*[F.col(c).alias(f"r_{c}") for c in on], *[c for c in right.columns if c not in on])
     met = [left[c].eqNullSafe(right[f"r_{c}"]) for c in on]
@@ -105,7 +120,7 @@ def _block(source: DataFrame, rows: list, window: int, slop: int, first: bool):
     index = keep(build_index(source, known, pairs), "postings")
     postings = index.where("term >= 0").select("doc_id", "h", "term", "positions")
     heads = index.where("term = -1").select("doc_id", "h", "n_words") if first else None
-    return heads, *search(postings, items, windows, slop)
+    return heads, *search(postings, items, windows, window, slop)
 
 
 def term_counts(source: DataFrame, known) -> DataFrame:
@@ -191,52 +206,53 @@ def _postings(batches, vocabulary, pairs):
         )
 
 
-def search(postings: DataFrame, items: list[Item], windows: list, slop: int) -> tuple[DataFrame, DataFrame]:
-    """Exact matches (doc_id, h, item, at array of positions) and proximity
-    matches (doc_id, h, item)."""
+def search(postings: DataFrame, items: list[Item], windows: list, window: int, slop: int) -> tuple[DataFrame, DataFrame]:
+    """Exact matches (doc_id, h, item, start, end of a run of words, end included)
+    and proximity matches (doc_id, h, item)."""
     spark = postings.sparkSession
     frame = lambda rows, kind: F.broadcast(spark.createDataFrame(rows, kind))  # noqa: E731  bounded by BLOCK_WORDS
-    anchors = sorted({(items[i].terms[k], i, k) for i, _, _, *ks, _ in windows for k in ks})
-    by_item = defaultdict(list)
-    for i, start, end, a, b, complete in windows:
-        by_item[i].append((start, end, a, b, complete))
-    places = frame(anchors, "term int, i int, k int")
-    plans = frame(list(by_item.items()), "i int, wins array<struct<s:int,e:int,a:int,b:int,whole:boolean>>")
-    names = frame([(i, x.item) for i, x in enumerate(items)], "i int, item string")
-    terms = frame([(i, k, t) for i, x in enumerate(items) if i in by_item for k, t in enumerate(x.terms)], "i int, k int, term int")
-
-    on = ["doc_id", "h", "i", "diag"]
+    met = {i for i, *_ in windows}
+    # A window belongs to the part of its item where it starts, and so do its anchors.
+    anchors = sorted({(items[i].terms[k], i, k, start // STRIDE, 1 if len(items[i].terms) == 1 else 2) for i, start, _, *ks, _ in windows for k in ks})
+    places = frame(anchors, "term int, i int, k int, part int, need int")
+    plans = frame([(i, s // STRIDE, s, e, a, b, whole) for i, s, e, a, b, whole in windows], "i int, part int, s int, e int, a int, b int, whole boolean")
+    names = frame([(i, x.item, min(window, len(x.terms))) for i, x in enumerate(items)], "i int, item string, least int")
+    terms = frame([(i, k, t) for i, x in enumerate(items) if i in met for k, t in enumerate(x.terms)], "i int, k int, term int")
     shifted = (
-        postings.join(places, "term")
-        .select("doc_id", "h", "i", "k", F.explode("positions").alias("pos"))
-        .select("doc_id", "h", "i", (F.col("pos") - F.col("k")).alias("diag"), "k")
+        postings.join(places, "term").select("doc_id", "h", "i", "part", "k", "need", F.explode("positions").alias("pos"))
+        .withColumn("diag", F.col("pos") - F.col("k"))
     )
-    both = lambda w: F.array_contains("ks", w["a"]) & F.array_contains("ks", w["b"])
-    met = (
-        shifted.groupBy(*on).agg(F.collect_set("k").alias("ks")).join(plans, "i")
-        .select(*on, F.filter("wins", lambda w: w["whole"] & both(w)).alias("wins")).where(F.size("wins") > 0)
+
+    def met_by(key: str, rows: DataFrame) -> DataFrame:
+        """Windows whose two anchors have one value of the key. Most values have one
+        anchor alone and go before windows are looked at."""
+        groups = rows.groupBy("doc_id", "h", "i", "part", key).agg(F.collect_set("k").alias("ks"), F.min("need").alias("need"))
+        some = groups.where(F.size("ks") >= F.col("need")).join(plans, ["i", "part"])
+        return some.where(F.array_contains("ks", F.col("a")) & F.array_contains("ks", F.col("b")))
+
+    candidates = met_by("diag", shifted).where("whole").select("doc_id", "h", "i", "diag", "s", "e")
+    candidates = keep(candidates, "candidates")
+    asked = candidates.select("doc_id", "h", "i", "diag", F.explode(F.sequence("s", "e")).alias("k")).distinct().join(terms, ["i", "k"])
+    asked = asked.withColumn("pos", F.col("diag") + F.col("k"))
+    # One hashed intersection for each document and term, however long the lists are.
+    lists = asked.groupBy("doc_id", "h", "term").agg(F.collect_set("pos").alias("wanted")).alias("x").join(
+        postings.alias("p"),
+        F.col("x.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("x.h") == F.col("p.h")) & (F.col("x.term") == F.col("p.term")),
+    )
+    there = lists.select(
+        F.col("x.doc_id").alias("p_doc"), F.col("x.h").alias("p_h"), F.col("x.term").alias("p_term"),
+        F.explode(F.array_intersect("p.positions", "x.wanted")).alias("p_pos"),
     )
-    met = keep(met, "candidates")
-    spans = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda w: F.sequence(w["s"], w["e"]))))
-    asked = met.select(*on, F.explode(spans("wins")).alias("k")).join(terms, ["i", "k"])
-    lists = postings.withColumnsRenamed({"doc_id": "p_doc", "h": "p_h", "term": "p_term"})
     agreed = asked.join(
-        lists,
-        asked["doc_id"].eqNullSafe(lists["p_doc"]) & (asked["h"] == lists["p_h"]) & (asked["term"] == lists["p_term"])
-        & F.array_contains(lists["positions"], F.col("diag") + F.col("k")),
-    ).groupBy(*on).agg(F.collect_set("k").alias("ks"))
-    agreed = _null_safe_left(met, agreed, on).where("ks is not null")
-    whole: Column = F.filter("wins", lambda w: F.forall(F.sequence(w["s"], w["e"]), lambda k: F.array_contains("ks", k)))
-    exact = (
-        agreed.select("doc_id", "h", "i", "diag", spans(whole).alias("at")).where(F.size("at") > 0)
-        .select("doc_id", "h", "i", F.transform("at", lambda k: k + F.col("diag")).alias("at"))
-        .join(names, "i").select("doc_id", "h", "item", "at")
+        there,
+        asked["doc_id"].eqNullSafe(there["p_doc"]) & (asked["h"] == there["p_h"]) & (asked["term"] == there["p_term"]) & (asked["pos"] == there["p_pos"]),
+    ).select("doc_id", "h", "i", "diag", "k").distinct()
+    line = Window.partitionBy("doc_id", "h", "i", "diag").orderBy("k")
+    runs = agreed.withColumn("run", F.col("k") - F.row_number().over(line)).groupBy("doc_id", "h", "i", "diag", "run").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    exact = runs.join(names, "i").where(F.col("hi") - F.col("lo") + 1 >= F.col("least")).select(
+        "doc_id", "h", "item", (F.col("lo") + F.col("diag")).alias("start"), (F.col("hi") + F.col("diag")).alias("end")
     )
     stretch = F.floor(F.col("diag") / F.lit(slop))
-    near = (
-        shifted.select("doc_id", "h", "i", "k", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
-        .groupBy("doc_id", "h", "i", "stretch").agg(F.collect_set("k").alias("ks")).join(plans, "i")
-        .where(F.exists("wins", both)).select("doc_id", "h", "i").distinct()
-        .join(names, "i").select("doc_id", "h", "item")
-    )
+    stretched = shifted.select("doc_id", "h", "i", "part", "k", "need", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    near = met_by("stretch", stretched).select("doc_id", "h", "i").distinct().join(names, "i").select("doc_id", "h", "item")
     return exact, near

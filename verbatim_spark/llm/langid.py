@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, words
+from .common import shipped, slices, text_bytes, words
 
 ORDER = 4
-#: Bounds of what is learned from: about so many texts a language, chosen by a
-#: hash of the text, and the longest text that is taken, in characters.
+#: The bound of what is learned from: about so many texts a language, whole, chosen
+#: by a hash of the text.
 SAMPLE = 600
-LONGEST = 20_000
 #: Longer words are scored in pieces of so many bytes.
 PIECE = 64
 UNDETERMINED = "und"
@@ -213,13 +212,14 @@ class _Lookup:
         return out
 
 
+@shipped
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
-          sample: int = SAMPLE, longest: int = LONGEST) -> Model:
-    """A model from about ``sample`` distinct texts a language: those whose hash
-    lies below the language's share. Copies of a text are chosen together and
-    count once; null texts and languages, and longer texts, are left out."""
+          sample: int = SAMPLE) -> Model:
+    """A model from about ``sample`` distinct texts a language, of any length: those
+    whose hash lies below the language's share. Copies of a text are chosen together
+    and count once; null and empty texts and null languages are left out."""
     source = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    source = source.dropna().where(F.char_length("text").between(1, longest))
+    source = source.dropna().where("text <> ''")
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
     counted = source.groupBy("lang").agg(F.count("*").alias("n"))
     shares = F.broadcast(counted.select("lang", (F.lit(float(sample)) / F.col("n")).alias("share")))  # a row a language
@@ -227,7 +227,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
 
     def run(batches):
         counts = defaultdict(Counter)
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 counts[lang].update(count_grams([text], order))
         for lang, grams in counts.items():
@@ -245,13 +245,16 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
     return Model(counts, order)
 
 
+@shipped
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_cols: list[str] | None = None) -> DataFrame:
     """One row per row of docs: (doc_id, [keep_cols,] lang_pred, score, bits_per_byte).
 
     lang_pred is the language with the least code length (the first in order of
     names if several have it), score its share of the likelihood if all were
-    equally likely before. A null text, one without a letter, and any text if no
-    language was learned are ``und`` with score 0.
+    equally likely before, bits_per_byte its code length. A null text, one without
+    a letter, and any text if no language was learned are ``und`` with score 0.
+    Repeated rows each get theirs; long texts are scored whole, word by distinct
+    word; columns not asked for aren't looked at.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     kept = list(keep_cols or [])

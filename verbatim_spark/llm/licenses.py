@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, words
+from .common import shipped, slices, text_bytes, words
 
 # The contract's phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -182,6 +182,7 @@ def _outermost(stretches: list[tuple[str, int, int]]) -> list[tuple[str, int, in
     return kept
 
 
+@shipped
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """One row per row of docs: (doc_id, n_words, places array<struct<word, label>>,

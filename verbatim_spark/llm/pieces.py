@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import shipped, slices
 
 MARK = "▁"
 #: Chunks and characters of them that a worker holds at most.
@@ -149,6 +149,7 @@ def _sent(docs: DataFrame, model: str) -> str:
     return name
 
 
+@shipped
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) per row: the library's ids, without begin or end.
     A null text is encoded as an empty one, to no ids."""
@@ -165,6 +166,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return source.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
+@shipped
 def decode(encoded: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
     """Adds ``decoded`` to a table with ``ids``; null ids decode to null."""
     name = _sent(encoded, model)

@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, words
+from .common import shipped, slices, text_bytes, words
 
 BITS = 18
-#: Bounds of what is learned from: about so many rated rows, chosen by a hash of
-#: their ids, and the longest text that is taken, in characters.
+#: The bound of what is learned from: about so many rated rows, of whole texts, chosen
+#: by a hash of their ids.
 SAMPLE = 6000
-LONGEST = 50_000
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 _BEGINNINGS = [(n, bytes([1, n])) for n in (4, 5, 6)]
 #: Distinct words whose weights a worker remembers.
@@ -132,32 +131,35 @@ def _telling(rows, size: int, least_share: float, least_z: float):
     return [(g, where[mine], value[mine]) for g, where, value in rows for mine in [good[where]]]
 
 
+@shipped
 def learn(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text",
-          grade_col: str = "grade", sample: int = SAMPLE, longest: int = LONGEST, bits: int = BITS) -> Model:
-    """A model from about ``sample`` rated rows. Rows without id, text or grade,
-    and texts over ``longest`` characters, are left out. The sample's bound also
-    bounds what is broadcast and what the driver gets."""
+          grade_col: str = "grade", sample: int = SAMPLE, bits: int = BITS) -> Model:
+    """A model from about ``sample`` rated rows. Rows without id, text or grade are
+    left out; of several ratings of an id the least counts, and each of several
+    texts of an id is learned with it, in order of their hashes. The sample's bound
+    also bounds what is broadcast and what the driver gets: a row a text, with an
+    entry for each distinct word and beginning of a word."""
     rated = ratings.select(F.col(id_col).alias("doc_id"), F.col(grade_col).cast("int").alias("grade"))
-    rated = rated.dropna().where(F.col("grade").between(0, grades - 1)).dropDuplicates(["doc_id"])
+    rated = rated.dropna().where(F.col("grade").between(0, grades - 1)).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     n = rated.count()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     chosen = F.broadcast(rated.where(place < sample / max(n, 1)))
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    source = source.where(F.char_length("text") <= longest).join(chosen, "doc_id").select("doc_id", "text", "grade")
+    source = source.where("text IS NOT NULL").join(chosen, "doc_id").select("doc_id", "text", "grade", F.xxhash64("text").alias("h"))
 
     def run(batches):
         for batch in slices(batches):
             found = [features(t) for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).cast(pa.string()), batch.column(2),
+                    batch.column(0).cast(pa.string()), batch.column(3), batch.column(2),
                     pa.array([[place_of(k, bits) for k in f] for f in found], pa.list_(pa.int32())),
                     pa.array([list(f.values()) for f in found], pa.list_(pa.float32())),
                 ],
-                ["id", "grade", "places", "vals"],
+                ["id", "h", "grade", "places", "vals"],
             )
 
-    got = source.mapInArrow(run, "id string, grade int, places array<int>, vals array<float>").toArrow().sort_by("id")
+    got = source.mapInArrow(run, "id string, h bigint, grade int, places array<int>, vals array<float>").toArrow().sort_by([("id", "ascending"), ("h", "ascending")])
     if not got.num_rows:
         return fit([], grades, bits)
     places, values = (got.column(c).combine_chunks() for c in ("places", "vals"))
@@ -167,9 +169,11 @@ def learn(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
     return fit(rows, grades, bits)
 
 
+@shipped
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, expected_grade, tails array<double>) per row; tails[k] is
-    P(grade > k). Null and empty texts are at place 0 of the line."""
+    P(grade > k). Null and empty texts are at place 0 of the line. Repeated rows each
+    get theirs; long texts are read whole; other columns are not looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     bits = int(model.weights.size).bit_length() - 1
 

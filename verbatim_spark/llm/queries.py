@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import decontaminate, langid, licenses, pieces, pseudo, quality, secrets, simhash, tokens, winnow
+from . import decontaminate, langid, licenses, pieces, pipeline, pseudo, quality, secrets, simhash, tokens, winnow
 from .common import table
 
 
@@ -26,6 +24,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.concat_ws(",", "near_items").alias("near_items"),
     )
 
 
@@ -76,7 +75,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", number("assign"), number("access"), number("hex"),
         F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"),
         F.size(F.filter("secrets", lambda x: x["live"])).cast("long").alias("n_live"),
-        F.size(F.filter("secrets", lambda x: ~x["live"])).cast("long").alias("n_shared"),
+        F.size(F.filter("secrets", lambda x: ~x["live"])).cast("long").alias("n_shared"), secrets.frequency(F.col("secrets")).alias("frequency"),
     )
 
 
@@ -125,7 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pseudo_likelihood": op8_pseudo_likelihood,
         "op9_winnowing": op9_winnowing,
         "op10_language": op10_language,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
@@ -157,11 +156,26 @@ marked AS (
   FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
 named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM docs),
+counts AS (SELECT word, count(*) AS n FROM words GROUP BY word),
+numbered AS (SELECT row_number() OVER () AS r, item, w FROM items WHERE len(w) > 0),
+places AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS k FROM numbered),
+starts AS (SELECT r, item, least(13, len(w)) AS n, unnest(range(0, greatest(1, len(w) - 12))) AS s FROM numbered),
+ranked AS (
+  SELECT x.r, item, s, x.n, k, word, row_number() OVER (PARTITION BY x.r, s ORDER BY c.n, k) AS nth, count(*) OVER (PARTITION BY x.r, s) AS there
+  FROM starts x JOIN places y ON x.r = y.r AND k >= s AND k < s + x.n JOIN counts c USING (word)),
+anchors AS (SELECT r, item, s, k, word, least(nth, 2) AS nth, n FROM ranked WHERE nth <= 2 AND there >= least(2, n)),
+diagonals AS (SELECT doc_id, r, item, s, nth, n, unnest([floor((p - k) / 4.0), floor((p - k) / 4.0) + 1]) AS stretch FROM anchors JOIN words USING (word)),
+nearby AS (
+  SELECT doc_id, string_agg(item, ',' ORDER BY item) AS near_items FROM (
+    SELECT DISTINCT x.doc_id, x.item FROM diagonals x JOIN diagonals y
+      ON x.doc_id = y.doc_id AND x.r = y.r AND x.s = y.s AND x.stretch = y.stretch AND x.nth = 1 AND (y.nth = 2 OR x.n = 1))
+  GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(near_items, '') AS near_items
+FROM docs LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN nearby USING (doc_id)
 """
 
 

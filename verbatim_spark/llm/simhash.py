@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, slices, text_bytes
+from .common import keep, shipped, slices, text_bytes
 from .components import components
 
 SHINGLE = 4
@@ -59,6 +59,7 @@ def _majority(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * votes > len(hashes)).view(">u8")[0].astype(np.uint64)
 
 
+@shipped
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp long) for every row; a null, empty or blank text has 0. The
@@ -140,6 +141,7 @@ def _meet(forest, a, a0, a1, b, b0, b1, shift, radius) -> None:
                     forest.link(at + i, lo + j + shift)
 
 
+@shipped
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     seed: int = SEED, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """One row per row of docs: (doc_id, fp long, component_id).

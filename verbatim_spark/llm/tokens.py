@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import shipped, slices
 from .pieces import MARK, cut
 
 #: Nodes, and terminal counts, that a worker holds at most; then it begins anew, to
@@ -120,6 +120,7 @@ def pre_tokens(text: str) -> list[str]:
     return [MARK + c.replace(" ", MARK) for c in cut(text)] if text else []
 
 
+@shipped
 def count(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_pre_tokens, n_tokens) per row; null and empty texts have none.
 
