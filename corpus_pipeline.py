@@ -1,94 +1,6 @@
-"""A corpus pipeline in five stages, each applying one operator to all that the
-stage before it kept. Part of the training-data operators."""
+"""The corpus pipeline: STAGES, ORACLE_SQL and run(spark, sf_dir). Part of the
+training-data operators; the stages are in verbatim_spark.llm.pipeline."""
 
-from __future__ import annotations
+from verbatim_spark.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run
 
-import functools
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from verbatim_spark.functions.shipping import ship
-from verbatim_spark.llm import decontaminate, langid, pieces, secrets, simhash
-from verbatim_spark.llm.common import keep, table
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def stage(f: Stage) -> Stage:
-    """A stage that may be called on its own: workers get the library first."""
-
-    @functools.wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship(spark)
-        return f(spark, docs, sf_dir)
-
-    return run
-
-
-@stage
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language is found: null texts, texts
-    without a letter. The model learns from the stage's labelled documents."""
-    learned_from = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    found = langid.predict(docs, langid.learn(learned_from), keep_cols=["text", "lang", "source", "n_chars"])
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
-
-
-@stage
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the one with the
-    least doc_id; of repeated rows one. Documents without an id are kept."""
-    groups = simhash.near_duplicates(docs)
-    chosen = groups.where("doc_id = component_id").select(F.col("doc_id").alias("chosen")).distinct()
-    with_id = docs.join(chosen, docs["doc_id"] == chosen["chosen"], "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
-
-
-@stage
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more is benchmark wording."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
-
-
-@stage
-def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets that look live; widely copied examples stay. n_chars follows."""
-    found = secrets.scan(docs).withColumn("secrets", F.filter("secrets", lambda x: x["live"]))
-    found = found.where(F.size("secrets") > 0).select(F.col("doc_id").alias("found"), "h", "secrets").distinct()
-    hashed = docs.withColumn("h0", F.xxhash64("text"))
-    met = hashed.join(found, hashed["doc_id"].eqNullSafe(found["found"]) & (hashed["h0"] == found["h"]), "left")
-    masked = met.withColumn("text", secrets.redact(F.col("text"), F.col("secrets")))
-    return masked.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
-
-
-@stage
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each kept text, with the check that they decode to it."""
-    model = pieces.public_model()
-    coded = pieces.decode(pieces.encode(docs, model), model)
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-STAGES: list[tuple[str, Stage]] = [
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("secrets", secret_masking),
-    ("encoding", encoding),
-]
-
-#: Trained models, bit counts and a tokenizer's merges can't be written in SQL; the
-#: tests hold the stages against brute-force versions.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES:
-        docs = keep(step(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
