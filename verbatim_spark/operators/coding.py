@@ -144,15 +144,26 @@ def salient_phrases(candidates: DataFrame, unit: str = "unit_id") -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
 
 
-def consolidate(codes: DataFrame, idf: DataFrame) -> DataFrame:
-    """Codes with a common name: phrases whose last words share a stem take the
-    stem's representative word, by count to the 1.5 and idf to the 0.35, and
-    the most frequent two-word phrase with it if there is one."""
-    headed = codes.withColumn("head", F.element_at(F.split("phrase", " "), -1)).withColumn("stem", tx.stem(F.col("head")))
-    words = headed.groupBy("stem", "head").agg(F.count("*").alias("n")).join(idf, "stem", "left")
-    value = F.pow("n", F.lit(1.5)) * F.pow(F.coalesce("idf", F.lit(1.0)), F.lit(0.35))
-    best = words.groupBy("stem").agg(F.max_by("head", F.struct(value, "head")).alias("word"))
-    pairs = headed.where(F.size(F.split("phrase", " ")) == 2).groupBy("stem", "phrase").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("stem").agg(F.max_by("phrase", F.struct("n", "phrase")).alias("pair"))
-    named = best.join(pairs, "stem", "left").select("stem", F.coalesce("pair", "word").alias("concept"))
-    return headed.join(named, "stem").drop("head")
+def consolidate(codes: DataFrame, idf: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
+    """Codes (phrase, label, emotion, intent, ...) with labels that recur. A code's
+    concept is that of its phrase's last stem, (term, concept) if given, else the
+    stem. All codes of a concept are named after its representative word, by count
+    to the 1.5 and idf to the 0.35 (idf: stem, idf), or the most frequent phrase of
+    two words with it that occurs more than once; their own label is kept as
+    open_label. Words too general and verbs don't represent."""
+    headed = codes.withColumn("concept", tx.stem(F.element_at(F.split("phrase", " "), -1)))
+    if concepts is not None:
+        known = concepts.select(F.col("term").alias("concept"), F.col("concept").alias("_known"))
+        headed = headed.join(known, "concept", "left").withColumn("concept", F.coalesce("_known", "concept")).drop("_known")
+    phrases = headed.groupBy("concept", "phrase").agg(F.count("*").alias("n"))
+    general = tx.strings(sorted({*lx.LOW_CONTENT, *lx.VERBS}))
+    words = phrases.select("concept", "n", F.explode(F.split("phrase", " ")).alias("word")).where(~F.array_contains(general, F.col("word")))
+    words = words.groupBy("concept", "word").agg(F.sum("n").alias("n")).withColumn("stem", tx.stem(F.col("word"))).join(idf, "stem", "left")
+    value = F.round(F.pow("n", F.lit(1.5)) * F.pow(F.coalesce("idf", F.lit(1.0)), F.lit(0.35)), 9)
+    best = words.groupBy("concept").agg(F.max_by("word", F.struct(value, "word")).alias("word"))
+    pairs = phrases.where((F.size(F.split("phrase", " ")) == 2) & (F.col("n") > 1)).join(best, "concept").where(F.array_contains(F.split("phrase", " "), F.col("word")))
+    pairs = pairs.groupBy("concept").agg(F.max_by("phrase", F.struct("n", "phrase")).alias("pair"))
+    named = best.join(pairs, "concept", "left").select("concept", F.coalesce("pair", "word").alias("_name"))
+    told = headed.join(named, "concept", "left").withColumn("open_label", F.col("label"))
+    plain = label(F.coalesce("_name", "phrase"))
+    return told.withColumn("label", F.concat(F.upper(F.substring(plain, 1, 1)), F.regexp_replace(plain, "^.", ""))).drop("_name")

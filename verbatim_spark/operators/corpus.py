@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.arrays import running
+from ..functions.kept import keep
 
 
 def split_turns(docs: DataFrame, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
@@ -14,21 +16,21 @@ def split_turns(docs: DataFrame, id_col: str = "document_id", text_col: str = "t
     before; without any label, paragraphs are the participant's turns. A
     document is handled where it is read, without a shuffle."""
     body = F.col("_body")
-    base = docs.select(F.col(id_col).alias("document_id"), tx.normalise(F.col(text_col)).alias("_body"))
+    base = docs.select(F.col(id_col).alias("document_id"), F.translate(tx.normalise(F.col(text_col)), tx.CUT, " ").alias("_body"))
     lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     speaker = lambda x: F.regexp_extract(x, tx.SPEAKER, 1)
     marked = lambda x: x.rlike(tx.SPEAKER) & (tx.word_count(speaker(x)) <= 3) & ~speaker(x).endswith(",")
+    # Lines that begin a turn get a mark in front, at which the whole text is cut.
+    cut = F.split(F.array_join(F.transform("_lines", lambda x: F.when(marked(x), F.concat(F.lit(tx.CUT), x)).otherwise(x)), "\n"), tx.CUT)
 
-    def fold(acc, line):
-        named = F.array(F.struct(F.trim(speaker(line)).alias("speaker"), F.trim(F.regexp_extract(line, tx.SPEAKER, 2)).alias("text")))
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["speaker"].alias("speaker"), F.concat(last["text"], F.lit(" "), line).alias("text"))))
-        alone = F.array(F.struct(F.lit(None).cast("string").alias("speaker"), line.alias("text")))
-        return F.when(marked(line), F.concat(acc, named)).when(F.size(acc) == 0, alone).otherwise(longer)
+    def turn(part, i):
+        head = F.substring_index(part, "\n", 1)
+        named = F.struct(F.trim(speaker(head)).alias("speaker"), F.concat(F.regexp_extract(head, tx.SPEAKER, 2), F.substring(part, F.length(head) + 1, F.length(part))).alias("text"))
+        return F.when(i > 0, named).otherwise(F.struct(F.lit(None).cast("string").alias("speaker"), part.alias("text")))
 
-    none = F.array().cast("array<struct<speaker:string,text:string>>")
+    said = F.filter(F.transform(cut, turn), lambda t: t["speaker"].isNotNull() | (t["text"] != ""))
     paragraphs = F.transform(F.split(body, "\n\n"), lambda p: F.struct(F.lit(None).cast("string").alias("speaker"), p.alias("text")))
-    turns = F.when(F.exists("_lines", marked), F.aggregate("_lines", none, fold)).otherwise(paragraphs)
+    turns = F.when(F.exists("_lines", marked), said).otherwise(paragraphs)
     each = base.withColumn("_lines", lines).select("document_id", F.posexplode(turns).alias("turn_idx", "turn"))
     text = F.trim(F.regexp_replace("turn.text", r"\s+", " "))
     key = F.regexp_replace(F.lower("turn.speaker"), "^[. ]+|[. ]+$", "")
@@ -78,19 +80,34 @@ def locate(units: DataFrame, body: str = "body") -> DataFrame:
     return units.groupBy("document_id").applyInPandas(place, schema)
 
 
+def stem_words(words: DataFrame, word: str = "word") -> DataFrame:
+    """Adds the stems of distinct words, in compiled expressions: the first rule that
+    applies, then what it leaves."""
+    w, n = F.col("_w"), F.length("_w")
+    rule = F.when(n <= 3, -1)
+    for i, (suffix, _) in enumerate(tx.SUFFIXES):
+        rule = rule.when(w.endswith(suffix) & (n >= len(suffix) + 3), i)
+    cut = F.array(*[F.lit(len(s)) for s, _ in tx.SUFFIXES])
+    left = F.when(F.col("_rule") < 0, w).otherwise(F.concat(F.substring(w, F.lit(1), n - F.get(cut, F.col("_rule"))), F.get(tx.strings([r for _, r in tx.SUFFIXES]), F.col("_rule"))))
+    doubled = (F.col("_rule") >= 0) & (F.length("_left") > 3) & F.col("_left").rlike(r"([^sl])\1$")
+    trimmed = words.withColumn("_w", F.regexp_replace(F.lower(F.col(word)), "^['-]+|['-]+$", "")).withColumn("_rule", rule.otherwise(-1))
+    told = trimmed.withColumn("_left", left)
+    return told.withColumn("stem", F.when(doubled, F.substring("_left", F.lit(1), F.length("_left") - 1)).otherwise(F.col("_left"))).drop("_w", "_rule", "_left")
+
+
 def stem_table(words: DataFrame, word: str = "word") -> DataFrame:
     """(word, stem) of distinct words; join it back rather than stem each occurrence."""
-    return words.select(word).distinct().withColumn("stem", tx.stem(F.col(word)))
+    return stem_words(words.select(word).distinct(), word)
 
 
 def word_frequency(docs: DataFrame, id_col: str, stop: list[str] = tx.STOPWORDS, top: int = 120) -> DataFrame:
     """Most frequent content words with their stems' document frequency and
     count times idf. Words are counted before anything is joined."""
     each = docs.select(F.col(id_col).alias("d"), F.explode(tx.content_tokens(F.col("text"), stop)).alias("word"))
-    counts = each.groupBy("d", "word").agg(F.count("*").alias("n"))
-    stems = stem_table(counts)
-    by_word = counts.groupBy("word").agg(F.sum("n").alias("n")).join(stems, "word")
-    df = counts.join(stems, "word").groupBy("stem").agg(F.countDistinct("d").alias("df"))
+    # Read by four branches: texts are taken apart once, and distinct words stemmed once.
+    counts = keep(each.groupBy("d", "word").agg(F.count("*").alias("n")), "counts")
+    by_word = keep(stem_words(counts.groupBy("word").agg(F.sum("n").alias("n"))), "words")
+    df = counts.join(by_word.select("word", "stem"), "word").groupBy("stem").agg(F.countDistinct("d").alias("df"))
     total = docs.agg(F.count("*").alias("docs"))
     weight = F.col("n") * (F.log((F.col("docs") + 1) / (F.col("df") + 0.5)) + 1)
     out = by_word.join(df, "stem").join(F.broadcast(total)).select("word", "stem", "n", "df", F.round(weight, 4).alias("weight"))
@@ -152,14 +169,9 @@ def search_spans(docs: DataFrame, id_col: str, term: str, whole_word: bool = Tru
     hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     gaps = F.split("text", pattern, -1)
 
-    def fold(acc, x):
-        start = acc["at"] + F.length(x["g"])
-        return F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(start)).alias("out"))
-
-    starts = F.aggregate(
-        F.slice(F.arrays_zip(gaps.alias("g"), hits.alias("m")), 1, F.size(hits)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), fold, lambda acc: acc["out"],
-    )
+    sizes = F.transform(hits, lambda m: F.length(m).cast("bigint"))
+    ends = running(F.zip_with(F.slice(F.transform(gaps, lambda g: F.length(g)), F.lit(1), F.size(hits)), sizes, lambda g, m: g + m))
+    starts = F.zip_with(ends, sizes, lambda e, n: (e - n).cast("int"))
     found = docs.where(F.col("text").rlike(pattern)).select(F.col(id_col).alias("document_id"), "text", F.explode(starts).alias("s"))
     head = F.length(F.regexp_extract(F.reverse(F.col("text").substr(F.lit(1), F.col("s"))), r"^([^.\n?!]*)", 1))
     tail = F.length(F.regexp_extract(F.col("text").substr(F.col("s") + 1, F.length("text")), r"^([^.\n?!]*[.\n?!]?)", 1))

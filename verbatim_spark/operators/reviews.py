@@ -52,12 +52,12 @@ def temporal_buckets(reviews: DataFrame) -> DataFrame:
 
 
 def trend(reviews: DataFrame, least: float = 0.12) -> DataFrame:
-    """The newest dated bucket's mean valence against the oldest's."""
+    """The newest dated bucket's share of negative reviews against the oldest's."""
     order = F.when(F.col("bucket") == BUCKETS[0], 0).when(F.col("bucket") == BUCKETS[1], 1).when(F.col("bucket") == BUCKETS[2], 2).otherwise(3)
-    means = reviews.where("bucket <> 'unknown'").groupBy("bucket").agg(F.avg("valence").alias("m")).withColumn("o", order)
-    ends = means.agg(F.min_by("m", "o").alias("newest"), F.max_by("m", "o").alias("oldest"), F.count("*").alias("buckets"))
+    shares = reviews.where("bucket <> 'unknown'").groupBy("bucket").agg(F.round(F.count_if(F.col("sentiment") == "negative") / F.count("*"), 3).alias("m")).withColumn("o", order)
+    ends = shares.agg(F.min_by("m", "o").alias("newest"), F.max_by("m", "o").alias("oldest"), F.count("*").alias("buckets"))
     delta = F.round(F.col("newest") - F.col("oldest"), 6)
-    return ends.select("buckets", delta.alias("delta"), F.when(F.col("buckets") < 2, "single").when(delta >= least, "improving").when(delta <= -least, "declining").otherwise("steady").alias("trend"))
+    return ends.select("buckets", delta.alias("delta"), F.when(F.col("buckets") < 2, "too few").when(delta > least, "rising").when(delta < -least, "falling").otherwise("stable").alias("trend"))
 
 
 def bands(reviews: DataFrame, by: str = "business", least: int = 2, most: int = 8) -> DataFrame:
@@ -112,31 +112,64 @@ def is_complaint(valence: Column, rating: Column, friction: Column) -> Column:
     return (valence <= -0.12) | ((rating <= 2) & (valence <= 0.08)) | (friction & (valence <= 0.02))
 
 
-def bottlenecks(codes: DataFrame, category: str, top: int = 12) -> DataFrame:
-    """Complaints by category, ranked by severity; a General group of one goes."""
-    bad = codes.where(is_complaint(F.col("valence"), F.col("rating"), F.col("friction")))
-    total = codes.agg(F.countDistinct("review_id").alias("all_reviews"))
+def bottlenecks(codes: DataFrame, category: str, reviews: DataFrame, top: int = 12) -> DataFrame:
+    """Complaints by category, ranked by severity, then mentions; a General service
+    group of one goes. Coverage is of all reviews; ``friction`` counts the words of
+    operational complaint in a code, ``months`` its age."""
+    bad = codes.where(is_complaint(F.col("valence"), F.col("rating"), F.col("friction") > 0))
+    total = reviews.agg(F.greatest(F.count("*"), F.lit(1)).alias("all_reviews"))
     grouped = bad.groupBy(category).agg(
-        F.count("*").alias("mentions"), F.countDistinct("review_id").alias("reviews"), F.avg("valence").alias("mean"), F.count_if("friction").alias("frictions")
+        F.count("*").alias("mentions"), F.countDistinct("reviewer").alias("reviewers"), F.avg("valence").alias("mean"), F.sum("friction").alias("frictions"),
+        F.round(F.avg("rating"), 2).alias("mean_rating"), F.count_if(F.col("months") <= 6).alias("recent"),
     ).join(F.broadcast(total))
-    coverage = F.col("reviews") / F.col("all_reviews")
-    severity = F.least(F.lit(1.0), F.abs("mean") * 0.55 + coverage * 0.9 + F.least(F.col("frictions") / F.col("mentions"), F.lit(2.0)) * 0.12)
+    coverage = F.col("reviewers") / F.col("all_reviews")
+    severity = F.round(F.least(F.lit(1.0), F.abs("mean") * 0.55 + coverage * 0.9 + F.least(F.col("frictions") / F.col("mentions"), F.lit(2.0)) * 0.12), 6)
     return (
         grouped.where((F.col(category) != "General service") | (F.col("mentions") > 1))
-        .select(category, "mentions", "reviews", F.round(coverage, 6).alias("coverage"), F.round("mean", 6).alias("mean_valence"), F.round(severity, 6).alias("severity"), severity_grade(F.round(severity, 6)).alias("grade"))
-        .orderBy(F.desc("severity"), category).limit(top)
+        .select(
+            category, "mentions", "reviewers", F.round(coverage, 6).alias("coverage"), F.round("mean", 6).alias("mean_valence"), "mean_rating",
+            F.round(F.col("recent") / F.col("mentions"), 2).alias("recent_share"), severity.alias("severity"), severity_grade(severity).alias("grade"),
+        )
+        .orderBy(F.desc("severity"), F.desc("mentions"), category).limit(top)
     )
 
 
-def dimension_scores(codes: DataFrame, reviews: DataFrame, by: str, dimension: str, prior: int = 2) -> DataFrame:
-    """Scores of 1 to 10 from mean valences, shrunk to the business's rating
-    baseline as if ``prior`` mentions had said it; without mentions the baseline."""
-    baseline = reviews.groupBy(by).agg(F.coalesce(F.avg("rating") * 2, F.lit(5.5)).alias("baseline"))
-    every = baseline.join(F.broadcast(codes.select(dimension).distinct()))
+def issue_phrases(codes: DataFrame, category: str) -> DataFrame:
+    """The phrase that names each category's complaints: the most frequent, words of
+    friction counted on top, the longer and then the last in order of equals."""
+    bad = codes.where(is_complaint(F.col("valence"), F.col("rating"), F.col("friction") > 0))
+    weighed = bad.groupBy(category, "phrase").agg(F.sum(1 + F.col("friction")).alias("w"))
+    return weighed.groupBy(category).agg(F.max_by("phrase", F.struct("w", F.size(F.split("phrase", " ")), "phrase")).alias("issue"))
+
+
+def ordinal(n: Column) -> Column:
+    """1st, 2nd, 3rd, 4th, 11th, ..."""
+    last = F.when((n % 100).between(10, 20), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+    return F.concat(n.cast("string"), last)
+
+
+def band_label(low: Column, high: Column) -> Column:
+    """How a band of ages in months is called."""
+    low = F.greatest(low, F.lit(0.0))
+    whole = lambda x: F.bround(x).cast("bigint").cast("string")
+    return F.when(high <= 1.5, "this month").when(low < 0.6, F.concat(F.lit("0-"), whole(high), F.lit(" mo"))).otherwise(F.concat(whole(low), F.lit("-"), whole(high), F.lit(" mo")))
+
+
+def dimension_scores(codes: DataFrame, reviews: DataFrame, by: str, dimension: str, prior: float = 2.0, names: list[str] | None = None) -> DataFrame:
+    """Scores of 1 to 10 from mean valences, shrunk to the business's rating (1 to 5
+    stars on the same scale, 5.5 without any) as if ``prior`` mentions had said it;
+    without mentions that baseline. Dimensions are the given ones or those that any
+    code has; they come to each business as one array."""
+    baseline = reviews.groupBy(by).agg(F.coalesce((F.avg("rating") - 1) / 4 * 9 + 1, F.lit(5.5)).alias("baseline"))
+    if names is None:
+        every = baseline.join(F.broadcast(codes.agg(F.collect_set(dimension).alias("_names")))).withColumn(dimension, F.explode("_names"))
+    else:
+        every = baseline.withColumn(dimension, F.explode(F.array(*map(F.lit, names))))
     means = codes.groupBy(by, dimension).agg(F.count("*").alias("n"), F.avg("valence").alias("m"))
     raw = F.greatest(F.lit(1.0), F.least(F.lit(10.0), F.lit(5.5) + F.col("m") * 4.5))
     score = F.coalesce((raw * F.col("n") + F.col("baseline") * prior) / (F.col("n") + prior), F.col("baseline"))
-    return every.join(means, [by, dimension], "left").select(by, dimension, F.coalesce("n", F.lit(0)).alias("mentions"), F.round(score, 6).alias("score"))
+    bounded = F.greatest(F.lit(1.0), F.least(F.lit(10.0), score))
+    return every.join(means, [by, dimension], "left").select(by, dimension, F.coalesce("n", F.lit(0)).alias("mentions"), F.round(bounded, 6).alias("score"))
 
 
 def theme_summary(codes: DataFrame, reviews_total: int | Column, keep: int = 4) -> DataFrame:
@@ -175,13 +208,31 @@ def rating_vs_text(reviews: DataFrame) -> DataFrame:
 
 
 def compare(scores: DataFrame, mine: str, theirs: str, by: str, dimension: str, defend: float = 0.8) -> DataFrame:
-    """Two businesses dimension by dimension; a dimension that one lacks counts as 5.5."""
+    """Two businesses dimension by dimension; a dimension that the other lacks counts as 5.5."""
     side = lambda name, alias: scores.where(F.col(by) == name).select(dimension, F.col("score").alias(alias))
     both = side(mine, "mine").join(side(theirs, "theirs"), dimension, "full").fillna(5.5, ["mine", "theirs"])
     gap = F.round(F.col("mine") - F.col("theirs"), 6)
     return both.select(dimension, "mine", "theirs", gap.alias("gap"), F.when(gap >= defend, "defend").when(gap <= -0.6, "adopt").otherwise("watch").alias("action"))
 
 
+def kpi_delta(indicators: DataFrame, mine: str, theirs: str, by: str) -> DataFrame:
+    """One row: net sentiment, mean rating and negative share, mine less theirs."""
+    pick = lambda c, name: F.max(F.when(F.col(by) == name, F.col(c)))
+    delta = lambda c, places: F.round(pick(c, mine) - pick(c, theirs), places).alias(c)
+    return indicators.agg((pick("nss", mine) - pick("nss", theirs)).alias("nss"), delta("mean_rating", 2), delta("negative_ratio", 3))
+
+
+def matrix(scores: DataFrame, mine: str, by: str, dimension: str, defend: float = 0.6) -> DataFrame:
+    """Each dimension's best business among all, ours if none is strictly better,
+    the gap to it, and whether our lead over all others is to be defended."""
+    facts = scores.groupBy(dimension).agg(F.max(F.when(F.col(by) == mine, F.col("score"))).alias("own"), F.max(F.when(F.col(by) != mine, F.col("score"))).alias("other"))
+    first = scores.where(F.col(by) != mine).groupBy(dimension).agg(F.min_by(by, F.struct(-F.col("score"), by)).alias("rival"))
+    told = facts.join(first, dimension, "left").withColumn("own", F.coalesce("own", F.lit(5.5)))
+    ahead = F.coalesce(F.col("other") > F.col("own"), F.lit(False))
+    lead = F.round(F.col("own") - F.coalesce("other", F.col("own")), 6)
+    return told.select(dimension, F.col("own").alias("mine"), F.when(ahead, F.col("rival")).otherwise(F.lit(mine)).alias("best"), F.when(ahead, lead).otherwise(0.0).alias("gap_to_best"), (lead > defend).alias("defend"))
+
+
 def leaders(scores: DataFrame, by: str, dimension: str) -> DataFrame:
     """The best business in each dimension, the first by name of equals."""
     first = Window.partitionBy(dimension).orderBy(F.desc("score"), by)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import vectors
 from .vectors import leader_clusters
 
 
@@ -32,15 +33,17 @@ def name_themes(words: DataFrame, idf: DataFrame, pairs: DataFrame) -> DataFrame
 
 def describe(codes: DataFrame, top: int = 4) -> DataFrame:
     """The facts of a description: prevailing mood if a quarter share it, the most
-    frequent phrases, and whether few participants carry the theme."""
+    frequent intent, the most frequent phrases, and whether few participants carry
+    the theme."""
+    intents = codes.groupBy("theme_id", "intent").agg(F.count("*").alias("k")).groupBy("theme_id").agg(F.max_by("intent", F.struct("k", "intent")).alias("intent"))
     moods = codes.groupBy("theme_id", "mood").agg(F.count("*").alias("k"))
     best = moods.groupBy("theme_id").agg(F.max_by("mood", F.struct("k", "mood")).alias("mood"), F.max("k").alias("most"), F.sum("k").alias("n"))
     counts = codes.groupBy("theme_id", "phrase").agg(F.count("*").alias("k"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("theme_id").orderBy(F.desc("k"), "phrase"))).where(F.col("rank") <= top)
     listed = ranked.groupBy("theme_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda x: x["phrase"]), ", ").alias("phrases"))
     reach = codes.groupBy("theme_id").agg(F.countDistinct("participant").alias("participants"))
-    return best.join(listed, "theme_id").join(reach, "theme_id").select(
-        "theme_id", F.when(F.col("most") >= 0.25 * F.col("n"), F.col("mood")).alias("mood"), "phrases", "participants", (F.col("participants") <= 2).alias("narrow")
+    return best.join(listed, "theme_id").join(reach, "theme_id").join(intents, "theme_id").select(
+        "theme_id", F.when(F.col("most") >= 0.25 * F.col("n"), F.col("mood")).alias("mood"), "intent", "phrases", "participants", (F.col("participants") <= 2).alias("narrow")
     )
 
 
@@ -66,13 +69,18 @@ def constant_comparison(similar: DataFrame, order: DataFrame, first: int = 6, le
     return both.where(F.col("sim") >= least).orderBy(F.desc("sim"), "a", "b").limit(top)
 
 
-def axial(similar: DataFrame, themes: DataFrame, threshold: float) -> DataFrame:
-    """Categories of themes (theme_id, coverage): leader clusters of alike
-    centroids, the widest theme first; centrality is the members' coverage."""
+def axial_groups(similar: DataFrame, themes: DataFrame, threshold: float) -> DataFrame:
+    """(theme_id, category): leader clusters of themes (theme_id, coverage) with alike
+    centroids (a, b, sim), the widest theme first."""
     edges = similar.where(F.col("sim") >= max(0.14, 0.5 * threshold)).select(F.col("a").alias("i"), F.col("b").alias("j"), "sim")
     nodes = themes.select(F.col("theme_id").alias("id"), F.struct((-F.col("coverage")).alias("c"), "theme_id").alias("ord"))
-    grouped = leader_clusters(nodes, edges).withColumnsRenamed({"id": "theme_id", "leader": "category"}).join(themes, "theme_id")
-    return grouped.groupBy("category").agg(F.count("*").alias("density"), F.round(F.sum("coverage"), 6).alias("centrality"))
+    return leader_clusters(nodes, edges).withColumnsRenamed({"id": "theme_id", "leader": "category"})
+
+
+def axial(similar: DataFrame, themes: DataFrame, threshold: float) -> DataFrame:
+    """Categories of themes; centrality is the members' coverage."""
+    grouped = axial_groups(similar, themes, threshold).join(themes, "theme_id")
+    return grouped.groupBy("category").agg(F.count("*").alias("themes"), F.round(F.sum("coverage"), 6).alias("centrality"))
 
 
 def subthemes(members: DataFrame, edges: DataFrame, least_group: int = 2, top: int = 5) -> DataFrame:
@@ -98,13 +106,14 @@ def experiential_dimensions(text: Column, lexicon: dict[str, list[str]]) -> Colu
 
 def linguistic_note(text: Column, hedges: list[str], negators: list[str], strong: list[str]) -> Column:
     """Marks of how a thing is said."""
-    words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, r"^[.,!?;:]+|[.,!?;:]+$", ""))
+    words = F.split(F.lower(text), r"\s+")
     has = lambda ws: F.arrays_overlap(words, tx.strings(sorted(ws)))
     notes = F.array(
         F.when(has(hedges), "hedged"), F.when(has(negators), "negated"), F.when(has(strong), "emphatic"), F.when(F.regexp_count(text, F.lit(",")) >= 3, "accumulating"),
         F.when(has(["i"]) & has(["they"]), "self against others"),
     )
-    return F.array_join(F.filter(notes, lambda x: x.isNotNull()), ", ")
+    kept = F.filter(notes, lambda x: x.isNotNull())
+    return F.when(F.size(kept) > 0, F.array_join(kept, ", ")).otherwise("plain")
 
 
 def key_findings(bottlenecks: DataFrame, categories: DataFrame, gaps: DataFrame, kpis: DataFrame, most: int = 6) -> DataFrame:
@@ -122,3 +131,32 @@ def key_findings(bottlenecks: DataFrame, categories: DataFrame, gaps: DataFrame,
     quiet = kpis.where("response_rate < 0.3").select("business", "response_rate")
     found = found.unionByName(line(quiet, 5, "few responses", F.col("business"), F.col("response_rate")))
     return found.orderBy("ord", "subject").limit(most)
+
+
+def candidate_themes(codes: DataFrame, idf: DataFrame, concepts: DataFrame | None, reviews: DataFrame, threshold: float = 0.3, top: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Proposed themes of coded statements (id, reviewer, stems, phrase, valence,
+    confidence, text): clusters of two or more, the ``top`` largest, with evidence,
+    reach, means and a name; and the codes that are in them, with theme_id."""
+    terms = codes.select(F.col("id").alias("doc"), F.explode(F.concat("stems", F.transform(F.split("phrase", " "), tx.stem))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    weights = vectors.keep(vectors.code_vectors(terms, idf, concepts), "vectors")
+    members = vectors.keep(vectors.cluster_copies(weights, codes.select("id", F.lit("all").alias("within")), threshold), "members")
+    placed = codes.join(members.select(F.col("doc").alias("id"), F.col("cluster").alias("theme_id")), "id")
+    total = reviews.agg(F.greatest(F.count("*"), F.lit(1)).alias("_reviews"))
+    facts = placed.groupBy("theme_id").agg(
+        F.count("*").alias("evidence"), F.countDistinct("reviewer").alias("reviewers"), F.round(F.avg("valence"), 3).alias("mean_valence"), F.round(F.avg("confidence"), 3).alias("confidence"),
+        F.mode("phrase", deterministic=True).alias("phrase"),
+    ).where("evidence >= 2").orderBy(F.desc("evidence"), "theme_id").limit(top)
+    facts = vectors.keep(facts, "candidates")
+    told = facts.join(F.broadcast(total)).select(
+        "theme_id", tx.titlecase(F.col("phrase")).alias("name"), "evidence", F.round(F.col("reviewers") / F.col("_reviews"), 3).alias("coverage"), "mean_valence", "confidence", F.lit("candidate").alias("status"),
+    )
+    return told, placed.join(facts.select("theme_id"), "theme_id", "left_semi")
+
+
+def codes_summary(codes: DataFrame, top: int = 8) -> DataFrame:
+    """(kind, name, value): codes, reviewers, mean confidence and the most frequent moods."""
+    line = lambda df, kind, name, value: df.select(F.lit(kind).alias("kind"), name.alias("name"), value.cast("double").alias("value"))
+    whole = codes.agg(F.count("*").alias("n"), F.countDistinct("reviewer").alias("r"), F.round(F.avg("confidence"), 3).alias("c"))
+    moods = codes.groupBy("mood").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "mood").limit(top)
+    counted = line(whole, "count", F.lit("codes"), F.col("n")).unionByName(line(whole, "count", F.lit("reviewers"), F.col("r"))).unionByName(line(whole, "mean", F.lit("confidence"), F.col("c")))
+    return counted.unionByName(line(moods, "mood", F.col("mood"), F.col("k")))

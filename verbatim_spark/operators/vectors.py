@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kept import keep
+from ..functions import text as tx
+from ..functions.kept import drop, keep
 
 
 def idf_table(counts: DataFrame, total: DataFrame) -> DataFrame:
@@ -56,6 +57,39 @@ def normalise(vectors: DataFrame) -> DataFrame:
     return summed.withColumn("weight", F.col("weight") / norm)
 
 
+def code_terms(codes: DataFrame, id_col: str = "id") -> DataFrame:
+    """(doc, term, tf) of codes (stems, phrase, mood, intent): stems once, the stems
+    of the phrase that names the code twice more, a mood that isn't neutral twice,
+    the intent once, so that affect and stance count in what makes codes alike."""
+    phrase = F.transform(F.filter(F.split("phrase", " "), lambda w: w != ""), tx.stem)
+    mood = F.when(F.col("mood") != "neutral", F.array(F.concat(F.lit("emo:"), F.col("mood"))))
+    intent = F.when(F.col("intent").isNotNull(), F.array(F.concat(F.lit("int:"), F.col("intent"))))
+    none = tx.strings([])
+    terms = F.concat(F.col("stems"), phrase, phrase, F.coalesce(mood, none), F.coalesce(mood, none), F.coalesce(intent, none))
+    return codes.select(F.col(id_col).alias("doc"), F.explode(terms).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+
+
+def code_vectors(terms: DataFrame, idf: DataFrame, concepts: DataFrame | None = None, related: DataFrame | None = None) -> DataFrame:
+    """Unit vectors (doc, term, weight) of (doc, term, tf): tf-idf, blended with the
+    same over concepts (term, concept) and spread along related terms, if given."""
+    own = tfidf(terms, idf.select("term", "idf"))
+    if concepts is not None:
+        named = terms.join(concepts, "term", "left").withColumn("term", F.coalesce("concept", "term"))
+        mapped = named.groupBy("doc", "term").agg(F.sum("tf").alias("tf"))
+        own = blend(tfidf(mapped, idf.select("term", "idf")), own)
+    return expand(own, related) if related is not None else own
+
+
+def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors that are wholly equal, as one: (doc, term, weight) of the least id of
+    each, and (doc, copy_of, m) for all, m the number of equal ones. What is said
+    again and again then makes no pairs."""
+    marks = vectors.groupBy("doc").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("term", F.round("weight", 9).alias("w"))))).alias("mark"))
+    first = marks.groupBy("mark").agg(F.min("doc").alias("copy_of"), F.count("*").alias("m"))
+    copies = keep(marks.join(first, "mark").select("doc", "copy_of", "m"), "copies")
+    return vectors.join(copies.where("doc = copy_of").select("doc"), "doc", "left_semi"), copies
+
+
 def blend(concepts: DataFrame, terms: DataFrame, share: float = 0.55) -> DataFrame:
     """Concept and term vectors in one; concepts are prefixed, so they don't clash."""
     left = concepts.select("doc", F.concat(F.lit("k:"), F.col("term")).alias("term"), (F.col("weight") * share).alias("weight"))
@@ -63,11 +97,30 @@ def blend(concepts: DataFrame, terms: DataFrame, share: float = 0.55) -> DataFra
 
 
 def sparse_edges(vectors: DataFrame, least: float) -> DataFrame:
-    """(i, j, sim) of vectors that share a term, i < j: an inverted index instead
-    of all pairs. A term that very many vectors hold makes as many pairs; leave
-    such terms out of the vectors."""
-    a, b = vectors.select(F.col("doc").alias("i"), "term", F.col("weight").alias("x")), vectors.select(F.col("doc").alias("j"), "term", F.col("weight").alias("y"))
-    return a.join(b, "term").where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("sim")).where(F.col("sim") >= least)
+    """(i, j, sim) of long vectors (doc, term, weight) with a dot product of
+    ``least`` or more, i < j: an inverted index instead of all pairs, with prefixes.
+
+    Terms of each vector are put in order of how many vectors have them, the rarest
+    first. The last terms, whose weights together can't reach ``least`` against any
+    vector (of which no term weighs more than its heaviest), need no postings on one
+    side: a pair that reaches it shares a term before them. So a common term makes
+    pairs only where it matters, and the result is exact. Weights are not negative.
+    With a column ``within``, only vectors of the same value meet."""
+    near = ["within"] if "within" in vectors.columns else []
+    df = vectors.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("top"))
+    laid = vectors.select("doc", "term", "weight", *near).join(df, "term")
+    rest = Window.partitionBy("doc").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # What this term and the more common ones can still add to a dot product, by the
+    # heaviest weights and by the length of what is left (vectors are of length 1 at most).
+    left = laid.withColumn("_left", F.least(F.sum(F.col("weight") * F.col("top")).over(rest), F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest))))
+    prefix = left.where(F.col("_left") >= least * (1 - 1e-9)).select(F.col("doc").alias("i"), "term", *near)
+    meet = ["term", *near]
+    other = prefix.withColumnRenamed("i", "j")
+    pairs = prefix.join(other, meet).where("i < j").select("i", "j").distinct()
+    x = vectors.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("m"))
+    met = pairs.join(x.select(F.col("doc").alias("i"), F.col("m").alias("x")), "i").join(x.select(F.col("doc").alias("j"), F.col("m").alias("y")), "j")
+    sim = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda acc, e: acc + F.coalesce(e["value"] * F.try_element_at(F.col("y"), e["key"]), F.lit(0.0)))
+    return met.select("i", "j", sim.alias("sim")).where(F.col("sim") >= least)
 
 
 def unit(column: str):
@@ -79,14 +132,16 @@ def unit(column: str):
 def dense_edges(vectors: DataFrame, least: float, block: int = 4096) -> DataFrame:
     """(i, j, sim) of dense unit vectors (vec_id, u) with a cosine of ``least`` or
     more, i < j: blocks of rows meet once each and are multiplied in numpy; only
-    the edges come out. Each task holds two blocks."""
-    n = max(1, -(-vectors.count() // block))
-    laid = vectors.select("vec_id", "u", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("b"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = laid.withColumn("o", other).select("vec_id", "u", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
-
-    def meet(key, group: pd.DataFrame) -> pd.DataFrame:
-        p, q = key
+    the edges come out. With a column ``within``, only vectors of the same value
+    meet, and only their blocks are made. Each task holds two blocks."""
+    near = F.col("within").cast("string") if "within" in vectors.columns else F.lit("")
+    laid = vectors.select("vec_id", "u", F.coalesce(near, F.lit("")).alias("w"))
+    sizes = laid.groupBy("w").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    dealt = laid.join(sizes, "w").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("vec_id", "u", "w", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+
+    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        _, p, q = key
         left, right = group[group["b"] == p], group[group["b"] == q]
         if left.empty or right.empty:
             return pd.DataFrame({"i": [], "j": [], "sim": []})
@@ -96,7 +151,7 @@ def dense_edges(vectors: DataFrame, least: float, block: int = 4096) -> DataFram
         out = pd.DataFrame({"i": np.minimum(x, y), "j": np.maximum(x, y), "sim": sims[a, b]})
         return out[(x < y) if p == q else slice(None)]
 
-    return dealt.groupBy("p", "q").applyInPandas(meet, "i long, j long, sim double")
+    return dealt.groupBy("w", "p", "q").applyInPandas(meet, "i long, j long, sim double")
 
 
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
@@ -157,12 +212,14 @@ def leader_clusters(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200)
     earlier = keep(both.join(names, "id").join(other, "other").where("other_ord < ord").select("id", "other", "other_ord"), "earlier")
     state = keep(names.select("id", "ord", F.lit(None).cast("boolean").alias("leads")), "state")
     for _ in range(most_rounds):
+        before = state
         seen = earlier.join(state.select(F.col("id").alias("other"), "leads"), "other").groupBy("id").agg(
             F.coalesce(F.max("leads"), F.lit(False)).alias("led"), F.count_if(F.col("leads").isNull()).alias("open")
         )
         judged = state.join(seen, "id", "left").fillna(0, ["open"]).withColumn("led", F.coalesce("led", F.lit(False)))
         leads = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("led"), False).when(F.col("open") == 0, True)
         state = keep(judged.select("id", "ord", leads.alias("leads")), "state")
+        drop(before)
         if state.where("leads IS NULL").limit(1).count() == 0:
             break
     leaders = state.where("leads").select(F.col("id").alias("other"))
@@ -203,46 +260,66 @@ def refine(vectors: DataFrame, members: DataFrame, threshold: float, passes: int
     """Reassigns long unit vectors (doc, term, weight) to the cluster with the
     most similar centroid if that is at 0.75 of the threshold or more, the
     smallest cluster id of equals; others stay. (doc, cluster) in and out; with a
-    column ``within``, only among the clusters of the same value."""
+    column ``within``, only among the clusters of the same value; with a column
+    ``m``, a member counts so many times in its cluster's centroid."""
     other = [c for c in members.columns if c == "within"]
+    kept = [c for c in members.columns if c in ("within", "m")]
+    times = F.col("m") if "m" in members.columns else F.lit(1)
     for _ in range(passes):
         laid = vectors.join(members, "doc")
-        centers = normalise(laid.select(F.col("cluster").alias("doc"), "term", "weight")).withColumnsRenamed({"doc": "cluster", "weight": "c"})
+        centers = normalise(laid.select(F.col("cluster").alias("doc"), "term", (F.col("weight") * times).alias("weight"))).withColumnsRenamed({"doc": "cluster", "weight": "c"})
         centers = centers.join(members.select("cluster", *other).distinct(), "cluster") if other else centers
-        sims = laid.drop("cluster").join(centers, ["term", *other]).groupBy("doc", "cluster").agg(F.sum(F.col("weight") * F.col("c")).alias("sim"))
+        sims = laid.drop("cluster", "m").join(centers, ["term", *other]).groupBy("doc", "cluster").agg(F.sum(F.col("weight") * F.col("c")).alias("sim"))
         best = sims.groupBy("doc").agg(F.min_by(F.struct("cluster", "sim"), F.struct((-F.round("sim", 9)).alias("s"), "cluster")).alias("b"))
         met = members.join(best, "doc", "left")
         moved = F.when(F.col("b.sim") >= 0.75 * threshold, F.col("b.cluster")).otherwise(F.col("cluster"))
-        members = keep(met.select("doc", moved.alias("cluster"), *other), "refined")
+        members = keep(met.select("doc", moved.alias("cluster"), *kept), "refined")
     return members
 
 
 def cluster(vectors: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: float, passes: int = 2) -> DataFrame:
-    """Leader clusters of nodes (id, within), most central first, refined, and those
-    of more than a fifth of their ``within`` (0.18, and 12) cut again at a tighter
-    threshold where that leaves two parts of three or more. Edges join nodes of one
-    ``within``. All clusters of a level are cut at once; the threshold grows to
-    0.8, so levels are few. (doc, within, cluster) with ids of type string."""
-    ends = edges.select(F.col("i").alias("id"), "sim").unionByName(edges.select(F.col("j").alias("id"), "sim"))
-    central = ends.groupBy("id").agg(F.sum("sim").alias("c"))
-    ordered = nodes.join(central, "id", "left").select("id", F.struct((-F.coalesce("c", F.lit(0.0))).alias("c"), "id").alias("ord"))
-    members = leader_clusters(ordered, edges).join(nodes, "id").select(F.col("id").alias("doc"), F.col("leader").alias("cluster"), "within")
+    """Leader clusters of nodes (id, within, and m if a node stands for so many),
+    most central first, refined, and those of more than a fifth of their ``within``
+    (0.18, and 12) cut again at a tighter threshold where that leaves two parts of
+    three or more. Edges join nodes of one ``within``. All clusters of a level are
+    cut at once; the threshold grows to 0.8, so levels are few. (doc, within, m,
+    cluster) with ids of type string."""
+    nodes = nodes if "m" in nodes.columns else nodes.withColumn("m", F.lit(1).cast("bigint"))
+    times = nodes.select("id", "m")
+    ends = edges.select(F.col("i").alias("id"), F.col("j").alias("_o"), "sim").unionByName(edges.select(F.col("j").alias("id"), F.col("i").alias("_o"), "sim"))
+    central = ends.join(times.withColumnRenamed("id", "_o"), "_o").groupBy("id").agg(F.sum(F.col("sim") * F.col("m")).alias("c"))
+    value = F.round(F.coalesce("c", F.lit(0.0)) + F.col("m") - 1, 9)
+    ordered = nodes.join(central, "id", "left").select("id", F.struct((-value).alias("c"), "id").alias("ord"))
+    members = leader_clusters(ordered, edges).join(nodes, "id").select(F.col("id").alias("doc"), F.col("leader").alias("cluster"), "within", "m")
     members = refine(vectors, members, threshold, passes)
     if threshold >= 0.8:
         return members
-    sizes = members.groupBy("within", "cluster").agg(F.count("*").alias("size"))
+    sizes = members.groupBy("within", "cluster").agg(F.sum("m").alias("size"))
     whole = sizes.groupBy("within").agg(F.sum("size").alias("n"))
     large = sizes.join(whole, "within").where(F.col("size") > F.greatest(F.lit(12), F.floor(0.18 * F.col("n")))).select("cluster")
-    cut = keep(members.join(large, "cluster", "left_semi").select(F.col("doc").alias("id"), F.col("cluster").alias("within")), "oversize")
+    cut = keep(members.join(large, "cluster", "left_semi").select(F.col("doc").alias("id"), F.col("cluster").alias("within"), "m"), "oversize")
     if not cut.limit(1).count():
         return members
     tighter = min(0.8, 1.6 * threshold)
     i, j = (cut.select(F.col("id").alias(c), F.col("within").alias(f"w{c}")) for c in "ij")
     inside = edges.where(F.col("sim") >= tighter).join(i, "i").join(j, "j").where("wi = wj").select("i", "j", "sim")
     parts = cluster(vectors, cut, keep(inside, "edges"), tighter, 1)
-    clean = parts.groupBy("within", "cluster").agg(F.count("*").alias("size")).where("size >= 3").groupBy("within").agg(F.count("*").alias("k")).where("k >= 2")
+    clean = parts.groupBy("within", "cluster").agg(F.sum("m").alias("size")).where("size >= 3").groupBy("within").agg(F.count("*").alias("k")).where("k >= 2")
     parts = parts.join(clean, "within", "left_semi").select("doc", F.col("cluster").alias("part"))
-    return keep(members.join(parts, "doc", "left").select("doc", F.coalesce("part", "cluster").alias("cluster"), "within"), "clusters")
+    return keep(members.join(parts, "doc", "left").select("doc", F.coalesce("part", "cluster").alias("cluster"), "within", "m"), "clusters")
+
+
+def cluster_copies(vectors: DataFrame, nodes: DataFrame, threshold: float, passes: int = 2) -> DataFrame:
+    """(doc, cluster) of nodes (id, within): equal vectors of one ``within`` are
+    clustered as one. A node without a vector is a cluster of its own."""
+    laid = vectors.join(nodes.select(F.col("id").alias("doc"), "within"), "doc")
+    one, copies = distinct_vectors(laid.withColumn("term", F.concat_ws("\x1f", F.col("within"), F.col("term"))))
+    one = one.select("doc", F.expr("substring(term, length(within) + 2)").alias("term"), "weight", "within")
+    chosen = copies.where("doc = copy_of").select(F.col("doc").alias("id"), "m").join(nodes, "id")
+    members = cluster(one.drop("within"), chosen, keep(sparse_edges(one, threshold), "edges"), threshold, passes)
+    every = copies.join(members.select(F.col("doc").alias("copy_of"), "cluster"), "copy_of").select("doc", "cluster")
+    alone = nodes.select(F.col("id").alias("doc")).join(copies.select("doc"), "doc", "left_anti")
+    return every.unionByName(alone.withColumn("cluster", F.col("doc")))
 
 
 def sparse_cohesion(vectors: DataFrame, members: DataFrame) -> DataFrame:

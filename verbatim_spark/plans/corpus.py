@@ -29,83 +29,83 @@ _STOP = ", ".join(f"'{w}'" for w in STOP)
 LEXICON = {"first": ["the", "of the", "that"], "second": ["and", "with", "is"], "third": ["to", "in the", "was"]}
 TERMS = ["that", "with", "from", "this"]
 
-_EN = "en AS (SELECT doc_id, source, text FROM documents WHERE lang = 'en')"
+_DOCS = "docs AS (SELECT doc_id, source, text FROM documents)"
 _TOKENS = "regexp_extract_all(lower(text), '[a-z][a-z''’-]*')"
 _CONTENT = f"list_filter({_TOKENS}, lambda t: length(t) > 2 AND t NOT IN ({_STOP}))"
-_W = f"{_EN}, words AS (SELECT doc_id, unnest({_CONTENT}) AS word FROM en), wc AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY 1, 2)"
+_W = f"{_DOCS}, words AS (SELECT doc_id, unnest({_CONTENT}) AS word FROM docs), wc AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY 1, 2)"
 _STEMS = "stems AS (SELECT word, {0} AS stem FROM (SELECT DISTINCT word FROM wc))".format(tx.stem_sql("word", "trim(lower({w}), '''-')"))
 
 
-def _english(spark, sf):
-    return read(spark, sf, "documents").where("lang = 'en'").select("doc_id", "source", "text")
+def _docs(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", "source", "text")
 
 
 def cue_sql(cue: str) -> str:
     return f"CAST(regexp_matches(lower(text), '(^|[^a-z]){cue}([^a-z]|$)') AS INTEGER)"
 
 
-@query(f"""WITH {_EN} SELECT doc_id, len({_TOKENS}) AS tokens, len({_CONTENT}) AS content FROM en""")
+@query(f"""WITH {_DOCS} SELECT doc_id, len({_TOKENS}) AS tokens, len({_CONTENT}) AS content FROM docs""")
 def token_counts(spark, sf):
-    return _english(spark, sf).select("doc_id", F.size(tx.tokens(F.col("text"))).alias("tokens"), F.size(tx.content_tokens(F.col("text"), STOP)).alias("content"))
+    return _docs(spark, sf).select("doc_id", F.size(tx.tokens(F.col("text"))).alias("tokens"), F.size(tx.content_tokens(F.col("text"), STOP)).alias("content"))
 
 
 @query(f"WITH {_W}, {_STEMS} SELECT stem, count(*) AS words FROM stems GROUP BY 1")
 def token_stems(spark, sf):
-    words = _english(spark, sf).select(F.explode(tx.content_tokens(F.col("text"), STOP)).alias("word"))
+    words = _docs(spark, sf).select(F.explode(tx.content_tokens(F.col("text"), STOP)).alias("word"))
     return corpus.stem_table(words).groupBy("stem").agg(F.count("*").alias("words"))
 
 
 @query(f"""WITH {_W}, {_STEMS}, df AS (SELECT stem, count(DISTINCT doc_id) AS df FROM wc JOIN stems USING (word) GROUP BY 1),
 b AS (SELECT word, stem, sum(n)::BIGINT AS n FROM wc JOIN stems USING (word) GROUP BY 1, 2)
-SELECT word, stem, n, df, round(n * (ln(((SELECT count(*) FROM en) + 1) / (df + 0.5::DOUBLE)) + 1), 4) AS weight FROM b JOIN df USING (stem) ORDER BY n DESC, word LIMIT 120""")
+SELECT word, stem, n, df, round(n * (ln(((SELECT count(*) FROM docs) + 1) / (df + 0.5::DOUBLE)) + 1), 4) AS weight FROM b JOIN df USING (stem) ORDER BY n DESC, word LIMIT 120""")
 def word_frequency(spark, sf):
-    return corpus.word_frequency(_english(spark, sf), "doc_id", STOP)
+    return corpus.word_frequency(_docs(spark, sf), "doc_id", STOP)
 
 
-@query(f"""WITH {_EN}, w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS word FROM en) GROUP BY 1),
+@query(f"""WITH {_DOCS}, w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS word FROM docs) GROUP BY 1),
 s AS (SELECT sum(n)::BIGINT AS total_words, sum(n) FILTER (length(word) > 2 AND word NOT IN ({_STOP}))::BIGINT AS content_words, count(*) FILTER (length(word) > 2 AND word NOT IN ({_STOP})) AS unique_words FROM w)
 SELECT *, round(unique_words / content_words::DOUBLE, 4) AS ttr FROM s""")
 def manifest_stats(spark, sf):
-    return corpus.manifest(_english(spark, sf), STOP)
+    return corpus.manifest(_docs(spark, sf), STOP)
 
 
 @query(f"""WITH {_W}, {_STEMS}, d AS (SELECT stem, count(DISTINCT doc_id) AS df FROM wc JOIN stems USING (word) GROUP BY 1)
-SELECT stem, df, round(df * (ln(((SELECT count(*) FROM en) + 1) / (df + 0.5::DOUBLE)) + 1), 4) AS keyness FROM d WHERE df > 1 ORDER BY keyness DESC, stem LIMIT 24""")
+SELECT stem, df, round(df * (ln(((SELECT count(*) FROM docs) + 1) / (df + 0.5::DOUBLE)) + 1), 4) AS keyness FROM d WHERE df > 1 ORDER BY keyness DESC, stem LIMIT 24""")
 def keyness(spark, sf):
-    return corpus.keyness(_english(spark, sf), "doc_id", STOP)
+    return corpus.keyness(_docs(spark, sf), "doc_id", STOP)
 
 
-@query(f"""WITH {_EN}, w AS (SELECT doc_id AS id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM en),
+@query(f"""WITH {_DOCS}, w AS (SELECT doc_id AS id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM docs),
 p AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z''’-]', '', 'g')) AS plain, unnest(['that', 'with', 'from', 'this']) AS term FROM w),
 a AS (SELECT *, list_position(plain, term) AS i FROM p), k AS (SELECT * FROM a WHERE i > 0 QUALIFY row_number() OVER (PARTITION BY term ORDER BY id) <= 6)
 SELECT term, id, coalesce(array_to_string(w[greatest(i - 7, 1):i - 1], ' '), '') AS before, w[i] AS hit, coalesce(array_to_string(w[i + 1:i + 7], ' '), '') AS after,
 row_number() OVER (PARTITION BY term ORDER BY id) AS line FROM k""")
 def kwic(spark, sf):
-    return corpus.kwic(_english(spark, sf), "doc_id", TERMS)
+    return corpus.kwic(_docs(spark, sf), "doc_id", TERMS)
 
 
-@query(f"""WITH {_EN}, m AS (SELECT doc_id, array_to_string(list_transform({_TOKENS}, lambda t: CASE WHEN t IN ({", ".join(f"'{w}'" for w in sorted({*STOP, *tx.KEPT}))}) OR length(t) <= 2 THEN '|' ELSE t END), ' ') AS s FROM en),
+@query(f"""WITH {_DOCS}, m AS (SELECT doc_id, array_to_string(list_transform({_TOKENS}, lambda t: CASE WHEN t IN ({", ".join(f"'{w}'" for w in sorted({*STOP, *tx.KEPT}))}) OR length(t) <= 2 THEN '|' ELSE t END), ' ') AS s FROM docs),
 r AS (SELECT doc_id, unnest(list_transform(string_split(s, '|'), lambda x: list_filter(string_split(x, ' '), lambda w: w <> ''))) AS run FROM m),
-g AS (SELECT doc_id, unnest(flatten(list_transform([1, 2], lambda n: list_transform(range(1, greatest(len(run) - n + 2, 1)), lambda i: array_to_string(run[i:i + n - 1], ' '))))) AS phrase FROM r WHERE len(run) > 0)
-SELECT phrase, count(DISTINCT doc_id) AS df FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1""")
+g AS (SELECT doc_id, unnest(flatten(list_transform([1, 2, 3], lambda n: list_transform(range(1, greatest(len(run) - n + 2, 1)), lambda i: array_to_string(run[i:i + n - 1], ' '))))) AS phrase FROM r WHERE len(run) > 0)
+SELECT phrase, count(DISTINCT doc_id) AS df FROM g GROUP BY 1""")
 def phrase_document_frequency(spark, sf):
-    return corpus.phrase_frequency(_english(spark, sf), "doc_id", 2, STOP).where("df > 1")
+    return corpus.phrase_frequency(_docs(spark, sf), "doc_id", stop=STOP)
 
 
 _HITS = ", ".join(f"('{name}', {' + '.join(cue_sql(c) for c in cues)}, {i})" for i, (name, cues) in enumerate(LEXICON.items()))
 
 
-@query(f"""WITH {_EN}, h AS (SELECT source, category, hits FROM en, LATERAL (SELECT * FROM (VALUES {_HITS}) t(category, hits, o)) WHERE hits > 0)
+@query(f"""WITH {_DOCS}, h AS (SELECT source, category, hits FROM docs, LATERAL (SELECT * FROM (VALUES {_HITS}) t(category, hits, o)) WHERE hits > 0)
 SELECT source, category, count(*) AS units, sum(hits)::BIGINT AS hits FROM h GROUP BY 1, 2""")
 def cue_category_matrix(spark, sf):
-    return corpus.cue_matrix(_english(spark, sf), ["source"], LEXICON)
+    return corpus.cue_matrix(_docs(spark, sf), ["source"], LEXICON)
 
 
-@query(f"""WITH {_EN}, h AS (SELECT doc_id, category, hits, o FROM en, LATERAL (SELECT * FROM (VALUES {_HITS}) t(category, hits, o)))
+@query(f"""WITH {_DOCS}, h AS (SELECT doc_id, category, hits, o FROM docs, LATERAL (SELECT * FROM (VALUES {_HITS}) t(category, hits, o)))
 SELECT doc_id, CASE WHEN max(hits) > 0 THEN arg_max(category, (hits, -o)) ELSE 'describing' END AS intent FROM h GROUP BY 1""")
 def intent_argmax(spark, sf):
     scores = {name: tx.cue_hits(F.col("text"), cues) for name, cues in LEXICON.items()}
-    return _english(spark, sf).select("doc_id", tx.argmax(scores, "describing").alias("intent"))
+    return _docs(spark, sf).select("doc_id", tx.argmax(scores, "describing").alias("intent"))
 
 
 _EMO = {"warm": ["tion", "than", "of-the"], "cold": ["erth", "shan", "in-the"]}
@@ -117,11 +117,11 @@ def _emo_sql(cue: str) -> str:
     return f"CASE WHEN len(list_filter(toks, lambda s: starts_with(s, '{cue}') OR starts_with('{cue}', s) AND length(s) > 3)) > 0 THEN 1.0 ELSE 0 END"
 
 
-@query(f"""WITH {_EN}, t AS (SELECT doc_id, {_TOKENS} AS toks, array_to_string({_TOKENS}, ' ') AS joined FROM en),
+@query(f"""WITH {_DOCS}, t AS (SELECT doc_id, {_TOKENS} AS toks, array_to_string({_TOKENS}, ' ') AS joined FROM docs),
 s AS (SELECT doc_id, CAST({" + ".join(map(_emo_sql, _EMO["warm"]))} AS DOUBLE) AS a, CAST({" + ".join(map(_emo_sql, _EMO["cold"]))} AS DOUBLE) AS b FROM t)
 SELECT doc_id, CASE WHEN greatest(a, b) = 0 THEN 'neutral' WHEN a >= b THEN 'warm' ELSE 'cold' END AS emotion, round(greatest(a, b), 1) AS score FROM s""")
 def emotion_argmax(spark, sf):
-    base = _english(spark, sf).withColumn("toks", tx.tokens(F.col("text"))).withColumn("joined", F.array_join("toks", " "))
+    base = _docs(spark, sf).withColumn("toks", tx.tokens(F.col("text"))).withColumn("joined", F.array_join("toks", " "))
     scores = {n: coding.emotion_score(F.col("toks"), F.col("joined"), cues) for n, cues in _EMO.items()}
     return base.select("doc_id", tx.argmax(scores, "neutral").alias("emotion"), F.round(F.greatest(*scores.values()), 1).alias("score"))
 
@@ -152,15 +152,15 @@ def turn_segmentation(spark, sf):
     return corpus.split_turns(script)
 
 
-_SENT = """p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])["''”’)]*\\s+', '\\1␞', 'g'), '␞'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps FROM en),
+_SENT = """p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])["''”’)]*\\s+', '\\1␞', 'g'), '␞'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps FROM docs),
 f AS (SELECT doc_id, list_reduce(list_transform(ps, lambda x: [x]), lambda acc, x: CASE WHEN length(acc[-1]) < 12
  OR lower(regexp_extract(regexp_replace(acc[-1], '\\.+$', ''), '(\\S+)\\s*$', 1)) IN ('mr', 'mrs', 'ms', 'dr', 'prof', 'st', 'e.g', 'i.e', 'etc', 'vs', 'no')
  THEN list_concat(acc[:-2], [acc[-1] || ' ' || x[1]]) ELSE list_concat(acc, x) END) AS ss FROM p WHERE len(ps) > 0)"""
 
 
-@query(f"WITH {_EN}, {_SENT} SELECT doc_id, len(ss) AS sentences, list_sum(list_transform(ss, lambda s: length(s)))::BIGINT AS chars FROM f")
+@query(f"WITH {_DOCS}, {_SENT} SELECT doc_id, len(ss) AS sentences, list_sum(list_transform(ss, lambda s: length(s)))::BIGINT AS chars FROM f")
 def sentence_count(spark, sf):
-    base = _english(spark, sf).select("doc_id", tx.sentences(F.col("text")).alias("ss")).where(F.size("ss") > 0)
+    base = _docs(spark, sf).select("doc_id", tx.sentences(F.col("text")).alias("ss")).where(F.size("ss") > 0)
     return base.select("doc_id", F.size("ss").alias("sentences"), F.aggregate("ss", F.lit(0).cast("bigint"), lambda a, s: a + F.length(s)).alias("chars"))
 
 
@@ -177,11 +177,11 @@ def url_identifiers(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("QUERY"), F.lit("page")).alias("page"))
 
 
-@query(f"""WITH {_EN}, x AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM en WHERE regexp_matches(text, '\\bthat\\b', 'i')),
+@query(f"""WITH {_DOCS}, x AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM docs WHERE regexp_matches(text, '\\bthat\\b', 'i')),
 h AS (SELECT doc_id, text, i - 1 AS s FROM x WHERE lower(substr(text, i, 4)) = 'that' AND (i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '[A-Za-z0-9_]')) AND NOT regexp_matches(substr(text, i + 4, 1), '[A-Za-z0-9_]'))
 SELECT DISTINCT doc_id AS document_id, s - length(regexp_extract(substr(text, 1, s), '([^.\\n?!]*)$', 1)) AS "start", s + length(regexp_extract(substr(text, s + 1), '^([^.\\n?!]*[.\\n?!]?)', 1)) AS "end" FROM h""")
 def search_autocode(spark, sf):
-    return corpus.search_spans(_english(spark, sf), "doc_id", "that")
+    return corpus.search_spans(_docs(spark, sf), "doc_id", "that")
 
 
 @query("""SELECT conv_id, turn, CASE WHEN length(t) <= 60 THEN t ELSE regexp_replace(substr(t, 1, 60), ' [^ ]*$', '') || '…' END AS short

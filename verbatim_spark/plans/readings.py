@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import corpus, readings, vectors
+from ..operators import corpus, methods, readings, vectors
 from .views import APPS, applications, read, typed
 
 QUERIES, ORACLE = {}, {}
@@ -40,40 +40,45 @@ def relative_position(spark, sf):
 
 
 @query(f"""WITH {_C}, d AS (SELECT participant, ord, round(valence - lag(valence) OVER (PARTITION BY participant ORDER BY ord), 6) AS delta FROM c)
-SELECT participant, ord, delta, row_number() OVER (PARTITION BY participant ORDER BY abs(delta) DESC, ord) AS rank, CASE WHEN delta > 0 THEN 'up' ELSE 'down' END AS direction
+SELECT participant, ord, delta, row_number() OVER (PARTITION BY participant ORDER BY abs(delta) DESC, ord) AS rank, CASE WHEN delta > 0 THEN 'upturn' ELSE 'downturn' END AS direction
 FROM d WHERE abs(delta) >= 0.7 QUALIFY rank <= 4""")
 def turning_points(spark, sf):
     return readings.turning_points(_codes(spark, sf))
 
 
-_SHAPE = f"""{_C}, i AS (SELECT participant, valence, row_number() OVER (PARTITION BY participant ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY participant) AS n FROM c),
-f AS (SELECT participant, count(*) AS n, round(regr_slope(valence, i), 6) AS slope, round(avg(valence) FILTER (i < greatest(n // 3, 1)), 6) AS a,
-round(avg(valence) FILTER (i >= greatest(n // 3, 1) AND i < 2 * greatest(n // 3, 1)), 6) AS b, round(avg(valence) FILTER (i >= 2 * greatest(n // 3, 1)), 6) AS c FROM i GROUP BY 1)"""
+#: A customer as participant: some forty codes each, so stories of all shapes.
+_D = f"{_C}, cd AS (SELECT * REPLACE (document_id AS participant) FROM c)"
 
 
-@query(f"""WITH {_SHAPE} SELECT *, CASE WHEN n < 3 THEN 'fragment' WHEN b < a - 0.25 AND c > b + 0.25 THEN 'fall and recovery' WHEN b > a + 0.25 AND c < b - 0.25 THEN 'rise and fall'
-WHEN slope > 0.02 OR c > a + 0.25 THEN 'progressive' WHEN slope < -0.02 OR c < a - 0.25 THEN 'regressive' ELSE 'stable' END AS shape FROM f""")
-def plot_shape(spark, sf):
-    return readings.plot_shape(_codes(spark, sf))
+def _by_document(spark, sf):
+    return _codes(spark, sf).withColumn("participant", F.col("document_id"))
+
 
+_SHAPE = f"""{_D}, i AS (SELECT participant, valence, row_number() OVER (PARTITION BY participant ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY participant) AS n FROM cd),
+f AS (SELECT participant, count(*) AS n, round(regr_slope(valence, i), 6) AS slope, round(avg(valence) FILTER (i < n // 3), 6) AS a,
+round(avg(valence) FILTER (i >= n // 3 AND i < 2 * n // 3), 6) AS b, round(avg(valence) FILTER (i >= 2 * n // 3), 6) AS c FROM i GROUP BY 1)"""
 
-@query(f"WITH {_SHAPE} SELECT participant, slope FROM f")
-def valence_slope(spark, sf):
-    return readings.plot_shape(_codes(spark, sf)).select("participant", "slope")
 
+@query(f"""WITH {_SHAPE} SELECT *, CASE WHEN n < 3 THEN 'fragment' WHEN b < a - 0.25 AND c > b + 0.25 THEN 'redemptive' WHEN b > a + 0.25 AND c < b - 0.25 THEN 'contaminative'
+WHEN slope > 0.02 THEN 'progressive' WHEN slope < -0.02 THEN 'regressive' ELSE 'stable' END AS shape FROM f""")
+def plot_shape(spark, sf):
+    return readings.plot_shape(_by_document(spark, sf))
 
-_PARTS = ["orientation", "complication", "evaluation", "resolution", "coda"]
+
+_PULL = {
+    "orientation": "0", "complication": "CASE WHEN valence < -0.4 THEN 0.5 ELSE 0 END", "evaluation": "CASE WHEN abs(valence) > 0.35 THEN 0.6 ELSE 0 END",
+    "resolution": "CASE WHEN valence > 0.35 THEN 0.35 ELSE 0 END", "coda": "0",
+}
+_PARTS = ", ".join(
+    f"{{'n': '{n}', 'o': {-i}, 's': round((q = {i})::INT::DOUBLE + greatest(0.0::DOUBLE, 1 - abs(pos - {place}::DOUBLE) * {fade}::DOUBLE) + ({_PULL[n]})::DOUBLE, 9)}}"
+    for i, (n, (place, fade)) in enumerate(readings.LABOV.items())
+)
 
 
 @query(f"""WITH {_C}, p AS (SELECT row_number() OVER () AS rid, valence, quantity % 5 AS q, (row_number() OVER (PARTITION BY participant ORDER BY ord) - 1) / greatest(count(*) OVER (PARTITION BY participant) - 1, 1)::DOUBLE AS pos FROM c),
-s AS (SELECT rid, unnest([{{'n': 'orientation', 'o': 0, 's': (q = 0)::INT + CASE WHEN pos < 0.25 THEN 0.6 ELSE 0 END::DOUBLE}},
-{{'n': 'complication', 'o': -1, 's': (q = 1)::INT + CASE WHEN pos >= 0.2 AND pos < 0.6 THEN 0.5 ELSE 0 END::DOUBLE + CASE WHEN valence < -0.3 THEN 0.5 ELSE 0 END::DOUBLE}},
-{{'n': 'evaluation', 'o': -2, 's': (q = 2)::INT + CASE WHEN pos >= 0.4 AND pos < 0.8 THEN 0.4 ELSE 0 END::DOUBLE}},
-{{'n': 'resolution', 'o': -3, 's': (q = 3)::INT + CASE WHEN pos >= 0.6 THEN 0.5 ELSE 0 END::DOUBLE + CASE WHEN valence > 0.3 THEN 0.4 ELSE 0 END::DOUBLE}},
-{{'n': 'coda', 'o': -4, 's': (q = 4)::INT + CASE WHEN pos >= 0.88 THEN 0.6 ELSE 0 END::DOUBLE}}]) AS x FROM p),
-e AS (SELECT rid, arg_max(x.n, (x.s, x.o)) AS element FROM s GROUP BY 1) SELECT element, count(*) AS n FROM e GROUP BY 1""")
+s AS (SELECT rid, unnest([{_PARTS}]) AS x FROM p), e AS (SELECT rid, arg_max(x.n, (x.s, x.o)) AS element FROM s GROUP BY 1) SELECT element, count(*) AS n FROM e GROUP BY 1""")
 def labov_elements(spark, sf):
-    hits = {n: (F.col("quantity") % 5 == i).cast("int") for i, n in enumerate(_PARTS)}
+    hits = {n: (F.col("quantity") % 5 == i).cast("int") for i, n in enumerate(readings.LABOV)}
     told = readings.labov_elements(readings.relative_position(_codes(spark, sf)), hits)
     return told.groupBy("element").agg(F.count("*").alias("n"))
 
@@ -85,29 +90,30 @@ def saturation_curve(spark, sf):
     return readings.saturation(_codes(spark, sf).withColumn("item", F.col("code_id")))
 
 
-_CHART = f"""{_C}, few AS (SELECT * FROM c WHERE quantity > 30 AND tax < 2 AND v < -3), r AS (SELECT *, row_number() OVER (PARTITION BY participant, code_id ORDER BY round(score * confidence, 6) DESC, example) AS rk FROM few),
+_CHART = f"""{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY participant, code_id ORDER BY round(score * confidence, 6) DESC, example) AS rk FROM cd),
 cl AS (SELECT participant, code_id, count(*) AS n, round(avg(valence) FILTER (rk <= 3), 6) AS mean_valence, string_agg(CAST(example AS VARCHAR), ',' ORDER BY rk) FILTER (rk <= 3) AS examples FROM r GROUP BY 1, 2),
-cells AS (SELECT participant, code_id, coalesce(n, 0) AS n, mean_valence, examples FROM (SELECT DISTINCT participant FROM few) CROSS JOIN (SELECT DISTINCT code_id FROM few) LEFT JOIN cl USING (participant, code_id))"""
-
-
-def _cells(spark, sf):
-    return readings.chart(_codes(spark, sf).where("quantity > 30 AND tax < 2 AND v < -3"), "participant", "code_id")
+cells AS (SELECT participant, code_id, coalesce(n, 0) AS n, mean_valence, examples FROM (SELECT DISTINCT participant FROM cd) CROSS JOIN (SELECT DISTINCT code_id FROM cd) LEFT JOIN cl USING (participant, code_id))"""
 
 
 @query(f"WITH {_CHART} SELECT * FROM cells")
 def framework_chart(spark, sf):
-    return _cells(spark, sf)
+    return readings.chart(_by_document(spark, sf), "participant", "code_id")
+
+
+def _cells(spark, sf):
+    codes = _by_document(spark, sf)
+    return readings.cells(codes, "participant", "code_id"), codes.select("participant").distinct()
 
 
 @query(f"""WITH {_CHART}, m AS (SELECT code_id, round(count(*) FILTER (n > 0) / count(*)::DOUBLE, 6) AS coverage, round(avg(mean_valence), 6) AS mean, round(max(mean_valence) - min(mean_valence), 6) AS spread FROM cells GROUP BY 1)
-SELECT *, CASE WHEN coverage < 0.8 THEN 'partial' WHEN mean >= 0.2 THEN 'shared positive' WHEN mean <= -0.2 THEN 'shared negative' ELSE 'mixed' END AS pattern FROM m""")
+SELECT *, CASE WHEN spread > 0.8 THEN 'divided' WHEN mean < -0.2 THEN 'consistently negative' WHEN mean > 0.2 THEN 'consistently positive' ELSE 'mixed' END AS pattern FROM m""")
 def framework_mapping(spark, sf):
-    return readings.mapping(_cells(spark, sf), "code_id")
+    return readings.mapping(*_cells(spark, sf), "code_id")
 
 
 @query(f"WITH {_CHART} SELECT code_id, count(*) FILTER (n = 0) AS empty, count(*) AS cells FROM cells GROUP BY 1 HAVING count(*) FILTER (n = 0) BETWEEN 1 AND count(*) - 1 ORDER BY code_id LIMIT 10")
 def framework_gaps(spark, sf):
-    return readings.gaps(_cells(spark, sf), "participant", "code_id")
+    return readings.gaps(*_cells(spark, sf), "code_id")
 
 
 @query(f"""WITH {_C}, k AS (SELECT code_id, mood, count(*) AS k FROM c GROUP BY 1, 2), t AS (SELECT code_id, arg_max(mood, (k, mood)) AS mood FROM k GROUP BY 1)
@@ -123,10 +129,10 @@ def reliability(spark, sf):
     return readings.reliability(_codes(spark, sf), F.col("tax") < 8, 0.95)
 
 
-@query(f"""WITH {_C}, m AS (SELECT code_id AS theme_id, participant, avg(valence) AS m FROM c WHERE quantity > 45 GROUP BY 1, 2), n AS (SELECT count(DISTINCT participant) AS n FROM c WHERE quantity > 45)
+@query(f"""WITH {_C}, m AS (SELECT code_id AS theme_id, participant, avg(valence) AS m FROM c GROUP BY 1, 2), n AS (SELECT count(DISTINCT participant) AS n FROM c)
 SELECT theme_id, count(*) AS present, any_value(n) - count(*) AS absent, round(count(*) / any_value(n)::DOUBLE, 6) AS share, round(max(m) - min(m), 6) AS range, round(max(m) - min(m), 6) > 0.5 AS divergent FROM m, n GROUP BY 1""")
 def group_convergence(spark, sf):
-    codes = _codes(spark, sf).where("quantity > 45").withColumn("theme_id", F.col("code_id"))
+    codes = _codes(spark, sf).withColumn("theme_id", F.col("code_id"))
     return readings.convergence(codes)
 
 
@@ -136,36 +142,38 @@ def exemplars(spark, sf):
     return readings.exemplars(_codes(spark, sf))
 
 
-@query(f"""WITH {_C}, k AS (SELECT theme_id, code_id, count(*) AS k, min(valence) AS lo, max(valence) AS hi FROM c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY k DESC, code_id) AS rk FROM k)
-SELECT theme_id, string_agg(code_id, ',' ORDER BY rk) FILTER (rk <= 6) AS phrases, round(min(lo), 6) AS low, round(max(hi), 6) AS high FROM r GROUP BY 1""")
+@query(f"""WITH {_C}, k AS (SELECT theme_id, code_id, count(*) AS k, min(valence) AS lo, max(valence) AS hi FROM c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY k DESC, code_id) AS rk FROM k),
+m AS (SELECT theme_id, mood, count(*) AS k FROM c WHERE mood <> 'neutral' GROUP BY 1, 2), f AS (SELECT theme_id, string_agg(mood, ',' ORDER BY k DESC, mood) AS moods FROM m GROUP BY 1)
+SELECT theme_id, string_agg(code_id, ',' ORDER BY rk) FILTER (rk <= 6) AS phrases, round(min(lo), 6) AS low, round(max(hi), 6) AS high, any_value(f.moods) AS moods FROM r JOIN f USING (theme_id) GROUP BY 1""")
 def category_properties(spark, sf):
     return readings.properties(_codes(spark, sf), "code_id")
 
 
-@query(f"""WITH {_C}, t AS (SELECT theme_id, count(DISTINCT code_id) AS density, round(count(*) / (SELECT count(*) FROM c)::DOUBLE, 6) AS centrality, count(DISTINCT mood) AS slots FROM c GROUP BY 1)
-SELECT *, round(centrality * (1 + 0.12 * density) * (1 + 0.08 * slots), 6) AS weight FROM t ORDER BY weight DESC, theme_id LIMIT 1""")
+@query(f"""WITH {_C}, t AS (SELECT theme_id, count(DISTINCT code_id) AS density, round(count(*) / (SELECT count(*) FROM c)::DOUBLE, 6) AS centrality, count(DISTINCT participant) AS participants FROM c GROUP BY 1)
+SELECT *, round(centrality * (1 + 0.12 * density) * (1 + 0.08 * participants), 6) AS weight FROM t ORDER BY weight DESC, theme_id LIMIT 1""")
 def core_category(spark, sf):
     codes = _codes(spark, sf)
     total = codes.agg(F.count("*").alias("all_codes"))
-    facts = codes.groupBy("theme_id").agg(F.count_distinct("code_id").alias("density"), F.count("*").alias("n"), F.count_distinct("mood").alias("slots"))
-    facts = facts.join(F.broadcast(total)).select("theme_id", "density", F.round(F.col("n") / F.col("all_codes"), 6).alias("centrality"), "slots")
+    facts = codes.groupBy("theme_id").agg(F.count_distinct("code_id").alias("density"), F.count("*").alias("n"), F.count_distinct("participant").alias("participants"))
+    facts = facts.join(F.broadcast(total)).select("theme_id", "density", F.round(F.col("n") / F.col("all_codes"), 6).alias("centrality"), "participants")
     return readings.core_category(facts)
 
 
-@query(f"""WITH {_C}, x AS (SELECT CASE WHEN theme_id IN ('LARGE', 'SMALL') THEN theme_id ELSE code_id END AS theme_id, valence, example, NOT (theme_id = 'LARGE' AND v < -2 OR theme_id = 'SMALL' AND v > 2) AS keep FROM c), m AS (SELECT theme_id, round(avg(valence), 6) AS mean FROM x WHERE keep GROUP BY 1)
-SELECT theme_id, example, valence, mean FROM x JOIN m USING (theme_id) WHERE keep AND (mean < -0.1 AND valence > 0.25 OR mean > 0.1 AND valence < -0.25)""")
+@query(f"""WITH {_C}, x AS (SELECT document_id AS theme_id, valence, example FROM c), m AS (SELECT theme_id, round(avg(valence), 6) AS mean FROM x GROUP BY 1)
+SELECT theme_id, example, valence, mean FROM x JOIN m USING (theme_id) WHERE mean < -0.1 AND valence > 0.25 OR mean > 0.1 AND valence < -0.25""")
 def negative_cases(spark, sf):
-    theme = F.when(F.col("theme_id").isin("LARGE", "SMALL"), F.col("theme_id")).otherwise(F.col("code_id"))
-    codes = _codes(spark, sf).withColumn("theme_id", theme).where("NOT (theme_id = 'LARGE' AND v < -2 OR theme_id = 'SMALL' AND v > 2)")
+    codes = _codes(spark, sf).withColumn("theme_id", F.col("document_id"))
     return readings.contrary_valence(codes).select("theme_id", "example", "valence", "mean")
 
 
-@query(f"""WITH {_C}, f AS (SELECT theme_id, count(*) AS members, count(DISTINCT participant) AS participants, avg(confidence) AS cf, round(avg(valence), 6) AS mean_valence FROM c GROUP BY 1),
-g AS (SELECT *, greatest(0.05, least(0.99, cf * (0.7 + 0.3 * 0.6))) AS conf, participants / (SELECT count(DISTINCT participant) FROM c)::DOUBLE AS share FROM f)
-SELECT theme_id, members, participants, round(members / (SELECT count(*) FROM c)::DOUBLE, 6) AS coverage, round(conf, 6) AS confidence, mean_valence,
-CASE WHEN conf >= 0.55 AND share >= 0.5 THEN 'confirmed' WHEN conf >= 0.55 OR share >= 0.25 THEN 'review' ELSE 'candidate' END AS status FROM g""")
+@query(f"""WITH {_C}, x AS (SELECT * REPLACE (document_id AS theme_id) FROM c), f AS (SELECT theme_id, count(*) AS members, count(DISTINCT participant) AS participants, avg(confidence) AS cf, round(avg(valence), 6) AS mean_valence,
+ count(*) FILTER (valence > 0.25) AS hi, count(*) FILTER (valence < -0.25) AS lo FROM x GROUP BY 1),
+g AS (SELECT *, round(greatest(0.05, least(0.99, cf * (0.7 + 0.3 * 0.6))), 6) AS conf FROM f WHERE members >= 3)
+SELECT theme_id, members, participants, round(members / (SELECT count(*) FROM c)::DOUBLE, 6) AS coverage, conf AS confidence, mean_valence,
+CASE WHEN members >= 20 AND participants >= 15 AND conf >= 0.845 THEN 'confirmed' WHEN members >= 19 OR participants >= 15 THEN 'review' ELSE 'candidate' END AS status,
+CASE WHEN mean_valence < -0.1 THEN hi WHEN mean_valence > 0.1 THEN lo ELSE 0 END AS negative_cases FROM g""")
 def theme_summary(spark, sf):
-    return readings.theme_summary(_codes(spark, sf))
+    return readings.theme_summary(_codes(spark, sf).withColumn("theme_id", F.col("document_id")), min_quotes=20, min_participants=15, least_confidence=0.845)
 
 
 @query(f"""WITH {_C} SELECT participant, mood, count(*) AS n FROM c GROUP BY ROLLUP (participant, mood)""")
@@ -180,7 +188,7 @@ def dashboard_edges(spark, sf):
 
 @query(f"""WITH {_C} SELECT code_id AS label, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, label LIMIT 12""")
 def open_coding(spark, sf):
-    return _codes(spark, sf).groupBy(F.col("code_id").alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(12)
+    return methods.open_coding(_codes(spark, sf).withColumn("label", F.col("code_id")))
 
 
 _ACT, _PAS = ["the", "of"], ["and"]
@@ -189,7 +197,7 @@ _hit = lambda c: f"CAST(regexp_matches(lower(text), '(^|[^a-z]){c}([^a-z]|$)') A
 
 @query(f"""WITH a AS (SELECT source, sum({" + ".join(map(_hit, _ACT))})::BIGINT AS active, sum({" + ".join(map(_hit, _PAS))})::BIGINT AS passive FROM documents GROUP BY 1),
 r AS (SELECT *, CASE WHEN active + passive = 0 THEN 0.5 ELSE round(active / (active + passive)::DOUBLE, 6) END AS ratio FROM a)
-SELECT *, CASE WHEN ratio >= 0.65 THEN 'agent' WHEN ratio <= 0.35 THEN 'acted upon' ELSE 'mixed' END AS band FROM r""")
+SELECT *, CASE WHEN active + passive = 0 THEN 'unmarked' WHEN ratio > 0.65 THEN 'agent' WHEN ratio < 0.35 THEN 'acted upon' ELSE 'mixed' END AS band FROM r""")
 def agency_ratio(spark, sf):
     docs = read(spark, sf, "documents")
     counts = docs.groupBy("source").agg(F.sum(tx.cue_hits(F.col("text"), _ACT)).alias("active"), F.sum(tx.cue_hits(F.col("text"), _PAS)).alias("passive"))
@@ -300,7 +308,7 @@ SELECT i, j, theme_id, gap, round(least(1.0, 1.6 * sim * gap / 2 * CASE WHEN far
 def contradiction_pairs(spark, sf):
     rows = _unit(spark, sf)
     codes = rows.select(F.col("vec_id").alias("id"), F.col("label").alias("theme_id"), (F.col("vec_id") % 20).alias("participant"), (((F.col("vec_id") * 7) % 21 - 10) / 10.0).alias("valence"))
-    return vectors.contradictions(codes, vectors.dense_edges(rows, 0.27))
+    return vectors.contradictions(codes, vectors.dense_edges(rows.withColumn("within", F.col("label")), 0.27))
 
 
 @query(f"""WITH {_CENT}, s AS (SELECT a.label AS a, b.label AS b, round(sum(a.x * b.x), 6) AS sim FROM cn a JOIN cn b ON a.k = b.k AND a.label < b.label GROUP BY 1, 2),
@@ -312,23 +320,10 @@ def opposed_themes(spark, sf):
     return vectors.opposed_themes(vectors.centroid_similarity(vectors.centroids(rows, "label"), "label"), means, 0.02)
 
 
-@query(None)
-def leader_clusters(spark, sf):
-    rows = _unit(spark, sf)
-    return vectors.leader_clusters(rows.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord")), vectors.dense_edges(rows, 0.28))
-
-
-@query(None)
-def concept_space(spark, sf):
-    pairs = applications(spark, sf).select(F.col("quotation_id").alias("doc"), F.col("code_id").alias("term")).distinct()
-    strength = pairs.groupBy("term").agg(F.count("*").cast("double").alias("strength"))
-    return vectors.concept_space(vectors.co_occurrence(pairs), strength)
-
-
 @query(None)
 def located_units(spark, sf):
     """Units of conversations with their places, of which text[start:end] is the unit."""
-    docs = read(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("document_id"), tx.normalise(F.col("text")).alias("body"))
+    docs = read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("document_id"), tx.normalise(F.col("text")).alias("body"))
     turns = docs.select("document_id", F.lit(0).alias("turn_idx"), "body", F.col("body").alias("text"))
     return corpus.locate(corpus.units(turns)).select("document_id", "turn_idx", "idx", "char_start", "char_end")
 

@@ -36,15 +36,15 @@ def _reviews(spark, sf):
 
 #: Codes of reviews: applications with the order's rating; valence in fifths.
 _C = f"""{APPS}, {_R}, codes AS (SELECT a.quotation_id AS review_id, ((a.quotation_id * 10 + line) * 100000 + l_partkey) * 1000 + (a.v + 5) * 10 + tax AS example, theme_id, code_id, a.v, a.valence, a.confidence,
-reviewer, business, rating, quantity > 40 AS friction, bucket FROM apps a JOIN r ON a.quotation_id = r.review_id)"""
+reviewer, business, rating, greatest(quantity - 40, 0) AS friction, months, bucket FROM apps a JOIN r ON a.quotation_id = r.review_id)"""
 
 
 def _codes(spark, sf):
     apps = applications(spark, sf).select(
         F.col("quotation_id").alias("review_id"), (((F.col("quotation_id") * 10 + F.col("line")) * 100000 + F.col("l_partkey")) * 1000 + (F.col("v") + 5) * 10 + F.col("tax")).alias("example"), "theme_id", "code_id", "v", "valence", "confidence",
-        (F.col("quantity") > 40).alias("friction"),
+        F.greatest(F.col("quantity") - 40, F.lit(0)).alias("friction"),
     )
-    return apps.join(_reviews(spark, sf).select("review_id", "reviewer", "business", "rating", "bucket"), "review_id")
+    return apps.join(_reviews(spark, sf).select("review_id", "reviewer", "business", "rating", "months", "bucket"), "review_id")
 
 
 _KPI = """count(*) AS reviews, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'negative') AS negative,
@@ -65,9 +65,9 @@ def sentiment_buckets(spark, sf):
     return rv.temporal_buckets(_reviews(spark, sf))
 
 
-@query(f"""WITH {_R}, m AS (SELECT bucket, avg(valence) AS m, CASE bucket WHEN '0-3' THEN 0 WHEN '3-6' THEN 1 WHEN '6-12' THEN 2 ELSE 3 END AS o FROM r GROUP BY 1),
+@query(f"""WITH {_R}, m AS (SELECT bucket, round(count(*) FILTER (sentiment = 'negative') / count(*)::DOUBLE, 3) AS m, CASE bucket WHEN '0-3' THEN 0 WHEN '3-6' THEN 1 WHEN '6-12' THEN 2 ELSE 3 END AS o FROM r GROUP BY 1),
 e AS (SELECT count(*) AS buckets, round(arg_min(m, o) - arg_max(m, o), 6) AS delta FROM m)
-SELECT buckets, delta, CASE WHEN buckets < 2 THEN 'single' WHEN delta >= 0.12 THEN 'improving' WHEN delta <= -0.12 THEN 'declining' ELSE 'steady' END AS trend FROM e""")
+SELECT buckets, delta, CASE WHEN buckets < 2 THEN 'too few' WHEN delta > 0.12 THEN 'rising' WHEN delta < -0.12 THEN 'falling' ELSE 'stable' END AS trend FROM e""")
 def trend_reading(spark, sf):
     return rv.trend(_reviews(spark, sf))
 
@@ -109,32 +109,45 @@ def journey_synthesis(spark, sf):
 
 
 #: A fifth is 0.2, so the thresholds fall between whole fifths.
-_BAD = "(v <= -1 OR (rating <= 2 AND v <= 0) OR (friction AND v <= 0))"
+_BAD = "(v <= -1 OR (rating <= 2 AND v <= 0) OR (friction > 0 AND v <= 0))"
 
 
 @query(f"WITH {_C} SELECT review_id, example FROM codes WHERE {_BAD}")
 def complaints(spark, sf):
-    return _codes(spark, sf).where(rv.is_complaint(F.col("valence"), F.col("rating"), F.col("friction"))).select("review_id", "example")
+    return _codes(spark, sf).where(rv.is_complaint(F.col("valence"), F.col("rating"), F.col("friction") > 0)).select("review_id", "example")
 
 
-@query(f"""WITH {_C}, g AS (SELECT theme_id, count(*) AS mentions, count(DISTINCT review_id) AS reviews, avg(valence) AS m, count(*) FILTER (friction) AS f,
- (SELECT count(DISTINCT review_id) FROM codes)::DOUBLE AS n FROM codes WHERE {_BAD} GROUP BY 1),
-s AS (SELECT *, round(least(1.0, abs(m) * 0.55 + reviews / n * 0.9 + least(f / mentions::DOUBLE, 2.0) * 0.12), 6) AS severity FROM g)
-SELECT theme_id, mentions, reviews, round(reviews / n, 6) AS coverage, round(m, 6) AS mean_valence, severity,
-CASE WHEN severity >= 0.66 THEN 3 WHEN severity >= 0.33 THEN 2 ELSE 1 END AS grade FROM s ORDER BY severity DESC, theme_id LIMIT 12""")
+@query(f"""WITH {_C}, g AS (SELECT theme_id, count(*) AS mentions, count(DISTINCT reviewer) AS reviewers, avg(valence) AS m, sum(friction) AS f, round(avg(rating), 2) AS mean_rating, count(*) FILTER (months <= 6) AS recent,
+ (SELECT count(*) FROM r)::DOUBLE AS n FROM codes WHERE {_BAD} GROUP BY 1),
+s AS (SELECT *, round(least(1.0, abs(m) * 0.55 + reviewers / n * 0.9 + least(f / mentions::DOUBLE, 2.0) * 0.12), 6) AS severity FROM g)
+SELECT theme_id, mentions, reviewers, round(reviewers / n, 6) AS coverage, round(m, 6) AS mean_valence, mean_rating, round(recent / mentions::DOUBLE, 2) AS recent_share, severity,
+CASE WHEN severity >= 0.66 THEN 3 WHEN severity >= 0.33 THEN 2 ELSE 1 END AS grade FROM s ORDER BY severity DESC, mentions DESC, theme_id LIMIT 12""")
 def bottlenecks(spark, sf):
-    return rv.bottlenecks(_codes(spark, sf), "theme_id")
+    return rv.bottlenecks(_codes(spark, sf), "theme_id", _reviews(spark, sf))
 
 
-_SCORES = f"""{_C}, base AS (SELECT business, avg(rating) * 2 AS baseline FROM r GROUP BY 1), dims AS (SELECT DISTINCT theme_id FROM codes),
-mm AS (SELECT business, theme_id, count(*) AS n, avg(valence) AS m FROM codes WHERE NOT (business = 'BUILDING' AND theme_id = 'PROMO') GROUP BY 1, 2),
+@query(f"""WITH {_C}, w AS (SELECT theme_id, code_id AS phrase, sum(1 + friction) AS w FROM codes WHERE {_BAD} GROUP BY 1, 2)
+SELECT theme_id, arg_max(phrase, (w, len(string_split(phrase, ' ')), phrase)) AS issue FROM w GROUP BY 1""")
+def issue_phrases(spark, sf):
+    return rv.issue_phrases(_codes(spark, sf).withColumn("phrase", F.col("code_id")), "theme_id")
+
+
+@query(f"""WITH {_R}, k AS (SELECT business, count(*) AS n, max(months) AS high FROM r GROUP BY 1)
+SELECT business, n || CASE WHEN n % 100 BETWEEN 10 AND 20 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal,
+CASE WHEN high <= 1.5 THEN 'this month' WHEN high / 2 < 0.6 THEN '0-' || CAST(round_even(high, 0) AS BIGINT) || ' mo' ELSE CAST(round_even(high / 2, 0) AS BIGINT) || '-' || CAST(round_even(high, 0) AS BIGINT) || ' mo' END AS band FROM k""")
+def labels(spark, sf):
+    facts = _reviews(spark, sf).groupBy("business").agg(F.count("*").alias("n"), F.max("months").alias("high"))
+    return facts.select("business", rv.ordinal(F.col("n")).alias("ordinal"), rv.band_label(F.col("high") / 2, F.col("high")).alias("band"))
+
+
+_SCORES = f"""{_C}, base AS (SELECT business, (avg(rating) - 1) / 4 * 9 + 1 AS baseline FROM r GROUP BY 1), dims AS (SELECT DISTINCT theme_id FROM codes),
+mm AS (SELECT business, theme_id, count(*) AS n, avg(valence) AS m FROM codes GROUP BY 1, 2),
 scores AS (SELECT business, theme_id, coalesce(n, 0) AS mentions,
- round(coalesce((greatest(1.0, least(10.0, 5.5 + m * 4.5)) * n + baseline * 2) / (n + 2), baseline), 6) AS score FROM base CROSS JOIN dims LEFT JOIN mm USING (business, theme_id))"""
+ round(greatest(1.0, least(10.0, coalesce((greatest(1.0, least(10.0, 5.5 + m * 4.5)) * n + baseline * 2) / (n + 2), baseline))), 6) AS score FROM base CROSS JOIN dims LEFT JOIN mm USING (business, theme_id))"""
 
 
 def _scores(spark, sf):
-    codes = _codes(spark, sf).where("NOT (business = 'BUILDING' AND theme_id = 'PROMO')")
-    return rv.dimension_scores(codes, _reviews(spark, sf), "business", "theme_id")
+    return rv.dimension_scores(_codes(spark, sf), _reviews(spark, sf), "business", "theme_id")
 
 
 @query(f"WITH {_SCORES} SELECT * FROM scores")
@@ -142,12 +155,36 @@ def dimension_scores(spark, sf):
     return _scores(spark, sf)
 
 
-@query(f"""WITH {_SCORES}, a AS (SELECT theme_id, score AS mine FROM scores WHERE business = 'BUILDING'), b AS (SELECT theme_id, score AS theirs FROM scores WHERE business = 'MACHINERY' AND theme_id <> 'SMALL'),
+@query(f"""WITH {_SCORES}, a AS (SELECT theme_id, score AS mine FROM scores WHERE business = 'BUILDING'), b AS (SELECT theme_id, score AS theirs FROM scores WHERE business = 'MACHINERY'),
 j AS (SELECT theme_id, coalesce(mine, 5.5) AS mine, coalesce(theirs, 5.5) AS theirs FROM a FULL JOIN b USING (theme_id))
 SELECT *, round(mine - theirs, 6) AS gap, CASE WHEN round(mine - theirs, 6) >= 0.8 THEN 'defend' WHEN round(mine - theirs, 6) <= -0.6 THEN 'adopt' ELSE 'watch' END AS action FROM j""")
 def compare_pair(spark, sf):
-    scores = _scores(spark, sf).where("NOT (business = 'MACHINERY' AND theme_id = 'SMALL')")
-    return rv.compare(scores, "BUILDING", "MACHINERY", "business", "theme_id")
+    return rv.compare(_scores(spark, sf), "BUILDING", "MACHINERY", "business", "theme_id")
+
+
+@query(f"""WITH {_R}, k AS (SELECT business, {_KPI} FROM r GROUP BY 1), a AS (SELECT * FROM k WHERE business = 'BUILDING'), b AS (SELECT * FROM k WHERE business = 'MACHINERY')
+SELECT a.nss - b.nss AS nss, round(a.mean_rating - b.mean_rating, 2) AS mean_rating, round(a.negative_ratio - b.negative_ratio, 3) AS negative_ratio FROM a, b""")
+def kpi_delta(spark, sf):
+    return rv.kpi_delta(rv.kpis(_reviews(spark, sf)), "BUILDING", "MACHINERY", "business")
+
+
+#: Parts as dimensions: some six mentions each of a business, so that scores differ.
+_PART_SCORES = f"""{_C}, pc AS (SELECT l_partkey AS part, business, valence FROM codes JOIN (SELECT l_orderkey, l_partkey, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + (CAST(round(l_discount * 100) AS INTEGER)) * 10 + CAST(round(l_tax * 100) AS INTEGER) AS example FROM lineitem) USING (example)),
+base AS (SELECT business, (avg(rating) - 1) / 4 * 9 + 1 AS baseline FROM r GROUP BY 1), dims AS (SELECT DISTINCT part FROM pc), mm AS (SELECT business, part, count(*) AS n, avg(valence) AS m FROM pc GROUP BY 1, 2),
+scores AS (SELECT business, part, round(greatest(1.0, least(10.0, coalesce((greatest(1.0, least(10.0, 5.5 + m * 4.5)) * n + baseline * 2) / (n + 2), baseline))), 6) AS score FROM base CROSS JOIN dims LEFT JOIN mm USING (business, part)),
+counts AS (SELECT business, part, n AS mentions, round(m, 6) AS mean_valence FROM mm)"""
+
+
+def _part_codes(spark, sf):
+    part = F.pmod(F.floor(F.col("example") / 1000), F.lit(100000)).cast("bigint")
+    return _codes(spark, sf).withColumn("part", part)
+
+
+@query(f"""WITH {_PART_SCORES}, f AS (SELECT part, coalesce(max(score) FILTER (business = 'BUILDING'), 5.5) AS mine, max(score) FILTER (business <> 'BUILDING') AS other, arg_min(business, (-score, business)) FILTER (business <> 'BUILDING') AS rival FROM scores GROUP BY 1)
+SELECT part, mine, CASE WHEN other > mine THEN rival ELSE 'BUILDING' END AS best, CASE WHEN other > mine THEN round(mine - other, 6) ELSE 0 END AS gap_to_best, round(mine - coalesce(other, mine), 6) > 0.6 AS defend FROM f""")
+def competitor_matrix(spark, sf):
+    scores = rv.dimension_scores(_part_codes(spark, sf), _reviews(spark, sf), "business", "part")
+    return rv.matrix(scores, "BUILDING", "business", "part")
 
 
 @query(f"""WITH {_SCORES} SELECT theme_id, business AS leader, score FROM scores QUALIFY row_number() OVER (PARTITION BY theme_id ORDER BY score DESC, business) = 1""")
@@ -160,13 +197,8 @@ def competitor_ranking(spark, sf):
     return rv.ranking(rv.kpis(_reviews(spark, sf)), "business")
 
 
-#: Brands of few mentions, so that gaps between businesses appear.
-_ADOPT = f"""{_C}, base AS (SELECT business, avg(rating) * 2 AS baseline FROM r GROUP BY 1), few AS (SELECT * FROM codes WHERE review_id % 50 = 0), dims AS (SELECT DISTINCT code_id FROM few),
-mm AS (SELECT business, code_id, count(*) AS n, avg(valence) AS m FROM few GROUP BY 1, 2),
-scores AS (SELECT business, code_id, round(coalesce((greatest(1.0, least(10.0, 5.5 + m * 4.5)) * n + baseline * 2) / (n + 2), baseline), 6) AS score FROM base CROSS JOIN dims LEFT JOIN mm USING (business, code_id)),
-counts AS (SELECT business, code_id, n AS mentions, round(m, 6) AS mean_valence FROM mm),
-bd AS (SELECT code_id AS parameter, business AS rival, round(s.score - coalesce(o.score, 5.5), 6) AS gap, 'dimension' AS kind FROM scores s LEFT JOIN (SELECT code_id, score FROM scores WHERE business = 'BUILDING') o USING (code_id) WHERE business <> 'BUILDING'),
-bc AS (SELECT code_id AS parameter, business AS rival, round(c.mean_valence - coalesce(o.mean_valence, 0.0), 6) AS gap, 'category' AS kind FROM counts c LEFT JOIN (SELECT code_id, mean_valence FROM counts WHERE business = 'BUILDING') o USING (code_id)
+_ADOPT = f"""{_PART_SCORES}, bd AS (SELECT part AS parameter, business AS rival, round(s.score - coalesce(o.score, 5.5), 6) AS gap, 'dimension' AS kind FROM scores s LEFT JOIN (SELECT part, score FROM scores WHERE business = 'BUILDING') o USING (part) WHERE business <> 'BUILDING'),
+bc AS (SELECT part AS parameter, business AS rival, round(c.mean_valence - coalesce(o.mean_valence, 0.0), 6) AS gap, 'category' AS kind FROM counts c LEFT JOIN (SELECT part, mean_valence FROM counts WHERE business = 'BUILDING') o USING (part)
  WHERE business <> 'BUILDING' AND mentions >= 2 AND c.mean_valence >= 0.15),
 u AS (SELECT * FROM bd WHERE gap >= 0.6 UNION ALL SELECT * FROM bc WHERE gap > 0.2)"""
 
@@ -174,10 +206,10 @@ u AS (SELECT * FROM bd WHERE gap >= 0.6 UNION ALL SELECT * FROM bc WHERE gap > 0
 @query(f"""WITH {_ADOPT}, k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY parameter ORDER BY gap DESC, kind, rival) = 1)
 SELECT parameter, rival, gap, kind FROM k ORDER BY gap DESC, parameter LIMIT 8""")
 def adoption_gaps(spark, sf):
-    few = _codes(spark, sf).where("review_id % 50 = 0")
-    scores = rv.dimension_scores(few, _reviews(spark, sf), "business", "code_id")
-    counts = few.groupBy("business", "code_id").agg(F.count("*").alias("mentions"), F.round(F.avg("valence"), 6).alias("mean_valence"))
-    return rv.adoption(scores, counts, "BUILDING", "business", "code_id", "code_id")
+    codes = _part_codes(spark, sf)
+    scores = rv.dimension_scores(codes, _reviews(spark, sf), "business", "part")
+    counts = codes.groupBy("business", "part").agg(F.count("*").alias("mentions"), F.round(F.avg("valence"), 6).alias("mean_valence"))
+    return rv.adoption(scores, counts, "BUILDING", "business", "part", "part")
 
 
 @query(f"""WITH {_C}, k AS (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY valence, example) AS rk FROM codes)

@@ -229,11 +229,11 @@ def theme_split(spark, sf):
     return wb.recompute_themes(applications(spark, sf).withColumn("theme_id", moved), none).drop("coverage", "status")
 
 
-@query("""WITH links AS (SELECT DISTINCT l_suppkey AS src, l_suppkey + 5 AS dst FROM lineitem WHERE l_quantity > 45),
+@query("""WITH links AS (SELECT DISTINCT l_suppkey AS src, l_suppkey + 5 AS dst FROM lineitem),
 n AS (SELECT s_suppkey AS id, s_name AS name FROM supplier)
 SELECT src, dst, coalesce(a.name, '(removed)') AS src_name, coalesce(b.name, '(removed)') AS dst_name FROM links LEFT JOIN n a ON src = a.id LEFT JOIN n b ON dst = b.id""")
 def resolve_links(spark, sf):
-    links = read(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") + 5).alias("dst")).distinct()
+    links = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") + 5).alias("dst")).distinct()
     return wb.resolve_links(links, read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
 
 

@@ -3,7 +3,7 @@ Column functions over rows of raw text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Names under which a field may stand, best first.
@@ -15,6 +15,7 @@ ALIASES = {
     "response": ["owner_response", "owner_answer", "response", "reply"],
     "photos": ["photo_count", "review_img_urls", "photos"],
 }
+_ATTRIBUTION = r"(?m)^[ \t]*\*?[ \t]*([^\s|*()][^\n|*()]{0,60}?)[ \t]*\(([^()\n]*(?:ago|yesterday|today))\)[ \t]*\*?[ \t]*$"
 _DAYS = {"hour": 1 / 24, "day": 1.0, "week": 7.0, "month": 30.44, "year": 365.25}
 _DATES = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "d MMMM yyyy", "MMMM d, yyyy", "d MMM yyyy", "MMM d, yyyy"]
 
@@ -51,7 +52,7 @@ def sniff(raw: Column) -> Column:
     head = F.regexp_extract(raw, r"^\s*([^\n]*)", 1)
     return (
         F.when(raw.rlike(r"^\s*[\[{]"), "json").when(head.contains(",") & F.lower(head).rlike(r"\b(rating|stars|review|text)\b"), "csv")
-        .when(raw.rlike(r"(?m)^\s*\(Review \d+\)"), "block").otherwise("lines")
+        .when(raw.rlike(r"(?m)^\s*\(Review \d+\)"), "block").when(F.regexp_count(raw, F.lit(_ATTRIBUTION)) >= 2, "attributed").otherwise("lines")
     )
 
 
@@ -78,6 +79,71 @@ def parse_blocks(raw: DataFrame, text_col: str = "raw") -> DataFrame:
     return named.where(F.size(F.split("text", r"\s+")) >= 3)
 
 
+def parse_attributions(raw: DataFrame, text_col: str = "raw") -> DataFrame:
+    """(reviewer, when, text) of text without block marks in which two or more lines
+    say who wrote and when, ``*Name (time)*`` or ``Name (2 weeks ago)``: what follows
+    such a line, up to the next, is its review; bodies under three words go."""
+    keep = [c for c in raw.columns if c != text_col]
+    some = raw.where(F.regexp_count(F.col(text_col), F.lit(_ATTRIBUTION)) >= 2)
+    marked = F.regexp_replace(text_col, _ATTRIBUTION, "\u001e$1\u001f$2\u001f")
+    parts = F.slice(F.split(marked, "\u001e"), 2, 1 << 30)
+    fields = some.select(*keep, F.explode(parts).alias("_p")).select(*keep, F.split("_p", "\u001f").alias("_f"))
+    named = fields.select(*keep, F.trim(F.get("_f", F.lit(0))).alias("reviewer"), F.trim(F.get("_f", F.lit(1))).alias("when"), F.trim(F.regexp_replace(F.get("_f", F.lit(2)), r"\s+", " ")).alias("text"))
+    return named.where(F.size(F.split("text", r"\s+")) >= 3)
+
+
+def parse_csv(raw: DataFrame, text_col: str = "raw") -> DataFrame:
+    """Reviews of CSV text with a header, whose columns may go by any alias. A field
+    may be quoted, and quoted ones may hold commas, doubled quotes and line ends. Each
+    text is parsed where it is read."""
+    keep = [c for c in raw.columns if c != text_col]
+    records = F.regexp_extract_all(F.concat(F.regexp_replace(text_col, "\r\n?", "\n"), F.lit("\n")), F.lit(r'((?:[^"\n]|"(?:[^"]|"")*")*)\n'), F.lit(1))
+    lines = raw.select(*keep, F.filter(records, lambda x: F.trim(x) != "").alias("_lines"))
+    fields = lambda line: F.transform(
+        F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), F.lit(1)),
+        lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"')).otherwise(x),
+    )
+    header = F.transform(fields(F.get("_lines", F.lit(0))), lambda x: F.lower(F.trim(x)))
+    each = lines.select(*keep, header.alias("_header"), F.explode(F.slice("_lines", 2, 1 << 30)).alias("_line")).withColumn("_fields", fields(F.col("_line")))
+    at = lambda a: F.nullif(F.trim(F.get("_fields", F.array_position("_header", F.lit(a)).cast("int") - 1)), F.lit(""))
+    pick = lambda name: F.coalesce(*[F.when(F.array_contains("_header", a), at(a)) for a in ALIASES[name]])
+    return each.select(
+        *keep, pick("reviewer").alias("reviewer"), rating_of(pick("rating")).alias("rating"), F.trim(strip_html(pick("text"))).alias("text"), pick("when").alias("when"), pick("response").alias("owner_response")
+    ).where("text <> ''")
+
+
+def read_any(raw: DataFrame, now: str, text_col: str = "raw") -> DataFrame:
+    """Reviews of pasted text, each in whatever format it is: (business, raw) gives
+    (review_id, business, reviewer, rating, text, when, months, owner_response). A
+    JSON, CSV, block, attributed or line text goes to its parser; a review's id is a
+    hash of what it holds and its number among equal ones."""
+    kinds = raw.withColumn("_kind", sniff(F.col(text_col)))
+    parsers = {"json": parse_json, "csv": parse_csv, "block": parse_blocks, "attributed": parse_attributions, "lines": parse_lines}
+    out = None
+    for kind, parse in parsers.items():
+        found = parse(kinds.where(F.col("_kind") == kind).drop("_kind"), text_col)
+        for name, type_ in (("reviewer", "string"), ("rating", "double"), ("when", "string"), ("owner_response", "string")):
+            if name not in found.columns:
+                found = found.withColumn(name, F.lit(None).cast(type_))
+        found = found.select("business", "reviewer", "rating", "text", "when", "owner_response")
+        out = found if out is None else out.unionByName(found)
+    return normalise_reviews(out, now)
+
+
+def normalise_reviews(records: DataFrame, now: str) -> DataFrame:
+    """Records (business, reviewer, rating, text, when, owner_response, and published
+    if they have it) as reviews: the age from the relative time first, then from the
+    date; empty texts go."""
+    when = months_ago(F.col("when"), now)
+    if "published" in records.columns:
+        when = F.coalesce(when, months_ago(F.col("published"), now))
+    mark = F.xxhash64("business", "reviewer", "rating", "text", "when")
+    told = records.where(F.trim("text") != "").withColumns({"months": when, "_mark": mark})
+    nth = F.row_number().over(Window.partitionBy("_mark").orderBy("text"))
+    made = told.withColumn("review_id", F.sha2(F.concat_ws(":", F.col("_mark").cast("string"), nth.cast("string")), 256))
+    return made.select("review_id", "business", "reviewer", "rating", "text", "when", "months", "owner_response")
+
+
 def parse_json(raw: DataFrame, text_col: str = "raw") -> DataFrame:
     """Reviews in a JSON array, or an object with ``reviews`` or ``data``; bare
     strings are texts. Fields are found by their aliases."""
