@@ -1,8 +1,8 @@
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from verbatim_spark.llm import simhash
+from verbatim_spark.llm import pipeline, simhash
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -66,9 +66,23 @@ def test_empty(spark):
         docs = after if after.columns == corpus_pipeline.COLUMNS else docs
 
 
-@pytest.mark.parametrize("stage", ["near_duplicates"])
-def test_near_duplicates_keep_one_of_each_group(spark, stage):
+def test_near_duplicates_keep_one_of_each_group(spark):
     docs = spark.read.parquet(f"{TABLES}/documents.parquet")
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)[stage](spark, docs, TABLES).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, shingle=pipeline.NEAR_SHINGLE, radius=pipeline.NEAR_RADIUS).collect()}
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, TABLES).collect()}
     assert kept == {i for i, c in groups.items() if i == c}
+
+
+def test_near_copies_are_caught_and_others_stay(spark):
+    """Texts of 150 words of their own; copies with three words changed at random."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 150)) for _ in range(60)]
+    copies = []
+    for t in texts[:40]:
+        line = t.split()
+        for at in rng.choice(150, 3, replace=False):
+            line[at] = "changed"
+        copies.append(" ".join(line))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts + copies)]
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), TABLES).collect()}
+    assert set(range(60)) <= kept and len(kept) <= 60 + 4
