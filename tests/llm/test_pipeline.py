@@ -74,13 +74,13 @@ def test_near_duplicates_keep_one_of_each_group(spark):
 
 
 def test_near_copies_are_caught_and_others_stay(spark):
-    """Texts of 150 words of their own; copies with three words changed at random."""
+    """Texts of 150 words of their own; copies with two words changed at random."""
     rng = np.random.default_rng(4)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 150)) for _ in range(60)]
     copies = []
     for t in texts[:40]:
         line = t.split()
-        for at in rng.choice(150, 3, replace=False):
+        for at in rng.choice(150, 2, replace=False):
             line[at] = "changed"
         copies.append(" ".join(line))
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts + copies)]
