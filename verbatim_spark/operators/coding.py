@@ -144,14 +144,14 @@ def salient_phrases(candidates: DataFrame, unit: str = "unit_id") -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
 
 
-def consolidate(codes: DataFrame, idf: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
+def consolidate(codes: DataFrame, idf: DataFrame, concepts: DataFrame | None = None, key: Column | None = None) -> DataFrame:
     """Codes (phrase, label, emotion, intent, ...) with labels that recur. A code's
     concept is that of its phrase's last stem, (term, concept) if given, else the
-    stem. All codes of a concept are named after its representative word, by count
+    stem, or what ``key`` says. All codes of a concept are named after its representative word, by count
     to the 1.5 and idf to the 0.35 (idf: stem, idf), or the most frequent phrase of
     two words with it that occurs more than once; their own label is kept as
     open_label. Words too general and verbs don't represent."""
-    headed = codes.withColumn("concept", tx.stem(F.element_at(F.split("phrase", " "), -1)))
+    headed = codes.withColumn("concept", tx.stem(F.element_at(F.split("phrase", " "), -1)) if key is None else key)
     if concepts is not None:
         known = concepts.select(F.col("term").alias("concept"), F.col("concept").alias("_known"))
         headed = headed.join(known, "concept", "left").withColumn("concept", F.coalesce("_known", "concept")).drop("_known")

@@ -126,10 +126,10 @@ def agreement_band(value: Column, n: Column) -> Column:
 def merge_codes(apps: DataFrame, links: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Applications and links with merged codes (mapping: code_id, keep_id)
     renamed; doubled applications and self-links go."""
-    apps = apps.join(F.broadcast(mapping), "code_id", "left").withColumn("code_id", F.coalesce("keep_id", "code_id")).drop("keep_id")
+    apps = apps.join(mapping, "code_id", "left").withColumn("code_id", F.coalesce("keep_id", "code_id")).drop("keep_id")
     for end in ("src", "dst"):
         side = mapping.withColumnsRenamed({"code_id": end, "keep_id": "to"})
-        links = links.join(F.broadcast(side), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        links = links.join(side, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
     return apps.dropDuplicates(["quotation_id", "code_id"]), links.where("src <> dst").select("src", "dst").distinct()
 
 
@@ -171,7 +171,7 @@ def reuse_spans(new: DataFrame, existing: DataFrame) -> DataFrame:
 def recompute_themes(apps: DataFrame, mapping: DataFrame) -> DataFrame:
     """Themes after relabelling (theme_id, to), with recomputed statistics:
     members, mean confidence, coverage and documents."""
-    moved = apps.join(F.broadcast(mapping), "theme_id", "left").withColumn("theme_id", F.coalesce("to", "theme_id"))
+    moved = apps.join(mapping, "theme_id", "left").withColumn("theme_id", F.coalesce("to", "theme_id"))
     stats = moved.groupBy("theme_id").agg(
         F.count("*").alias("members"), F.round(F.avg("confidence"), 6).alias("confidence"), F.countDistinct("document_id").alias("documents"),
         F.max(F.col("to").isNotNull()).alias("touched"),
@@ -205,6 +205,45 @@ def usage_ledger(events: DataFrame, limit: int | None = 1000) -> DataFrame:
     )
 
 
+def usage_view(events: DataFrame, users: DataFrame, projects: DataFrame, viewer: int, owner: bool, limit: int | None = 1000) -> DataFrame:
+    """What a viewer sees of the ledger: an owner every row, others their own; the
+    latest ``limit`` rows with the names of user (user_id, user) and project
+    (project_id, project), empty where they are gone, summed up by both."""
+    seen = events if owner else events.where(F.col("user_id") == viewer)
+    latest = seen.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit) if limit else seen
+    named = latest.join(users, "user_id", "left").join(projects, "project_id", "left").fillna("", ["user", "project"])
+    return named.groupBy("user", "project").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("cost"), F.count_if(F.col("value") < 10).alias("failures"))
+
+
+def rename_codes(codes: DataFrame, renames: DataFrame) -> DataFrame:
+    """Codes (code_id, name) under new names (code_id, new_name); applications refer to
+    ids, so labels are told at reading and nothing else is rewritten."""
+    return codes.join(renames, "code_id", "left").withColumn("name", F.coalesce(F.nullif(F.trim("new_name"), F.lit("")), "name")).drop("new_name")
+
+
+STATUSES = ["confirmed", "candidate", "review", "rejected"]
+
+
+def overlay_themes(themes: DataFrame, edits: DataFrame) -> DataFrame:
+    """Themes (theme_id, name, status) with the analyst's edits (theme_id, new_name,
+    new_status) over them; a blank name or an unknown status changes nothing."""
+    known = F.when(F.col("new_status").isin(STATUSES), F.col("new_status"))
+    told = themes.join(edits, "theme_id", "left")
+    return told.withColumns({"name": F.coalesce(F.nullif(F.trim("new_name"), F.lit("")), "name"), "status": F.coalesce(known, "status")}).drop("new_name", "new_status")
+
+
+def next_order(themes: DataFrame, by: str) -> DataFrame:
+    """The place that a new theme of each project takes: one after the last, 1 if none has one."""
+    return themes.groupBy(by).agg((F.coalesce(F.max("order_idx"), F.lit(0)) + 1).alias("next_order"))
+
+
+def project(rows: DataFrame, names: dict[str, str], flags: list[str] = (), decoded: dict[str, str] | None = None) -> DataFrame:
+    """Rows as they are shown: columns picked and renamed, flags as booleans, JSON
+    columns as what they hold (column -> type); what can't be decoded is null."""
+    told = {**{c: F.col(c).cast("boolean") for c in flags}, **{c: F.from_json(c, kind) for c, kind in (decoded or {}).items()}}
+    return rows.select(*[told.get(c, F.col(c)).alias(name) for c, name in names.items()])
+
+
 def clamp(value: Column, default: float, low: float, high: float) -> Column:
     """A number within bounds; what isn't a number is the default."""
     return F.least(F.greatest(F.coalesce(value.try_cast("double"), F.lit(default)), F.lit(low)), F.lit(high))

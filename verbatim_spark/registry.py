@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus, readings, reviews, streaming, themes, workbench
+from .plans import corpus, methods, readings, reviews, streaming, themes, workbench
 
-MODULES = [workbench, reviews, corpus, readings, themes, streaming]
+MODULES = [workbench, reviews, corpus, readings, themes, methods, streaming]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

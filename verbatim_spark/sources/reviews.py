@@ -58,7 +58,7 @@ def sniff(raw: Column) -> Column:
 
 def parse_lines(raw: DataFrame, text_col: str = "raw") -> DataFrame:
     """(rating, text, when) of lines such as ``5 | Lovely place (2 weeks ago)``."""
-    line = F.explode(F.transform(F.split(text_col, "\r?\n"), F.trim))
+    line = F.explode(F.transform(F.split(text_col, "\r?\n"), lambda x: F.trim(x)))
     lines = raw.select(*[c for c in raw.columns if c != text_col], line.alias("_line")).where("_line <> ''")
     stars = F.regexp_extract("_line", r"^([0-5](?:\.\d)?)(?:/5)?\s*(?:\||stars?\b|★)\s*", 1)
     when = F.regexp_extract("_line", r"\(([^()]*(?:ago|yesterday|today))\)\s*$", 1)
