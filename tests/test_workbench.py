@@ -1,6 +1,8 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from verbatim_spark.context import Controls, Engine, ReviewEngine
+from verbatim_spark.methodologies import METHODOLOGIES
 from verbatim_spark.operators import readings, vectors
 from verbatim_spark.operators import workbench as wb
 
@@ -51,15 +53,7 @@ def test_saturation_counts_each_item_once(spark):
     assert [r["new"] for r in got] == [2, 0, 1] and [r["seen"] for r in got] == [2, 2, 3]
 
 
-def test_engines(spark):
-    text = "\n".join(
-        f"Interviewer: Question {i}?\nP{i % 2 + 1}: The waiting room staff were helpful and kind today. The waiting room was cold and the staff were rude to me."
-        for i in range(4)
-    )
-    docs = spark.createDataFrame([("d1", text), ("d2", text)], "document_id string, text string")
-    out = Engine(spark, Controls(similarity=7, min_quotes=2)).analyse(docs)
-    assert out["codes"].count() == 16 and out["themes"].count() >= 1
-    assert out["codes"].where("phrase = 'this account'").count() == 0
+def test_indicators_of_reviews_with_known_valence(spark):
     rows = spark.createDataFrame([(1, "b", 5, 0.5, 1.0, True), (2, "b", 1, 0.6, 14.0, False)], "review_id long, business string, rating int, valence double, months double, responded boolean")
     tables = ReviewEngine().analyse(rows)
     kpi = tables["kpis"].first()
@@ -67,6 +61,100 @@ def test_engines(spark):
     assert tables["rating_vs_text"].count() == 1
 
 
+SAID = [
+    "I waited for three long hours in the cold waiting room and nobody told me anything.", "The waiting room staff were helpful and kind to me in the end.",
+    "Because of the delay I could not get home and I felt really anxious about my children.", "They should improve the booking system because it never works for anyone.",
+    "The nurse listened to me and explained the treatment in a very clear way.", "I was told to go home but then suddenly the pain got much worse.",
+    "In the end we managed to see the doctor and I felt relieved and grateful.", "The waiting room was cold and the staff were rude to my family.",
+]
+
+
+def interviews(spark):
+    rows = []
+    for d in range(4):
+        lines = [f"Interviewer: What happened next?\nP{d + 1}: {SAID[(d + k) % 8]} {SAID[(3 * d + 2 * k) % 8]}" for k in range(5)]
+        rows.append((f"d{d}", "\n".join(lines)))
+    return spark.createDataFrame(rows, "document_id string, text string")
+
+
+def test_all_methodologies_read_one_analysis(spark):
+    out = Engine(spark, Controls(similarity=0.2, min_quotes=2)).analyse(interviews(spark), list(METHODOLOGIES))
+    rows = {name: df.count() for name, df in out.items() if "." in name}
+    assert {n.split(".")[0] for n in rows} == set(METHODOLOGIES)
+    empty = {n for n, k in rows.items() if not k}
+    # What depends on the text's luck may be empty; the bodies of the readings may not.
+    assert not empty & {
+        "thematic.themes", "thematic.boundaries", "thematic.defining_quotes", "thematic.keyness", "thematic.phases", "content.scheme", "content.matrix", "content.latent", "content.manifest_terms",
+        "content.concordance", "framework.index", "framework.chart", "framework.mapping", "framework.stages", "grounded_theory.open_codes", "grounded_theory.axial", "grounded_theory.paradigm",
+        "grounded_theory.core", "grounded_theory.saturation", "experiential.statements", "experiential.cases", "experiential.profile", "experiential.personal_themes", "narrative.arc", "narrative.agency", "narrative.plots", "narrative.cross",
+    }
+    codes = out["codes"]
+    assert codes.where("label = '' OR label IS NULL OR concept IS NULL").count() == 0 and codes.select("open_label").distinct().count() >= codes.select("label").distinct().count()
+    chart = out["framework.chart"]
+    assert chart.count() == chart.select("participant").distinct().count() * chart.select("category").distinct().count()
+
+
+def test_controls_of_confidence_and_participants_decide_the_status(spark):
+    rows = [("a", f"p{i}", 0.8, 0.5, 0.5) for i in range(3)] + [("b", "p0", 0.3, -0.5, 0.5), ("b", "p1", 0.3, 0.5, 0.5)]
+    codes = spark.createDataFrame(rows, "theme_id string, participant string, confidence double, valence double, cohesion double")
+    status = lambda **c: {r["theme_id"]: r["status"] for r in readings.theme_summary(codes, **c).collect()}
+    assert status(min_quotes=3, min_participants=2, least_confidence=0.55) == {"a": "confirmed", "b": "review"}
+    assert status(min_quotes=2, min_participants=2, least_confidence=0.2) == {"a": "confirmed", "b": "confirmed"}
+    assert status(min_quotes=9, min_participants=9, least_confidence=0.2) == {"a": "candidate", "b": "candidate"}
+
+
+def test_merge_suggestions_from_stored_codes(spark):
+    rows = [(f"{t}{i}", t, ["wait", "room", "cold", w], "waiting room", "neutral", "describing") for t, w in (("a", "staff"), ("b", "nurse")) for i in range(3)] + [("c0", "c", ["price", "bill"], "high price", "anger", "evaluating")]
+    codes = spark.createDataFrame(rows, "id string, theme_id string, stems array<string>, phrase string, mood string, intent string")
+    assert [(r["a"], r["b"]) for r in Engine(spark).suggest_merges(codes).collect()][:1] == [("a", "b")]
+
+
+def test_equal_units_are_clustered_once(spark):
+    rows = [(f"x{i:03d}", t, 0.5**0.5) for i in range(300) for t in ("same", "words")] + [("y0", "other", 1.0), ("y1", "other", 1.0)]
+    v = spark.createDataFrame(rows, "doc string, term string, weight double")
+    nodes = v.select(F.col("doc").alias("id"), F.lit("all").alias("within")).distinct().unionByName(spark.createDataFrame([("alone", "all")], "id string, within string"))
+    one, copies = vectors.distinct_vectors(v)
+    assert one.select("doc").distinct().count() == 2 and copies.count() == 302
+    sizes = sorted(r["n"] for r in vectors.cluster_copies(v, nodes, 0.3).groupBy("cluster").agg(F.count("*").alias("n")).collect())
+    assert sizes == [1, 2, 300]
+
+
+def test_review_report_from_pasted_lines(spark):
+    mine = "5 | The staff were rude and dismissive and we waited for over an hour (2 weeks ago)\n4 | Lovely food and friendly staff, would recommend (1 month ago)\n1 | Dirty room, broken lift and nobody answered the phone (3 months ago)\n2 | Slow service and a long wait again (8 months ago)"
+    theirs = "5 | Excellent service, friendly staff and quick booking (1 week ago)\n5 | Clean rooms and helpful staff, the best value (2 months ago)\n3 | Fair price but the queue was slow (14 months ago)"
+    engine = ReviewEngine()
+    reviews = engine.read(spark.createDataFrame([("ours", mine), ("rival", theirs)], "business string, raw string"), "2026-01-31 00:00:00")
+    assert reviews.count() == 7 and reviews.where("months IS NULL OR rating IS NULL").count() == 0
+    out = engine.report(reviews, "ours", "rival")
+    rows = {name: df.collect() for name, df in out.items()}
+    assert len(rows) >= 15 and all(rows[n] for n in ("kpis", "temporal", "trend", "content", "journey", "bottlenecks", "issues", "dimensions", "ranking", "findings", "summary", "matrix", "comparison", "kpi_delta"))
+    # Five stars on a complaint: the text contradicts them.
+    assert any(r["kind"] == "high stars" and r["rating"] == 5.0 for r in rows["rating_vs_text"])
+    assert {r["business"]: r["reviews"] for r in rows["kpis"]} == {"ours": 4, "rival": 3} and len(rows["dimensions"]) == 10
+    assert [r["business"] for r in rows["ranking"]][0] == "rival"
+
+
+def test_running_total_over_ranges(spark):
+    rows = [(i * 37 % 1000, i) for i in range(1000)]
+    got = readings.running_total(spark.createDataFrame(rows, "k long, v long").repartition(7), "k", "v", "total").orderBy("k").collect()
+    total = 0
+    for place, (k, v) in enumerate(sorted(rows), 1):
+        total += v
+        assert (got[place - 1]["total"], got[place - 1]["place"]) == (total, place)
+
+
+def test_sparse_edges_find_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    dense = rng.random((40, 12)) * (rng.random((40, 12)) < 0.4)
+    dense[:, 0] += 0.2  # a term that all have
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    rows = [(i, f"t{k}", float(dense[i, k])) for i in range(40) for k in range(12) if dense[i, k]]
+    got = {(r["i"], r["j"]): r["sim"] for r in vectors.sparse_edges(spark.createDataFrame(rows, "doc long, term string, weight double"), 0.6).collect()}
+    sims = dense @ dense.T
+    assert got.keys() == {(i, j) for i in range(40) for j in range(i + 1, 40) if sims[i, j] >= 0.6}
+    assert all(abs(v - sims[i, j]) < 1e-9 for (i, j), v in got.items())
+
+
 def test_controls_are_bounded():
     assert Controls(similarity=3).similarity == 0.95 and Controls(min_quotes=0).min_quotes == 1
 
@@ -110,6 +198,6 @@ def test_engine_confidence_follows_cohesion(spark):
     said = ["The garden fence needs paint.", "The garden fence needs paint.", "The garden gate wants oil.", "The garden gate wants oil."]
     docs = spark.createDataFrame([("d", "\n".join(f"P{i}: {x}" for i, x in enumerate(said)))], "document_id string, text string")
     out = Engine(spark, Controls(similarity=0.05, min_quotes=2)).analyse(docs)
-    mean = {r["theme_id"]: r["c"] for r in out["codes"].join(out["members"], "unit_id").groupBy("theme_id").agg(F.avg("confidence").alias("c")).collect()}
+    mean = {r["theme_id"]: r["c"] for r in out["codes"].where("theme_id IS NOT NULL").groupBy("theme_id").agg(F.avg("confidence").alias("c")).collect()}
     got = {r["theme_id"]: r["confidence"] for r in out["themes"].collect()}
     assert len(got) == 1 and all(c < round(min(mean[t], 0.99), 6) for t, c in got.items())
