@@ -419,6 +419,55 @@ def test_quality(spark, docs, empty):
     assert quality.learn(empty, rated.limit(0), grades=3).weights.sum() == 0
 
 
+def test_quality_gradients_are_those_of_the_likelihood():
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 4)), rng.choice(30, 6, replace=False), rng.random(6).astype(np.float32)) for _ in range(25)]
+    w, first, gaps, weigh = rng.normal(0, 0.5, 30), -0.4, np.array([0.2, -0.3]), rng.random(4) + 0.5
+
+    def loss(w, first, gaps):
+        """Row by row, from the definition: P(y > k) is the logistic of place less threshold."""
+        cuts = [first, first + math.exp(gaps[0]), first + math.exp(gaps[0]) + math.exp(gaps[1])]
+        total = 0.0
+        for g, where, value in rows:
+            tail = [1.0, *(1 / (1 + math.exp(c - float(w[where] @ value))) for c in cuts), 0.0]
+            total -= weigh[g] * math.log(tail[g] - tail[g + 1])
+        return total
+
+    got_w, got_t = quality.gradients(w, first, gaps, rows, weigh, 4)
+    step = 1e-5
+    for k in range(30):
+        e = np.eye(30)[k] * step
+        assert got_w[k] == pytest.approx((loss(w + e, first, gaps) - loss(w - e, first, gaps)) / (2 * step), abs=1e-5)
+    assert got_t[0] == pytest.approx((loss(w, first + step, gaps) - loss(w, first - step, gaps)) / (2 * step), abs=1e-5)
+    for k in range(2):
+        e = np.eye(2)[k] * step
+        assert got_t[k + 1] == pytest.approx((loss(w, first, gaps + e) - loss(w, first, gaps - e)) / (2 * step), abs=1e-5)
+
+
+def test_quality_of_repeated_ids_is_defined(spark):
+    rows = [(1, "calm river " * 5), (1, "awful storm " * 5), (2, "plain field " * 5), (3, None)]
+    rated = spark.createDataFrame([(1, 2), (1, 0), (1, 1), (2, 1), (3, 1)], "doc_id long, grade int")
+    models = [quality.learn(spark.createDataFrame(rows[::k], "doc_id long, text string").repartition(n), rated, grades=3) for k, n in ((1, 1), (-1, 3))]
+    assert np.array_equal(models[0].weights, models[1].weights) and np.array_equal(models[0].thresholds, models[1].thresholds)
+
+
+def test_quality_query_tells_grades_of_held_out_texts(spark, tmp_path):
+    """The registered query on half of the ratings; the other half judges it."""
+    tables = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{tables}/{n}.parquet") for n in ("documents", "labels"))
+    docs.join(labels.select("doc_id"), "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    labels.where("doc_id % 2 = 0").write.parquet(str(tmp_path / "labels.parquet"))
+    scored = queries.op4_quality(spark, str(tmp_path)).select("doc_id", "p_not_toxic", "p_good")
+    rows = scored.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+
+    def auc(pairs):
+        good, bad = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+        return np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+
+    assert auc([(r["p_not_toxic"], r["toxic"] == 0) for r in rows]) > 0.9
+    assert auc([(r["p_good"], r["quality"] == 1) for r in rows]) > 0.85
+
+
 def test_pseudo_likelihood(spark, docs, empty):
     rows = pseudo.score(docs).collect()
     assert Counter((r["doc_id"], r["n_words"]) for r in rows) == Counter((i, len(words(t))) for i, t in TEXTS)

@@ -8,6 +8,7 @@ probabilities come from the same shared weights.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from typing import NamedTuple
@@ -29,6 +30,7 @@ _BEGINNINGS = [(n, bytes([1, n])) for n in (4, 5, 6)]
 _MOST_KNOWN = 500_000
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def shape(token: bytes) -> bytes:
     """A token's kinds of characters without repeats: ``b"Ab***"`` gives ``b"Aa*"``."""
     kinds = token.translate(_SHAPE)
@@ -40,17 +42,20 @@ def place_of(feature: bytes, bits: int = BITS) -> int:
 
 
 def features(text: bytes | None) -> dict[bytes, float]:
-    """Presence of each word and of each beginning of words (of 4, 5 and 6 bytes),
-    and the root of each shape's share of the tokens."""
+    """Presence of each word, of each beginning of words (of 4, 5 and 6 bytes), of
+    each shape by the fifth of the tokens that have it, and of the tenths of tokens
+    and lines that are not repeats."""
     if not text:
         return {}
     out = dict.fromkeys(words(text), 1.0)
     whole = list(out)
     for n, mark in _BEGINNINGS:
         out.update(dict.fromkeys({mark + w[:n] for w in whole if len(w) > n}, 1.0))
-    tokens = text.split()
+    tokens, lines = text.split(), text.split(b"\n")
     for kind, n in Counter(map(shape, tokens)).items():
-        out[b"\x00" + kind] = 3.0 * (n / len(tokens)) ** 0.5
+        out[b"\x00%d" % (5 * n // len(tokens)) + kind] = 1.0
+    out[b"\x02%d" % (10 * len(set(tokens)) // max(len(tokens), 1))] = 1.0
+    out[b"\x03%d" % (10 * len(set(lines)) // len(lines))] = 1.0
     return out
 
 
@@ -64,7 +69,7 @@ class Model(NamedTuple):
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, bits: int = BITS, epochs: int = 40,
-        rate: float = 0.05, decay: float = 2e-4, batch: int = 64, least_share: float = 0.004, least_z: float = 6.0, seed: int = 0) -> Model:
+        rate: float = 0.05, decay: float = 2e-4, batch: int = 64, least_share: float = 0.004, least_z: float = 5.0, seed: int = 0) -> Model:
     """Adam, slowing down, on the mean negative log-likelihood of (grade, places, values) rows;
     rarer grades weigh more, by the root of their share. Features of under
     ``least_share`` of the rows are left out, since they would be learned by heart,
@@ -83,25 +88,9 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, bits: int =
     for _ in range(epochs if rows else 0):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), batch):
-            pick = order[at : at + batch]
-            sizes = np.array([len(rows[i][1]) for i in pick])
-            where = np.concatenate([rows[i][1] for i in pick])
-            value = np.concatenate([rows[i][2] for i in pick])
-            owner = np.repeat(np.arange(len(pick)), sizes)
-            place = np.bincount(owner, weights=w[where] * value, minlength=len(pick))
-            cuts = np.concatenate([[-np.inf], first + np.concatenate([[0], np.cumsum(np.exp(gaps))]), [np.inf]])
-            g = grade[pick]
-            above = 1 / (1 + np.exp(np.clip(cuts[g] - place, -60, 60)))  # P(y >= g)
-            beyond = 1 / (1 + np.exp(np.clip(cuts[g + 1] - place, -60, 60)))  # P(y > g)
-            prob = np.maximum(above - beyond, 1e-9)
-            scale = weigh[g] / len(pick)
-            up, down = above * (1 - above) / prob, beyond * (1 - beyond) / prob
-            push = -(up - down) * scale
-            # Thresholds: the lower one of a row lowers, the upper one raises its probability.
-            by_cut = np.bincount(g, weights=up * scale, minlength=grades)[1:] - np.bincount(g, weights=down * scale, minlength=grades)[:-1]
-            tail = np.cumsum(by_cut[::-1])[::-1]
-            t_grad = np.concatenate([[tail[0]], tail[1:] * np.exp(gaps)])
-            grad = np.bincount(where, weights=value * push[owner], minlength=size).astype(np.float32) + decay * w
+            pick = [rows[i] for i in order[at : at + batch]]
+            grad, t_grad = gradients(w, first, gaps, pick, weigh / len(pick), grades)
+            grad = grad.astype(np.float32) + decay * w
             step += 1
             slow = rate * (1 - (step - 1) / steps)
             m += 0.1 * (grad - m)
@@ -115,6 +104,27 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, bits: int =
     return Model(w, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
 
 
+def gradients(w: np.ndarray, first: float, gaps: np.ndarray, rows, weigh: np.ndarray, grades: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sum over (grade, places, values) rows of the negative log-likelihood,
+    weighed by grade: for the weights, and for the first threshold and the
+    logarithms of the gaps between thresholds."""
+    sizes = np.array([len(r[1]) for r in rows])
+    where, value = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    place = np.bincount(owner, weights=w[where] * value, minlength=len(rows))
+    cuts = np.concatenate([[-np.inf], first + np.concatenate([[0], np.cumsum(np.exp(gaps))]), [np.inf]])
+    g = np.array([r[0] for r in rows], np.int64)
+    above = 1 / (1 + np.exp(np.clip(cuts[g] - place, -60, 60)))  # P(y >= g)
+    beyond = 1 / (1 + np.exp(np.clip(cuts[g + 1] - place, -60, 60)))  # P(y > g)
+    prob = np.maximum(above - beyond, 1e-9)
+    up, down = above * (1 - above) / prob, beyond * (1 - beyond) / prob
+    push = -(up - down) * weigh[g]
+    # Thresholds: the lower one of a row lowers, the upper one raises its probability.
+    by_cut = np.bincount(g, weights=up * weigh[g], minlength=grades)[1:] - np.bincount(g, weights=down * weigh[g], minlength=grades)[:-1]
+    tail = np.cumsum(by_cut[::-1])[::-1]
+    return np.bincount(where, weights=value * push[owner], minlength=len(w)), np.concatenate([[tail[0]], tail[1:] * np.exp(gaps)])
+
+
 def _telling(rows, size: int, least_share: float, least_z: float):
     """The rows with only those features that tell something of the grade."""
     if not rows:
