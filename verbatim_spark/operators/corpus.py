@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,28 +59,25 @@ def units(turns: DataFrame, granularity: str = "sentence", least: int = 4) -> Da
     return each.where(tx.word_count(F.col("text")) >= least)
 
 
-def locate(units: DataFrame, body: str = "body") -> DataFrame:
-    """Adds char_start and char_end, the unit's place in its document; blanks in
-    the unit stand for any white space. Units of one document must follow each
-    other, so this is one pass over each document's units."""
-    import re
-
-    import pandas as pd
+def locate(units: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Adds char_start and char_end, the unit's place in its document (document_id,
+    body); blanks in the unit stand for any white space. Units of one document must
+    follow each other, so this is one pass over each document's units; a body is
+    moved once, not with each unit."""
 
-    def place(group: pd.DataFrame) -> pd.DataFrame:
+    def place(group: pd.DataFrame, documents: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["turn_idx", "idx"])
-        text, cursor, spans = group[body].iloc[0], 0, []
+        text, cursor, spans = documents["body"].iloc[0] if len(documents) else "", 0, []
         for unit in group["text"]:
             pattern = re.compile(r"\s+".join(map(re.escape, unit.split())))
             hit = (pattern.search(text, cursor) or pattern.search(text)) if unit.split() else None
             spans.append(hit.span() if hit else (0, 0))
             cursor = hit.end() if hit else cursor
         group["char_start"], group["char_end"] = [s for s, _ in spans], [e for _, e in spans]
-        return group.drop(columns=[body])
+        return group
 
-    kept = [f for f in units.schema.fields if f.name != body]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", char_start long, char_end long"
-    return units.groupBy("document_id").applyInPandas(place, schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema.fields) + ", char_start long, char_end long"
+    return units.groupBy("document_id").cogroup(bodies.select("document_id", "body").groupBy("document_id")).applyInPandas(place, schema)
 
 
 def stem_words(words: DataFrame, word: str = "word") -> DataFrame:

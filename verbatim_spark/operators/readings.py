@@ -223,7 +223,8 @@ def theme_summary(codes: DataFrame, by: str = "participant", min_quotes: int = 3
         F.count("*").alias("members"), F.countDistinct(by).alias("participants"), F.avg("confidence").alias("conf"), F.round(F.avg("valence"), 6).alias("mean_valence"),
         F.max("cohesion").alias("cohesion"), F.count_if(F.col("valence") > 0.25).alias("high"), F.count_if(F.col("valence") < -0.25).alias("low"),
     ).join(F.broadcast(everyone))
-    conf = F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), F.col("conf") * (0.7 + 0.3 * F.least(2 * F.col("cohesion"), F.lit(1.0))))), 6)
+    conf = F.greatest(F.lit(0.05), F.least(F.lit(0.99), F.col("conf") * (0.7 + 0.3 * F.least(2 * F.col("cohesion"), F.lit(1.0)))))
+    conf = F.round(F.round(conf, 12), 6)  # halves are halves whatever the order of the sum was
     enough = F.col("participants") >= min_participants
     status = (
         F.when((F.col("members") >= min_quotes) & enough & (conf >= least_confidence), "confirmed")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as lx
 from ..functions import text as tx
 from ..operators import coding, corpus
 from .views import read, typed
@@ -190,7 +191,41 @@ def truncated_quotes(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", tx.truncate(F.col("text"), 60).alias("short"))
 
 
-@query(None)
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _felt_sql(cues: list[str]) -> str:
+    """The score of one emotion, as ``coding.emotion_score`` has it."""
+    one = lambda c: f"CASE WHEN contains(joined, {_quoted(c.replace('-', ' '))}) THEN 1.2 ELSE 0 END" if "-" in c else (
+        f"CASE WHEN len(list_filter(stems, lambda s: starts_with(s, {_quoted(c)}) OR starts_with({_quoted(c)}, s) AND length(s) > 3)) > 0 THEN 1.0 ELSE 0 END")
+    return "(" + " + ".join(map(one, cues)) + ")::DOUBLE"
+
+
+def _cues_sql(cues: list[str]) -> str:
+    return "(" + " + ".join(f"CAST(regexp_matches(lower(text), {_quoted('(^|[^a-z])' + c + '([^a-z]|$)')}) AS INTEGER)" for c in cues) + ")"
+
+
+_listed = lambda ws: "[" + ", ".join(map(_quoted, ws)) + "]"
+_stem_of = tx.stem_sql("w", "trim(lower({w}), " + _quoted("'-") + ")")
+_FELT = ", ".join(f"{{'s': {_felt_sql(cues)}, 'o': {-i}, 'n': '{n}', 'w': {lx.EMOTION_VALENCE[n]}::DOUBLE}}" for i, (n, cues) in enumerate(lx.EMOTIONS.items()))
+_MEANT = ", ".join(f"{{'s': {_cues_sql(cues)}, 'o': {-i}, 'n': '{n}'}}" for i, (n, cues) in enumerate(lx.INTENTS.items()))
+_POLAR = f"""list_reduce(tokens, lambda a, t: {{'score': a.score + CASE WHEN list_contains({_listed(lx.NEGATORS)}, t) THEN 0 ELSE (CASE WHEN list_contains({_listed(lx.POSITIVE)}, t) THEN 1.0 WHEN list_contains({_listed(lx.NEGATIVE)}, t) THEN -1.0 ELSE 0.0 END::DOUBLE)
+ * (CASE WHEN a.negated THEN -0.85 ELSE 1.0 END::DOUBLE) * (CASE WHEN a.strong THEN 1.5 ELSE 1.0 END::DOUBLE) END,
+ 'negated': CASE WHEN list_contains({_listed(lx.NEGATORS)}, t) THEN true WHEN list_contains({_listed(lx.POSITIVE + lx.NEGATIVE)}, t) THEN false ELSE a.negated END, 'strong': list_contains({_listed(lx.INTENSIFIERS)}, t)}},
+ {{'score': 0.0::DOUBLE, 'negated': false, 'strong': false}}).score"""
+
+
+@query(f"""WITH docs AS (SELECT conv_id * 1000 + turn AS doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE role = 'user'), {_SENT},
+u AS (SELECT doc_id, unnest(ss) AS text, unnest(range(0, len(ss))) AS idx FROM f), k AS (SELECT *, {_TOKENS} AS tokens FROM u WHERE len(regexp_extract_all(text, '\\S+')) >= 4),
+s AS (SELECT *, list_transform(tokens, lambda w: {_stem_of}) AS stems, array_to_string(tokens, ' ') AS joined FROM k WHERE len(tokens) >= 4),
+e AS (SELECT *, list_sort(list_filter([{_FELT}], lambda x: x.s > 0)) AS felt, list_sort([{_MEANT}])[-1] AS meant, {_POLAR} AS polar FROM s),
+v AS (SELECT *, coalesce(felt[-1].s, 0) AS es, polar + coalesce(list_sum(list_transform(felt, lambda x: x.w * least(x.s, 2.0) * 0.6::DOUBLE)), 0) AS raw, len(tokens) AS n,
+ list_has_any(tokens, {_listed(lx.HEDGES)}) AS hedged, list_has_any(tokens, {_listed(lx.NEGATORS)}) AS negated FROM e)
+SELECT doc_id // 1000 AS document_id, doc_id % 1000 AS turn_idx, idx, coalesce(felt[-1].n, 'neutral') AS emotion, CASE WHEN meant.s > 0 THEN meant.n ELSE 'describing' END AS intent,
+round(greatest(-1.0, least(1.0, raw / greatest(n / 12.0::DOUBLE, 1.0))), 3) AS valence,
+round(greatest(0.2, least(0.97, 0.55::DOUBLE + CASE WHEN n BETWEEN 8 AND 45 THEN 0.12 WHEN n < 6 THEN -0.12 ELSE 0 END::DOUBLE + least(es, 3.0) * 0.04::DOUBLE + least(meant.s, 3) * 0.025::DOUBLE + 0.05::DOUBLE
+ - CASE WHEN hedged THEN 0.11 ELSE 0 END::DOUBLE - CASE WHEN negated THEN 0.05 ELSE 0 END::DOUBLE)), 3) AS confidence FROM v""")
 def coded_units(spark, sf):
     """Units of conversations, coded with the bundled lexicons."""
     turns = corpus.question_context(_turns(spark, sf))
@@ -200,6 +235,7 @@ def coded_units(spark, sf):
 
 
 typed(ORACLE, {
+    "coded_units": {"turn_idx": "BIGINT", "idx": "INTEGER"},
     "token_counts": {"tokens": "INTEGER", "content": "INTEGER"}, "kwic": {"line": "INTEGER"}, "sentence_count": {"sentences": "INTEGER"},
     "html_strip": {"n": "INTEGER"}, "search_autocode": {"start": "INTEGER", "end": "INTEGER"},
 })

@@ -168,7 +168,7 @@ def negative_cases(spark, sf):
 
 @query(f"""WITH {_C}, x AS (SELECT * REPLACE (document_id AS theme_id) FROM c), f AS (SELECT theme_id, count(*) AS members, count(DISTINCT participant) AS participants, avg(confidence) AS cf, round(avg(valence), 6) AS mean_valence,
  count(*) FILTER (valence > 0.25) AS hi, count(*) FILTER (valence < -0.25) AS lo FROM x GROUP BY 1),
-g AS (SELECT *, round(greatest(0.05, least(0.99, cf * (0.7 + 0.3 * 0.6))), 6) AS conf FROM f WHERE members >= 3)
+g AS (SELECT *, round(round(greatest(0.05, least(0.99, cf * (0.7 + 0.3 * 0.6))), 12), 6) AS conf FROM f WHERE members >= 3)
 SELECT theme_id, members, participants, round(members / (SELECT count(*) FROM c)::DOUBLE, 6) AS coverage, conf AS confidence, mean_valence,
 CASE WHEN members >= 20 AND participants >= 15 AND conf >= 0.845 THEN 'confirmed' WHEN members >= 19 OR participants >= 15 THEN 'review' ELSE 'candidate' END AS status,
 CASE WHEN mean_valence < -0.1 THEN hi WHEN mean_valence > 0.1 THEN lo ELSE 0 END AS negative_cases FROM g""")
@@ -324,8 +324,8 @@ def opposed_themes(spark, sf):
 def located_units(spark, sf):
     """Units of conversations with their places, of which text[start:end] is the unit."""
     docs = read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("document_id"), tx.normalise(F.col("text")).alias("body"))
-    turns = docs.select("document_id", F.lit(0).alias("turn_idx"), "body", F.col("body").alias("text"))
-    return corpus.locate(corpus.units(turns)).select("document_id", "turn_idx", "idx", "char_start", "char_end")
+    turns = docs.select("document_id", F.lit(0).alias("turn_idx"), F.col("body").alias("text"))
+    return corpus.locate(corpus.units(turns), docs).select("document_id", "turn_idx", "idx", "char_start", "char_end")
 
 
 typed(ORACLE, {name: {"rank": "INTEGER"} for name in ("turning_points", "exemplars", "top_terms", "term_cooccurrence")})

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.kept import keep
 from ..functions.shipping import ship
+from ..operators.readings import running_total
 
 # Encodings in the order in which they are tried.
 CODECS = ["utf-8-sig", "utf-8", "cp1252", "latin-1"]
@@ -53,10 +55,11 @@ def read_transcripts(spark: SparkSession, path: str, least_words: int = 20) -> D
 
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "path string, raw_text string")
-    kept = files.where(tx.word_count(F.col("raw_text")) >= least_words)
-    order = Window.orderBy("path")  # a row a file
-    return kept.select(
-        F.sha2("path", 256).alias("document_id"), F.concat(F.lit("P"), F.row_number().over(order).cast("string")).alias("participant_label"),
+    kept = keep(files.where(tx.word_count(F.col("raw_text")) >= least_words), "transcripts")
+    # Paths alone are put in order; texts stay where they are.
+    places = running_total(kept.select("path", F.lit(1).alias("one")), "path", "one", "n").select("path", "n")
+    return kept.join(places, "path").select(
+        F.sha2("path", 256).alias("document_id"), F.concat(F.lit("P"), F.col("n").cast("string")).alias("participant_label"),
         "raw_text", F.length("raw_text").alias("char_count"),
     )
 
