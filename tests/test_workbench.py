@@ -1,10 +1,14 @@
+import io
+import zipfile
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from verbatim_spark.context import Controls, Engine, ReviewEngine
 from verbatim_spark.methodologies import METHODOLOGIES
-from verbatim_spark.operators import readings, vectors
+from verbatim_spark.operators import prose, readings, vectors
 from verbatim_spark.operators import workbench as wb
+from verbatim_spark.sources import sinks, workbooks
 
 
 def apps(spark, rows):
@@ -61,6 +65,13 @@ def test_indicators_of_reviews_with_known_valence(spark):
     assert tables["rating_vs_text"].count() == 1
 
 
+def engine_rows(reviews):
+    rows = {}
+    for r in reviews.collect():
+        rows.setdefault(r["business"], []).append(r)
+    return rows
+
+
 SAID = [
     "I waited for three long hours in the cold waiting room and nobody told me anything.", "The waiting room staff were helpful and kind to me in the end.",
     "Because of the delay I could not get home and I felt really anxious about my children.", "They should improve the booking system because it never works for anyone.",
@@ -90,6 +101,13 @@ def test_all_methodologies_read_one_analysis(spark):
     }
     codes = out["codes"]
     assert codes.where("label = '' OR label IS NULL OR concept IS NULL").count() == 0 and codes.select("open_label").distinct().count() >= codes.select("label").distinct().count()
+    sheets = workbooks.project_sheets(out, Controls())
+    assert len(sheets) == 12 and sinks.sheet_names(list(sheets)) == list(sheets)
+    assert zipfile.ZipFile(io.BytesIO(sinks.workbook({n: sheets[n] for n in ("Project", "Themes", "Codebook")}))).testzip() is None
+    blocks = workbooks.report_blocks(out).collect()
+    assert len(blocks) == out["themes"].count() + 1 and all("quotations" in r["body"] for r in blocks)
+    books = workbooks.codebook_sheets(out["codes"].select("theme_id", "label", "participant", "text"), out["themes"], out["contradictions"], out["idf"])
+    assert books["Confidence scores"].count() == out["themes"].count()
     chart = out["framework.chart"]
     assert chart.count() == chart.select("participant").distinct().count() * chart.select("category").distinct().count()
 
@@ -120,6 +138,8 @@ def test_equal_units_are_clustered_once(spark):
 
 
 def test_review_report_from_pasted_lines(spark):
+    demo = engine_rows(ReviewEngine().read(workbooks.demo_reviews(spark), "2026-01-31 00:00:00"))
+    assert {k: len(v) for k, v in demo.items()} == {"The Mill": 10, "The Barn": 6}
     mine = "5 | The staff were rude and dismissive and we waited for over an hour (2 weeks ago)\n4 | Lovely food and friendly staff, would recommend (1 month ago)\n1 | Dirty room, broken lift and nobody answered the phone (3 months ago)\n2 | Slow service and a long wait again (8 months ago)"
     theirs = "5 | Excellent service, friendly staff and quick booking (1 week ago)\n5 | Clean rooms and helpful staff, the best value (2 months ago)\n3 | Fair price but the queue was slow (14 months ago)"
     engine = ReviewEngine()
@@ -128,6 +148,9 @@ def test_review_report_from_pasted_lines(spark):
     out = engine.report(reviews, "ours", "rival")
     rows = {name: df.collect() for name, df in out.items()}
     assert len(rows) >= 15 and all(rows[n] for n in ("kpis", "temporal", "trend", "content", "journey", "bottlenecks", "issues", "dimensions", "ranking", "findings", "summary", "matrix", "comparison", "kpi_delta"))
+    assert len(workbooks.review_sheets(out)) == 17
+    line = prose.headline(out["kpis"], out["dimensions"], "ours", "rival", "business", "dimension").first()
+    assert line["gap"] < -5 and line["headline"].startswith("rival leads on net sentiment by ")
     # Five stars on a complaint: the text contradicts them.
     assert any(r["kind"] == "high stars" and r["rating"] == 5.0 for r in rows["rating_vs_text"])
     assert {r["business"]: r["reviews"] for r in rows["kpis"]} == {"ours": 4, "rival": 3} and len(rows["dimensions"]) == 10

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as tx
-from ..operators import coding, corpus, methods, readings, themes, vectors
+from ..operators import coding, corpus, methods, prose, readings, themes, vectors
 from ..operators import workbench as wb
 from ..sources import reviews as ingest
 from .corpus import _W, _STEMS, LEXICON, STOP
@@ -336,7 +336,27 @@ def read_reviews(spark, sf):
     return ingest.read_any(raw, "2026-01-31 00:00:00").select("business", "rating", "text", F.round("months", 6).alias("months"))
 
 
-_WHEN = ["' days ago'", "' weeks ago'", "' months ago'"]
+_TONE = "CASE WHEN {0} < -0.25 THEN 'consistently negative' WHEN {0} < -0.05 THEN 'negative on balance' WHEN {0} > 0.25 THEN 'consistently positive' WHEN {0} > 0.05 THEN 'positive on balance' ELSE 'mixed' END"
+
+
+@query(f"""WITH {_D}, f AS (SELECT document_id, round(avg(valence), 6) AS m, min(valence) AS lo, max(valence) AS hi, count(DISTINCT l_suppkey) AS r FROM cd GROUP BY 1), t AS (SELECT count(DISTINCT l_suppkey) AS n FROM cd)
+SELECT document_id, {_TONE.format('m')} AS tone, CASE WHEN m > 0.15 THEN 'positive' WHEN m < -0.15 THEN 'negative' ELSE 'mixed' END AS cell,
+'from ' || CASE WHEN lo < -0.4 THEN 'strongly negative' WHEN lo < 0 THEN 'mildly negative' ELSE 'neutral' END || ' to ' || CASE WHEN hi > 0.4 THEN 'strongly positive' WHEN hi > 0 THEN 'mildly positive' ELSE 'neutral' END AS reach,
+'Stage: raised by ' || CAST(round_even(100 * r / n::DOUBLE, 0) AS INTEGER) || '% of reviewers and ' || {_TONE.format('m')} AS reading FROM f, t""")
+def report_wording(spark, sf):
+    codes = _by_document(spark, sf)
+    facts = codes.groupBy("document_id").agg(F.round(F.avg("valence"), 6).alias("m"), F.min("valence").alias("lo"), F.max("valence").alias("hi"), F.count_distinct("l_suppkey").alias("r"))
+    facts = facts.join(F.broadcast(codes.agg(F.count_distinct("l_suppkey").alias("n"))))
+    reading = F.regexp_replace(prose.stage_reading(F.lit("Stage"), F.col("m"), F.col("r"), F.col("n")), r" \(mean valence .*", "")
+    return facts.select("document_id", prose.tone(F.col("m")).alias("tone"), prose.cell_tone(F.col("m")).alias("cell"), prose.reach(F.col("lo"), F.col("hi")).alias("reach"), reading.alias("reading"))
+
+
+@query(f"""WITH {_D}, e AS (SELECT DISTINCT document_id, code_id AS item FROM cd), f AS (SELECT item, min(document_id) AS document_id FROM e GROUP BY 1), n AS (SELECT document_id, count(*) AS new FROM f GROUP BY 1),
+s AS (SELECT document_id, count(*) AS items, coalesce(any_value(new), 0) AS new FROM e LEFT JOIN n USING (document_id) GROUP BY 1),
+p AS (SELECT document_id, row_number() OVER (ORDER BY document_id) >= 3 AND round(new / items::DOUBLE, 6) <= 0.12 AS saturated FROM s)
+SELECT count(*) AS n, min(document_id) FILTER (saturated) AS "at", CASE WHEN min(document_id) FILTER (saturated) IS NOT NULL THEN 'provisional saturation' WHEN count(*) < 4 THEN 'too few documents' ELSE 'still climbing' END AS verdict FROM p""")
+def saturation_verdict(spark, sf):
+    return prose.saturation_reading(readings.saturation(_by_document(spark, sf).withColumn("item", F.col("code_id"))))
 
 
 @query("""SELECT o_orderkey, round(CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey % 9 + 1) * 1.0::DOUBLE WHEN 1 THEN (o_orderkey % 9 + 1) * 7.0::DOUBLE WHEN 2 THEN (o_orderkey % 9 + 1) * 30.44::DOUBLE
