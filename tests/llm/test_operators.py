@@ -198,6 +198,23 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_whole_license_texts_and_ties(spark):
+    mit = """Copyright (c) 2020 Jo Doe
+
+    Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,
+    including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+    subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+    WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+    HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+    changed = mit.replace("to deal in the Software", "to deal with the Software")
+    rows = [(1, mit), (2, changed), (3, "Licensed under CC BY-NC 4.0. Licensed under the ISC license")]
+    got = {r["doc_id"]: [(x["label"], x["start"], x["end"]) for x in r["stretches"]] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [("mit", 0, len(words(mit)))] and got[2] == []
+    assert [x[0] for x in got[3]] == ["cc-by-nc", "isc"]
+    both = licenses.Scanner({"b": ["one two three"], "a": ["one two three"], "c": ["two three"]}, {})
+    assert both.scan(b"x one two three")[2] == [("a", 1, 4), ("b", 1, 4)]
+
+
 def test_license_templates():
     scanner = licenses.Scanner({"t": ["alpha <<opt>>very <<opt>>much<<end>><<end>> beta <<var 2>> gamma"]}, {})
     ends = lambda text: [(a, b) for _, a, b in scanner.scan(text.encode())[2]]

@@ -30,7 +30,11 @@ TEMPLATES = {
         distribute sublicense and or sell copies of the software and to permit persons to whom the software is
         furnished to do so subject to the following conditions the above copyright notice and this permission notice
         <<opt>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the
-        software""",
+        software <<opt>>the software is provided as is without warranty of any kind express or implied including but not
+        limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event
+        shall the authors or copyright holders be liable for any claim damages or other liability whether in an action
+        of contract tort or otherwise arising from out of or in connection with the software or the use or other
+        dealings in the software<<end>>""",
         "<<opt>>this <<var 2>> is<<end>> <<opt>>released<<end>> <<opt>>licensed<<end>> under the mit license",
     ],
     "apache-2.0": [
@@ -47,12 +51,58 @@ TEMPLATES = {
         the above copyright notice this list of conditions and the following disclaimer in the documentation and or
         other materials provided with the distribution <<opt>>3<<end>> neither the name of <<var 12>> nor the names of its
         contributors may be used to endorse or promote products derived from this software without specific prior
-        written permission""",
+        written permission <<opt>>this software is provided by the copyright holders and contributors as is and any express or implied
+        warranties including but not limited to the implied warranties of merchantability and fitness for a particular
+        purpose are disclaimed in no event shall the copyright <<var 2>> or contributors be liable for any direct
+        indirect incidental special exemplary or consequential damages including but not limited to procurement of
+        substitute goods or services loss of use data or profits or business interruption however caused and on any
+        theory of liability whether in contract strict liability or tort including negligence or otherwise arising in
+        any way out of the use of this software even if advised of the possibility of such damage<<end>>""",
         "<<opt>>licensed<<end>> under the <<opt>>new<<end>> bsd <<opt>>3 clause<<end>> license",
     ],
+    "bsd-2-clause": [
+        """redistribution and use in source and binary forms with or without modification are permitted provided that the
+        following conditions are met <<opt>>1<<end>> redistributions of source code must retain the above copyright notice
+        this list of conditions and the following disclaimer <<opt>>2<<end>> redistributions in binary form must reproduce
+        the above copyright notice this list of conditions and the following disclaimer in the documentation and or
+        other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied
+        warranties including but not limited to the implied warranties of merchantability and fitness for a particular
+        purpose are disclaimed in no event shall the copyright <<var 2>> or contributors be liable for any direct
+        indirect incidental special exemplary or consequential damages including but not limited to procurement of
+        substitute goods or services loss of use data or profits or business interruption however caused and on any
+        theory of liability whether in contract strict liability or tort including negligence or otherwise arising in
+        any way out of the use of this software even if advised of the possibility of such damage""",
+    ],
+    "zlib": [
+        """this software is provided as is without any express or implied warranty in no event will the authors be held
+        liable for any damages arising from the use of this software permission is granted to anyone to use this software
+        for any purpose including commercial applications and to alter it and redistribute it freely subject to the
+        following restrictions <<opt>>1<<end>> the origin of this software must not be misrepresented you must not claim
+        that you wrote the original software if you use this software in a product an acknowledgment in the product
+        documentation would be appreciated but is not required <<opt>>2<<end>> altered source versions must be plainly
+        marked as such and must not be misrepresented as being the original software <<opt>>3<<end>> this notice may not
+        be removed or altered from any source distribution""",
+        "<<opt>>licensed<<end>> under the zlib license",
+    ],
+    "unlicense": [
+        """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use
+        compile sell or distribute this software either in source code form or as a compiled binary for any purpose
+        commercial or non commercial and by any means <<opt>>in jurisdictions that recognize copyright laws the author or
+        authors of this software dedicate any and all copyright interest in the software to the public domain<<end>>""",
+    ],
+    "mpl-2.0": [
+        """this source code form is subject to the terms of the mozilla public license v 2 0 <<opt>>if a copy of the mpl was
+        not distributed with this file you can obtain one at <<var 8>><<end>>""",
+        "<<opt>>licensed<<end>> under the mozilla public license <<opt>>version<<end>> 2 0",
+    ],
     "isc": [
         """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby
-        granted provided that the above copyright notice and this permission notice appear in all copies""",
+        granted provided that the above copyright notice and this permission notice appear in all copies
+        <<opt>>the software is provided as is and the author disclaims all warranties with regard to this software
+        including all implied warranties of merchantability and fitness in no event shall the author be liable for any
+        special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or
+        profits whether in an action of contract negligence or other tortious action arising out of or in connection
+        with the use or performance of this software<<end>>""",
         "<<opt>>licensed<<end>> under the isc license",
     ],
     "gpl-notice": [
@@ -60,7 +110,10 @@ TEMPLATES = {
         general public license <<opt>>gpl<<end>> <<opt>>version <<var 1>> <<opt>>or <<opt>>at your option<<end>> any later version<<end>><<end>>""",
         """this program is free software you can redistribute it and or modify it under the terms of the gnu general
         public license as published by the free software foundation either version <<var 2>> <<opt>>of the license<<end>>
-        or at your option any later version""",
+        or at your option any later version <<opt>>this program is distributed in the hope that it will be useful but
+        without any warranty without even the implied warranty of merchantability or fitness for a particular purpose
+        see the gnu general public license for more details<<end>> <<opt>>you should have received a copy of the gnu
+        general public license along with this program if not see <<var 8>><<end>>""",
     ],
     "cc-by-notice": [
         "licensed under <<opt>>a<<end>> cc by <<opt>>sa<<end>> <<opt>>4 0<<end>> <<opt>>3 0<<end>> <<opt>>license<<end>>",
@@ -187,7 +240,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """One row per row of docs: (doc_id, n_words, places array<struct<word, label>>,
     stretches array<struct<label, start, end>>); end is exclusive, words count
-    from 0. Null and empty texts have no words and nothing found."""
+    from 0. Null and empty texts have no words and nothing found. Of templates that
+    overlap the longer stretch counts, of equal stretches all labels. Repeated rows
+    each get theirs; long texts are scanned whole, and only from words that a
+    template begins with, if it has all the template's mandatory runs."""
 
     def run(batches):
         scanner = Scanner(templates, phrases)
