@@ -13,9 +13,10 @@ QUERIES, ORACLE = {}, {}
 
 
 def streamed_indicators(spark, sf):
-    name = f"streamed_{uuid.uuid4().hex}"
-    indicators.run_once(indicators.windowed(indicators.events_stream(spark, sf)), name, f"{shared_folder(spark)}/{name}")
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 4).alias("value"))
+    place = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
+    windows = indicators.windowed(indicators.events_stream(spark, sf))
+    indicators.run_once(windows, f"{place}/table", f"{place}/checkpoint")
+    return spark.read.schema(windows.schema).parquet(f"{place}/table").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
 QUERIES["streamed_indicators"] = streamed_indicators

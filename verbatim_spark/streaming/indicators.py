@@ -23,7 +23,13 @@ def events_stream(spark: SparkSession, folder: str, files: str = "events.parquet
     return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
 
 
-def run_once(stream: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> None:
-    """Handles all that is there and stops."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
+    """Handles all that is there and stops. The result is a table in the shared
+    folder, written by executors and replaced as a whole at each batch (mode
+    ``complete``) or added to (``append``); nothing comes to the driver."""
+    save = "overwrite" if mode == "complete" else "append"
+    query = (
+        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(lambda batch, _: batch.write.mode(save).parquet(path)).start()
+    )
     query.awaitTermination()
