@@ -1,9 +1,10 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from verbatim_spark.sources import files, reviews, sinks
+from verbatim_spark.sources import files, provider, reviews, sinks
 
 NOW = "2026-01-31 00:00:00"
 
@@ -81,3 +82,40 @@ def test_payloads(spark):
     for data in (f'{{"data": [{{"name": "Mill", "reviews_data": [{review}, {{"review_text": ""}}]}}]}}', f'{{"data": [[{{"name": "Mill", "reviews_data": [{review}]}}]]}}'):
         rows = reviews.unwrap_payload(spark.createDataFrame([(data,)], "raw string")).collect()
         assert [(r["business"], r["reviewer"], r["rating"], r["text"], r["photo_count"]) for r in rows] == [("Mill", "Ann", 4.0, "Good\nfood", 1)]
+
+
+def test_report_document(spark, tmp_path):
+    blocks = spark.createDataFrame([(2, "Second", "a < b"), (1, "First", None)], "ord int, heading string, body string")
+    (tmp_path / "r.docx").write_bytes(sinks.document(blocks, "Report"))
+    assert files.docx_text((tmp_path / "r.docx").read_bytes()).split("\n") == ["Report", "First", "", "Second", "a < b"]
+
+
+def test_append(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "n int, s string")
+    for _ in range(2):
+        sinks.append(df, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_provider_pages_and_waiting(spark):
+    review = lambda text: {"author_title": "Ann", "review_rating": 4, "review_text": text, "review_datetime_utc": "2026-01-01"}
+    answers = [(202, {}), (200, {"status": "Pending"}), (200, {"data": [{"name": "Mill", "reviews_data": [review("one")]}], "next_page_token": "t"}), (200, {"data": [{"name": "Mill", "reviews_data": [review("two"), review("")]}]})]
+    asked, slept = [], []
+
+    def call(request):
+        asked.append(request)
+        return answers[len(asked) - 1]
+
+    rows = provider.fetch(spark, call, {"place": "x"}, NOW, sleep=slept.append).collect()
+    assert sorted(r["text"] for r in rows) == ["one", "two"] and slept == [3.0, 4.5] and asked[-1] == {"place": "x", "page_token": "t"}
+    with pytest.raises(TimeoutError):
+        provider.wait_for(lambda _: (202, {}), {}, slept.append)
+    assert sum(slept[2:]) == pytest.approx(300) and max(slept) == 15.0
+    with pytest.raises(OSError, match="500"):
+        provider.wait_for(lambda _: (500, {}), {}, slept.append)
+
+
+def test_short_links(spark):
+    links = ["https://maps.app.goo.gl/abc", "https://goo.gl/maps/abc", "https://evil.example/maps.app.goo.gl", "http://169.254.0.1/x", None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(links)], "i int, u string").select("i", files.allowed_link(F.col("u"), ["maps.app.goo.gl", "goo.gl"]).alias("ok")).collect()
+    assert {r["i"]: r["ok"] for r in got} == {0: True, 1: True, 2: False, 3: False, 4: False}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.arrays import running
+from ..functions.arrays import let, running
 from ..functions.kept import keep
 
 
@@ -166,6 +166,22 @@ def search_spans(docs: DataFrame, id_col: str, term: str, whole_word: bool = Tru
     points, end exclusive), each once: quotations for the term's code."""
     quoted = "".join(c if c.isalnum() or c == " " else "\\" + c for c in term)
     pattern = f"(?i)\\b{quoted}\\b" if whole_word else f"(?i){quoted}"
+    if any(c in ".\n?!" for c in term):
+        return _spans_around(docs, id_col, pattern)
+    # A term without end marks stands inside one sentence: each sentence is looked at once.
+    pieces = F.regexp_extract_all("text", F.lit(r"[^.\n?!]*[.\n?!]|[^.\n?!]+"), F.lit(0))
+
+    def placed(x):
+        ends = running(F.transform(x, lambda p: F.length(p).cast("bigint")))
+        return F.zip_with(x, ends, lambda p, e: F.struct(p.rlike(pattern).alias("hit"), (e - F.length(p)).cast("int").alias("s"), e.cast("int").alias("e")))
+
+    found = docs.where(F.col("text").rlike(pattern)).select(F.col(id_col).alias("document_id"), F.explode(F.filter(let(pieces, placed), lambda x: x["hit"])).alias("x"))
+    return found.select("document_id", F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+
+
+def _spans_around(docs: DataFrame, id_col: str, pattern: str) -> DataFrame:
+    """For terms that hold an end mark themselves: the sentence's start before each
+    hit and its end after the hit's start."""
     hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     gaps = F.split("text", pattern, -1)
 

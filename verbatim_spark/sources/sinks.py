@@ -70,3 +70,25 @@ def workbook(sheets: dict[str, DataFrame], most_rows: int = MOST_ROWS) -> bytes:
         for name, body in files.items():
             file.writestr(name, body)
     return out.getvalue()
+
+
+def document(blocks: DataFrame, title: str, most_rows: int = MOST_ROWS) -> bytes:
+    """A .docx file of a report's blocks (ord, heading, body): a title, then a heading
+    and a paragraph each. A report of more blocks than ``most_rows`` is refused."""
+    rows = blocks.orderBy("ord").limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"a report holds at most {most_rows} blocks")
+    para = lambda text, style: f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t xml:space="preserve">{escape(str(text or ""))}</w:t></w:r></w:p>'
+    body = para(title, "Title") + "".join(para(r["heading"], "Heading1") + para(r["body"], "Normal") for r in rows)
+    head, office = '<?xml version="1.0" encoding="UTF-8"?>', "http://schemas.openxmlformats.org"
+    files = {
+        "[Content_Types].xml": f'{head}<Types xmlns="{office}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+        '<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+        "_rels/.rels": f'{head}<Relationships xmlns="{office}/package/2006/relationships"><Relationship Id="rId1" Type="{office}/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
+        "word/document.xml": f'{head}<w:document xmlns:w="{office}/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as file:
+        for name, text in files.items():
+            file.writestr(name, text)
+    return out.getvalue()
