@@ -227,7 +227,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
 
     def run(batches):
         counts = defaultdict(Counter)
-        for batch in slices(batches):
+        for batch in slices(batches, most=4 << 20):
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 counts[lang].update(count_grams([text], order))
         for lang, grams in counts.items():
@@ -261,7 +261,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         model = sent.value
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=4 << 20):
             bits, coded = model.text_lengths(text_bytes(batch.column(1)))
             letter = np.array(batch.column(2).to_pylist(), bool)
             if model.langs:

@@ -25,8 +25,8 @@ from .common import shipped, slices
 
 MARK = "▁"
 #: Chunks and characters of them that a worker holds at most.
-MOST_CHUNKS = 600_000
-MOST_CHARS = 12_000_000
+MOST_CHUNKS = 200_000
+MOST_CHARS = 4_000_000
 #: Chunks given to the library in one call.
 _GROUP = 128
 _CHUNK = re.compile(" +[^ ]*")
@@ -156,7 +156,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     name = _sent(docs, model)
 
     def run(batches):
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=4 << 20):
             flat, offsets = _table(name).encode(batch.column(1).to_pylist())
             ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
@@ -175,7 +175,7 @@ def decode(encoded: DataFrame, model: str, keep: list[str] | None = None) -> Dat
     at = names.index("ids")
 
     def run(batches):
-        for batch in slices(batches, at, most=8 << 20):
+        for batch in slices(batches, at, most=4 << 20):
             column = batch.column(at)
             table, flat, offsets = _table(name), column.values.to_numpy(), column.offsets.to_numpy()
             texts = [
