@@ -1,7 +1,9 @@
 import io
+import re
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from verbatim_spark.context import Controls, Engine, ReviewEngine
@@ -178,6 +180,31 @@ def test_sparse_edges_find_all_pairs(spark):
     assert all(abs(v - sims[i, j]) < 1e-9 for (i, j), v in got.items())
 
 
+def test_sparse_edges_join_no_pairs(spark):
+    """All vectors share terms with most others, few are alike: pairs that only share a term are no rows of any join."""
+    rng = np.random.default_rng(3)
+    dense = np.array([rng.permutation([1.0] * 6 + [0.0] * 24) for _ in range(300)]) / np.sqrt(6)
+    rows = [(i, f"t{k}", float(dense[i, k])) for i in range(300) for k in range(30) if dense[i, k]]
+    edges = vectors.sparse_edges(spark.createDataFrame(rows, "doc long, term string, weight double"), 0.6)
+    sims = dense @ dense.T
+    assert {(r["i"], r["j"]) for r in edges.collect()} == {(i, j) for i in range(300) for j in range(i + 1, 300) if sims[i, j] >= 0.6}
+    assert not re.search(r"\bi#\d+L? < j#\d+L?", edges._jdf.queryExecution().optimizedPlan().toString())
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_sparse_edges_of_common_and_rare_terms(spark, block):
+    """Copies, vectors of common terms alone, and ids of strings within groups."""
+    rng = np.random.default_rng(9)
+    dense = rng.random((90, 700)) * (rng.random((90, 700)) < np.r_[np.full(20, 0.8), np.full(680, 0.01)])
+    dense[30:45], dense[50:70, 20:] = dense[30], 0
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    rows = [(f"d{i}", f"t{k}", float(dense[i, k]), i % 2) for i in range(90) for k in range(700) if dense[i, k]]
+    got = {(r["i"], r["j"]): r["sim"] for r in vectors.sparse_edges(spark.createDataFrame(rows, "doc string, term string, weight double, within long"), 0.5, block).collect()}
+    sims = dense @ dense.T
+    want = {tuple(sorted((f"d{i}", f"d{j}"))): sims[i, j] for i in range(90) for j in range(i + 1, 90) if i % 2 == j % 2 and sims[i, j] >= 0.5}
+    assert got.keys() == want.keys() and all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+
+
 def test_controls_are_bounded():
     assert Controls(similarity=3).similarity == 0.95 and Controls(min_quotes=0).min_quotes == 1
 

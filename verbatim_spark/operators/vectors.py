@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.kept import drop, keep
+from ..functions.shipping import ship
 
 
 def idf_table(counts: DataFrame, total: DataFrame) -> DataFrame:
@@ -96,31 +97,105 @@ def blend(concepts: DataFrame, terms: DataFrame, share: float = 0.55) -> DataFra
     return normalise(left.unionByName(terms.select("doc", "term", (F.col("weight") * (1 - share)).alias("weight"))))
 
 
-def sparse_edges(vectors: DataFrame, least: float) -> DataFrame:
+def sparse_edges(vectors: DataFrame, least: float, block: int = 16384, most: int = 2_000_000) -> DataFrame:
     """(i, j, sim) of long vectors (doc, term, weight) with a dot product of
-    ``least`` or more, i < j: an inverted index instead of all pairs, with prefixes.
-
-    Terms of each vector are put in order of how many vectors have them, the rarest
-    first. The last terms, whose weights together can't reach ``least`` against any
-    vector (of which no term weighs more than its heaviest), need no postings on one
-    side: a pair that reaches it shares a term before them. So a common term makes
-    pairs only where it matters, and the result is exact. Weights are not negative.
-    With a column ``within``, only vectors of the same value meet."""
+    ``least`` or more, i < j: blocks of vectors (``block`` of them, ``most`` terms)
+    meet once each, and only the edges come out, so pairs are never shuffled.
+    With a column ``within``, only vectors of the same value meet. Each task holds
+    two blocks."""
     near = ["within"] if "within" in vectors.columns else []
-    df = vectors.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("top"))
-    laid = vectors.select("doc", "term", "weight", *near).join(df, "term")
-    rest = Window.partitionBy("doc").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    # What this term and the more common ones can still add to a dot product, by the
-    # heaviest weights and by the length of what is left (vectors are of length 1 at most).
-    left = laid.withColumn("_left", F.least(F.sum(F.col("weight") * F.col("top")).over(rest), F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest))))
-    prefix = left.where(F.col("_left") >= least * (1 - 1e-9)).select(F.col("doc").alias("i"), "term", *near)
-    meet = ["term", *near]
-    other = prefix.withColumnRenamed("i", "j")
-    pairs = prefix.join(other, meet).where("i < j").select("i", "j").distinct()
-    x = vectors.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("m"))
-    met = pairs.join(x.select(F.col("doc").alias("i"), F.col("m").alias("x")), "i").join(x.select(F.col("doc").alias("j"), F.col("m").alias("y")), "j")
-    sim = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda acc, e: acc + F.coalesce(e["value"] * F.try_element_at(F.col("y"), e["key"]), F.lit(0.0)))
-    return met.select("i", "j", sim.alias("sim")).where(F.col("sim") >= least)
+    ship(vectors.sparkSession)
+    shared = keep(vectors.groupBy("term").agg(F.count("*").alias("df")).where("df > 1").select("term"), "terms").withColumn("t", F.monotonically_increasing_id())
+    laid = vectors.select("doc", "term", "weight", *near).dropna(subset=["doc", *near]).join(shared, "term")
+    docs = laid.groupBy("doc", *near).agg(F.collect_list(F.struct("t", "weight")).alias("x"))
+    docs = keep(docs.select("doc", *near, F.col("x.t").alias("t"), F.col("x.weight").alias("x")), "vectors")
+    sizes = docs.groupBy(*near).agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.size("t")) / most)).cast("int").alias("n"))
+    dealt = docs.join(sizes, near) if near else docs.join(F.broadcast(sizes))
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("doc", "t", "x", *near, "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+
+    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        *_, p, q = key
+        left, right = group[group["b"] == p], group[group["b"] == q]
+        if left.empty or right.empty:
+            return pd.DataFrame({"i": left["doc"].iloc[:0], "j": left["doc"].iloc[:0], "sim": []})
+        at, to, sims = block_edges(*([np.concatenate(side["t"].to_numpy()), np.concatenate(side["x"].to_numpy()), side["t"].map(len).to_numpy()] for side in (left, right)), least)
+        x, y = left["doc"].to_numpy()[at], right["doc"].to_numpy()[to]
+        first = x < y
+        out = pd.DataFrame({"i": np.where(first, x, y), "j": np.where(first, y, x), "sim": sims})
+        return out[first] if p == q else out
+
+    kind = dict(vectors.dtypes)["doc"]
+    return dealt.groupBy(*near, "p", "q").applyInPandas(meet, f"i {kind}, j {kind}, sim double")
+
+
+def block_edges(left: list[np.ndarray], right: list[np.ndarray], least: float, cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of left, rows of right and dot products of those at ``least`` or more.
+    A side is (terms, weights, number of terms by row), a row's terms together.
+
+    Rare terms are summed over postings. The commonest, which would make the most
+    products, are left to the pairs that can still reach ``least``: they add at most
+    the product of the two rows' lengths over them, which is small where they weigh
+    little. How many count as common is chosen by the work; the result is exact."""
+    terms, at = np.unique(np.concatenate([left[0], right[0]]), return_inverse=True)
+    a, b = at[: len(left[0])], at[len(left[0]) :]
+    (_, wa, na), (_, wb, nb) = left, right
+    ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    work = np.bincount(a, minlength=len(terms)).astype(float) * np.bincount(b, minlength=len(terms))
+    order = np.argsort(-work, kind="stable")
+    place = np.empty(len(terms), np.int64)
+    place[order] = np.arange(len(terms))
+    a, b, work = place[a], place[b], work[order]
+
+    def lengths(rows, term, weight, n, k):
+        return np.sqrt(np.bincount(rows[term < k], weight[term < k] ** 2, minlength=n))
+
+    def cost(k):
+        """Nanoseconds, about: products of rare terms, and pairs that the common ones alone can bring to ``least``."""
+        x, y = lengths(ra, a, wa, len(na), k), np.sort(lengths(rb, b, wb, len(nb), k))
+        return 15 * work[k:].sum() + (5 + k / 4) * (len(y) - np.searchsorted(y, least / np.maximum(x, 1e-300))).sum()
+
+    k = min((k for k in (0, 16, 32, 64, 128, 256, 512)), key=cost)
+    x, y = lengths(ra, a, wa, len(na), k), lengths(rb, b, wb, len(nb), k)
+    by_x, by_y = np.argsort(-x, kind="stable"), np.argsort(-y, kind="stable")  # rows in order of their lengths over common terms
+    x, y = x[by_x], y[by_y]
+    ra, rb = np.argsort(by_x)[ra], np.argsort(by_y)[rb]
+    common_a, common_b = np.zeros((len(na), k)), np.zeros((len(nb), k))
+    common_a[ra[a < k], a[a < k]], common_b[rb[b < k], b[b < k]] = wa[a < k], wb[b < k]
+
+    rare = np.flatnonzero(b >= k)
+    rare = rare[np.argsort(b[rare], kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(b[rare], minlength=len(terms)))])
+    rb, wb = rb[rare], wb[rare]
+    rare = np.flatnonzero((a >= k) & (starts[a + 1] > starts[a]))
+    rare = rare[np.argsort(ra[rare], kind="stable")]
+    a, ra, wa = a[rare], ra[rare], wa[rare]
+    rows = np.concatenate([[0], np.cumsum(np.bincount(ra, minlength=len(na)))])
+
+    n, out = len(nb), []
+    step = max(1, cells // n)
+    for low in range(0, len(na), step):
+        high = min(low + step, len(na))
+        own = slice(rows[low], rows[high])
+        first = starts[a[own]]
+        many = starts[a[own] + 1] - first
+        met = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+        part = np.bincount(np.repeat((ra[own] - low) * n, many) + rb[met], np.repeat(wa[own], many) * wb[met], minlength=(high - low) * n).astype(float, copy=False)
+        reach = np.multiply.outer(x[low:high], y).ravel()
+        reach += part
+        hit = np.flatnonzero(reach >= least - 1e-9)
+        i, j = np.divmod(hit, n)
+        sims = part[hit]
+        wide = int(np.searchsorted(-y, -least / max(x[low], 1e-300), side="right"))
+        dense, rest = np.flatnonzero(j < wide), np.flatnonzero(j >= wide)
+        if len(dense):
+            sims[dense] += (common_a[low:high] @ common_b[:wide].T)[i[dense], j[dense]]
+        for c in range(0, len(rest), 4096):
+            some = rest[c : c + 4096]
+            sims[some] += np.einsum("ij,ij->i", common_a[low + i[some]], common_b[j[some]])
+        kept = sims >= least
+        out.append((by_x[low + i[kept]], by_y[j[kept]], sims[kept]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def unit(column: str):
