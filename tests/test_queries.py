@@ -50,3 +50,17 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["adoption_gaps"])
+def test_part_keys_of_six_digits(spark, tmp_path, name):
+    """The tables twice, the second time with other keys (parts from 100,000 on)."""
+    c = duckdb.connect()
+    keys = {"part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"], "customer": ["c_custkey"], "lineitem": ["l_orderkey", "l_partkey"]}
+    for table, columns in keys.items():
+        moved = ", ".join(f"{k} + n * 100000 AS {k}" for k in columns)
+        c.sql(f"copy (select * exclude (n) replace ({moved}) from '{TABLES}/{table}.parquet', (select unnest([0, 1]) as n)) to '{tmp_path}/{table}.parquet'")
+        c.sql(f"create view {table} as select * from '{tmp_path}/{table}.parquet'")
+    found = registry.queries()[name](spark, str(tmp_path))
+    want = c.sql(registry.oracle_sql()[name])
+    assert rows_of(found.columns, [tuple(r) for r in found.collect()]) == rows_of(want.columns, want.fetchall())

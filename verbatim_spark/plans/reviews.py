@@ -42,7 +42,7 @@ reviewer, business, rating, greatest(quantity - 40, 0) AS friction, months, buck
 def _codes(spark, sf):
     apps = applications(spark, sf).select(
         F.col("quotation_id").alias("review_id"), (((F.col("quotation_id") * 10 + F.col("line")) * 100000 + F.col("l_partkey")) * 1000 + (F.col("v") + 5) * 10 + F.col("tax")).alias("example"), "theme_id", "code_id", "v", "valence", "confidence",
-        F.greatest(F.col("quantity") - 40, F.lit(0)).alias("friction"),
+        F.greatest(F.col("quantity") - 40, F.lit(0)).alias("friction"), F.col("l_partkey").alias("part"),
     )
     return apps.join(_reviews(spark, sf).select("review_id", "reviewer", "business", "rating", "months", "bucket"), "review_id")
 
@@ -206,7 +206,7 @@ u AS (SELECT * FROM bd WHERE gap >= 0.6 UNION ALL SELECT * FROM bc WHERE gap > 0
 @query(f"""WITH {_ADOPT}, k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY parameter ORDER BY gap DESC, kind, rival) = 1)
 SELECT parameter, rival, gap, kind FROM k ORDER BY gap DESC, parameter LIMIT 8""")
 def adoption_gaps(spark, sf):
-    codes = _part_codes(spark, sf)
+    codes = _codes(spark, sf)
     scores = rv.dimension_scores(codes, _reviews(spark, sf), "business", "part")
     counts = codes.groupBy("business", "part").agg(F.count("*").alias("mentions"), F.round(F.avg("valence"), 6).alias("mean_valence"))
     return rv.adoption(scores, counts, "BUILDING", "business", "part", "part")
