@@ -52,7 +52,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["adoption_gaps"])
+@pytest.mark.parametrize("name", ["adoption_gaps", "competitor_matrix"])
 def test_part_keys_of_six_digits(spark, tmp_path, name):
     """The tables twice, the second time with other keys (parts from 100,000 on)."""
     c = duckdb.connect()

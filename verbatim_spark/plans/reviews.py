@@ -175,15 +175,10 @@ scores AS (SELECT business, part, round(greatest(1.0, least(10.0, coalesce((grea
 counts AS (SELECT business, part, n AS mentions, round(m, 6) AS mean_valence FROM mm)"""
 
 
-def _part_codes(spark, sf):
-    part = F.pmod(F.floor(F.col("example") / 1000), F.lit(100000)).cast("bigint")
-    return _codes(spark, sf).withColumn("part", part)
-
-
 @query(f"""WITH {_PART_SCORES}, f AS (SELECT part, coalesce(max(score) FILTER (business = 'BUILDING'), 5.5) AS mine, max(score) FILTER (business <> 'BUILDING') AS other, arg_min(business, (-score, business)) FILTER (business <> 'BUILDING') AS rival FROM scores GROUP BY 1)
 SELECT part, mine, CASE WHEN other > mine THEN rival ELSE 'BUILDING' END AS best, CASE WHEN other > mine THEN round(mine - other, 6) ELSE 0 END AS gap_to_best, round(mine - coalesce(other, mine), 6) > 0.6 AS defend FROM f""")
 def competitor_matrix(spark, sf):
-    scores = rv.dimension_scores(_part_codes(spark, sf), _reviews(spark, sf), "business", "part")
+    scores = rv.dimension_scores(_codes(spark, sf), _reviews(spark, sf), "business", "part")
     return rv.matrix(scores, "BUILDING", "business", "part")
 
 
